@@ -10,6 +10,7 @@ from tidewire.llm.bpe import round_trip
 from tidewire.llm.common import table, text_or_empty
 from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.line_dedup import line_dedup
+from tidewire.llm.minhash import near_duplicates
 from tidewire.llm.packing import pack
 from tidewire.llm.quality import quality_rules
 from tidewire.llm.secrets import secret_scan
@@ -37,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
+    "op6_minhash": op6_minhash,
     "op7_exact": op7_exact,
     "op8_tokens": op8_tokens,
     "op10_lines": op10_lines,
