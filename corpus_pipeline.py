@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.common import shared_dir, table
 from tidewire.llm.line_dedup import drop_repeated_lines
+from tidewire.llm.minhash import drop_near_duplicates
 from tidewire.llm.packing import pack
 from tidewire.llm.quality import filter_quality
 from tidewire.llm.secrets import redact
@@ -24,6 +25,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the names of their kinds."""
     return redact(docs)
@@ -34,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("secrets", secrets), ("packing", packing)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
 
 #: The weighted MinHash stage and the tokenizer have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
