@@ -14,6 +14,7 @@ from tidewire.llm.minhash import near_duplicates
 from tidewire.llm.packing import pack
 from tidewire.llm.quality import quality_rules
 from tidewire.llm.secrets import secret_scan
+from tidewire.llm.suffix_dedup import substring_dedup
 from tidewire.llm.token_counts import section_tokens
 from tidewire.llm.warc import archive_round_trip
 
@@ -52,6 +53,10 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(fields, public_tokenizers.path("byte_bpe_50k.json"), "fields")
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), 50).drop("kept")
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
@@ -65,5 +70,6 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_exact": op7_exact,
     "op8_tokens": op8_tokens,
+    "op9_suffix": op9_suffix,
     "op10_lines": op10_lines,
 }
