@@ -190,8 +190,10 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def ordered(kinds: list[str]) -> Column:
     """Spans of several kinds by start, then in the order of ``kinds``."""
-    ranked = F.flatten(F.array(*[F.transform(k, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))) for i, k in enumerate(kinds)]))
-    return F.transform(F.array_sort(ranked), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    def ranked(rank: int) -> Column:
+        return F.transform(kinds[rank], lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    return F.transform(F.array_sort(F.flatten(F.array(*map(ranked, range(len(kinds)))))), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
