@@ -24,14 +24,45 @@ from tidewire.llm.common import cut, text_or_empty
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=2)
-def _table(tokenizer: str) -> ChunkTable:
-    from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Ids of many chunks as bytes, little-endian unsigned 32-bit.
+
+    Chunks that begin with a space and hold no other are encoded as one running text: they
+    stay independent there, and each begins at a token that begins with a space.
+    """
 
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    ids = lambda chunks: [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
-    return ChunkTable(ids, PATTERN)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str], run: int = 500) -> list[bytes]:
+        plain = [c[:1] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace() for c in chunks]
+        joined = [c for c, p in zip(chunks, plain, strict=True) if p]
+        slices = [joined[i : i + run] for i in range(0, len(joined), run)]
+        found: list[bytes] = []
+        for part, ids in zip(slices, self._ids(["".join(p) for p in slices]), strict=True):
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+                found += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+            else:
+                found += [i.tobytes() for i in self._ids(part)]
+        rest = iter(self._ids([c for c, p in zip(chunks, plain, strict=True) if not p]))
+        running = iter(found)
+        return [next(running) if p else next(rest).tobytes() for p in plain]
+
+
+@lru_cache(maxsize=2)
+def chunk_table(tokenizer: str) -> ChunkTable:
+    return ChunkTable(ChunkEncoder(tokenizer), PATTERN, 700_000)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +75,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     """
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, end = _table(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        table, end = chunk_table(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for part in small_batches(frames):
             rows = []
             for doc_id, values in zip(part["doc_id"], table.values(part["text"].tolist()), strict=True):
