@@ -16,29 +16,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import ChunkTable, small_batches
+from tidewire.llm.chunks import small_batches
 from tidewire.llm.common import text_or_empty
-from tidewire.llm.packing import PATTERN
+from tidewire.llm.packing import chunk_table
 
 
 @lru_cache(maxsize=2)
-def _table(tokenizer: str) -> ChunkTable:
+def byte_lengths(tokenizer: str) -> np.ndarray:
+    """Bytes of each token; byte-level vocabularies write one character per byte."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab()
+    lengths = np.zeros(max(vocabulary.values()) + 1, "int64")
+    lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+    return lengths
 
-    def spans(chunks: list[str]) -> list[tuple[int, np.ndarray]]:
-        return [(len(c), np.asarray(e.offsets, "int32").reshape(-1, 2)) for c, e in zip(chunks, t.encode_batch(chunks, add_special_tokens=False), strict=True)]
 
-    return ChunkTable(spans, PATTERN, 400_000)
-
-
-def token_spans(values: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """(start, end) of a text's tokens, in characters, from its chunks' lengths and spans."""
-    lengths = np.fromiter((v[0] for v in values), "int64", len(values))
-    counts = np.fromiter((len(v[1]) for v in values), "int64", len(values))
-    return np.concatenate([v[1] for v in values]) + np.repeat(lengths.cumsum() - lengths, counts)[:, None]
+def token_spans(text: str, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(start, end) in characters of a text's tokens, from their bytes. A token of part of a character spans it whole."""
+    ends = lengths[ids].cumsum()
+    starts = ends - lengths[ids]
+    if not text.isascii():
+        raw = np.frombuffer(text.encode(), "uint8")
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        starts, ends = char[starts], char[ends - 1] + 1
+    return np.stack([starts, ends], axis=1)
 
 
 def attribute(spans: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None)
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _table(tokenizer)
+        table, lengths = chunk_table(tokenizer), byte_lengths(tokenizer)
         for part in small_batches(frames):
             out = []
             texts = part["text"].tolist()
@@ -83,7 +85,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None)
                     inner = inner[(inner > 0) & (inner < len(text))]
                     starts = np.concatenate([[0], inner[np.maximum.accumulate(inner) == inner]]).astype("int64")
                     starts = np.unique(starts)
-                n, crossing = attribute(token_spans(values), starts, len(text))
+                n, crossing = attribute(token_spans(text, np.frombuffer(b"".join(values), "<u4"), lengths), starts, len(text))
                 k = len(starts)
                 out.append((np.full(k, doc_id, "object"), np.arange(k), starts, np.append(starts[1:], len(text)) - starts, n, crossing))
             yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("doc_id", "section", "start", "length", "n_tokens", "n_crossing"), zip(*out, strict=True), strict=True)})
