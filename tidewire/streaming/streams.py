@@ -39,3 +39,24 @@ def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{run}/out")
+
+
+def breaker_states(attempts: DataFrame, opens_at: int = 3) -> DataFrame:
+    """(source_key, seen, failures, is_open) after each batch: failures in a row per key, kept as state.
+
+    Attempts are (source_key, event_id, success, ts); within a batch they are taken in order
+    of time.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def follow(key: tuple, frames, state: GroupState):
+        failures, seen = state.get if state.exists else (0, 0)
+        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for ok in batch["success"]:
+            failures, seen = (0 if ok else failures + 1), seen + 1
+        state.update((failures, seen))
+        yield pd.DataFrame({"source_key": [key[0]], "seen": [seen], "failures": [failures], "is_open": [int(failures >= opens_at)]})
+
+    schema = "source_key long, seen long, failures long, is_open int"
+    return attempts.groupBy("source_key").applyInPandasWithState(follow, schema, "failures long, seen long", "update", GroupStateTimeout.NoTimeout)
