@@ -84,7 +84,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tupl
 RUN = np.dtype([("hash", "<u4"), ("text", "<u2"), ("first", "<u4"), ("run", "u1"), ("lead", "u1")])
 
 
-def byte_parts(batches, most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def byte_parts(batches, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``most`` bytes of text (column ``text``, binary) each, their bytes and bounds."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
@@ -229,7 +229,7 @@ def _equal_windows(jobs: list[tuple[list[bytes], np.ndarray]], width: int) -> li
 
 
 #: Bytes of one anchor's contexts that are sorted as one string; more are told apart by longer cores first.
-LANE = 4096
+LANE = 2048
 
 
 def _jobs(texts: list[bytes], leads: list[int], width: int):
@@ -237,51 +237,76 @@ def _jobs(texts: list[bytes], leads: list[int], width: int):
 
     Yields lists of (context, first window, windows). Windows are told apart by how many
     bytes precede the anchor; those of one half share a longer core, by which their contexts
-    are grouped.
+    are grouped. Contexts whose core is theirs alone share no window and are left out.
     """
-    stack = [([(i, max(leads[i] - (len(t) - width), 0), leads[i]) for i, t in enumerate(texts)], 0, width)]
+    stack = [([(i, max(leads[i] - (len(t) - width), 0), leads[i]) for i, t in enumerate(texts)], 0, max(leads), 0)]
     while stack:
-        items, low, high = stack.pop()  # windows with low..high bytes before the anchor
-        if len(items) == 1 or low >= high or sum(b - a + width for _, a, b in items) <= LANE:
+        items, low, high, depth = stack.pop()  # windows with low..high bytes before the anchor
+        if depth >= 2 and (low >= high or sum(b - a + width for _, a, b in items) <= LANE):
             yield [(i, leads[i] - b, b - a + 1) for i, a, b in items]
             continue
         half = (low + high) // 2
         for lo, hi in ((low, half), (half + 1, high)):
             groups: dict[bytes, list] = {}
             for i, a, b in items:
-                a2, b2 = max(a, lo), min(b, hi)
-                if a2 <= b2:
-                    groups.setdefault(_core(texts[i], leads[i], lo, hi, width), []).append((i, a2, b2))
-            stack.extend((g, lo, hi) for g in groups.values())
+                a, b = max(a, lo), min(b, hi)
+                if a <= b:
+                    groups.setdefault(_core(texts[i], leads[i], lo, hi, width), []).append((i, a, b))
+            stack.extend((g, lo, hi, depth + 1) for g in groups.values() if len(g) > 1)
 
 
 def _core(text: bytes, lead: int, low: int, high: int, width: int) -> bytes:
     """What all windows with low..high bytes before the anchor share."""
-    return text[max(lead - low, 0) : max(lead + width - high, 0)]
+    return text[max(lead - low, 0) : lead + width - high]
+
+
+#: An anchor with more different contexts than this has its windows told apart by Spark instead of in one task.
+CROWD = 20_000
 
 
 def first_places(distinct: DataFrame, width: int) -> DataFrame:
-    """(anchor, context, spans): for runs of a context's windows the least place that holds them.
+    """(anchor, context, lead, spans): for runs of a context's windows the least place that holds them.
 
     ``distinct`` is (anchor, context, lead, place) with one row per anchor, context and lead.
     """
+    crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("anchor"))
+    alone = sorted_places(join_small(distinct, crowded, "anchor", "left_anti", row_bytes=24), width)
+    return alone.unionByName(grouped_places(join_small(distinct, crowded, "anchor", "left_semi", row_bytes=24), width))
+
+
+def grouped_places(distinct: DataFrame, width: int) -> DataFrame:
+    """What first_places returns, window by window: for anchors with a crowd of contexts."""
+    windows = F.transform(F.sequence(F.lit(0), F.octet_length("context") - width), lambda i: F.substring(F.col("context"), i + 1, F.lit(width)))
+    each = distinct.select("anchor", "context", "lead", "place", F.posexplode(windows).alias("begin", "window"))
+    best = each.groupBy("window").agg(F.min("place").alias("best"))
+    span = F.struct(F.col("begin"), (F.col("begin") + 1).alias("end"), F.col("best").alias("place"))
+    return each.join(best, "window").groupBy("anchor", "context", "lead").agg(F.collect_list(span).alias("spans"))
+
+
+def sorted_places(distinct: DataFrame, width: int) -> DataFrame:
+    """What first_places returns, by suffix arrays of each anchor's contexts."""
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("anchor", kind="stable").reset_index(drop=True)
         texts, leads, place = frame["context"].tolist(), frame["lead"].tolist(), frame["place"].to_numpy("int64")
-        result = [np.full(len(t) - width + 1, p) for t, p in zip(texts, place.tolist(), strict=True)]
+        result: dict[int, np.ndarray] = {}  # of contexts that share some window
         anchor = frame["anchor"].to_numpy()
         bounds = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(frame))
-        waiting: list[list[tuple]] = []
+        waiting: list[dict[bytes, list[tuple]]] = []
 
         def flush() -> None:
             if not waiting:
                 return
-            jobs = [([texts[i][f : f + r + width - 1] for i, f, r in w], place[[i for i, _, _ in w]]) for w in waiting]
+            waiting.sort(key=lambda w: sum(map(len, w)))  # strings of a size are sorted together
+            jobs = [(list(w), np.array([min(place[i] for i, _, _ in m) for m in w.values()])) for w in waiting]
             for w, values in zip(waiting, _equal_windows(jobs, width), strict=True):
                 at = 0
-                for i, f, r in w:
-                    result[i][f : f + r] = values[at : at + r]
+                for members in w.values():
+                    r = members[0][2]
+                    for i, f, _ in members:
+                        if i not in result:
+                            result[i] = np.full(len(texts[i]) - width + 1, place[i])
+                        result[i][f : f + r] = values[at : at + r]
                     at += r
             waiting.clear()
 
@@ -290,17 +315,19 @@ def first_places(distinct: DataFrame, width: int) -> DataFrame:
             if b - a < 2:
                 continue
             for job in _jobs(texts[a:b], leads[a:b], width):
-                if len(job) > 1:
-                    waiting.append([(a + i, f, r) for i, f, r in job])
-                    size += sum(r + width for _, _, r in job)
+                pieces: dict[bytes, list[tuple]] = {}
+                for i, f, r in job:
+                    pieces.setdefault(texts[a + i][f : f + r + width - 1], []).append((a + i, f, r))
+                waiting.append(pieces)
+                size += sum(map(len, pieces))
             if size > 4_000_000:
                 flush()
                 size = 0
         flush()
-        spans = []
-        for values in result:
-            cutpoints = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-            spans.append([(int(f), int(t), int(values[f])) for f, t in zip(cutpoints, np.append(cutpoints[1:], len(values)), strict=True)])
+        spans = [[(0, len(t) - width + 1, p)] for t, p in zip(texts, place.tolist(), strict=True)]
+        for i, values in result.items():
+            begin = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
+            spans[i] = list(zip(begin, [*begin[1:], len(values)], values[begin].tolist(), strict=True))
         return pd.DataFrame({"anchor": anchor, "context": texts, "lead": leads, "spans": spans})
 
     grouped = distinct.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(_tasks(distinct))))

@@ -70,11 +70,10 @@ def suffix_arrays(text: np.ndarray, lanes: np.ndarray) -> np.ndarray:
         member = order[_ranges(begin, size)]
         floor, group = np.repeat(low, size), np.repeat(begin, size)
         at = smaller[member]
-        while True:
-            on = np.flatnonzero((at >= floor) & (start[at] >= group))
-            if not len(on):
-                break
+        on = np.flatnonzero((at >= floor) & (start[at] >= group))
+        while len(on):
             at[on] = smaller[at[on]]
+            on = on[(at[on] >= floor[on]) & (start[at[on]] >= group[on])]
         smaller[member] = at
         inside = at >= floor
         target, own, times = np.unique(at[inside], return_index=True, return_counts=True)
