@@ -9,17 +9,17 @@ placed by Spark.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import ChunkTable, small_batches
-from tidewire.llm.common import cut, text_or_empty
+from tidewire.llm.chunks import ChunkTable, column, small_batches
+from tidewire.llm.common import cut, join_small, text_or_empty
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -32,6 +32,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +63,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def chunk_table(tokenizer: str) -> ChunkTable:
-    return ChunkTable(ChunkEncoder(tokenizer), PATTERN, 700_000)
+    return ChunkTable(ChunkEncoder(tokenizer), PATTERN)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,21 +75,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     The first piece of a cut document takes the remainder, the others are full.
     """
 
-    def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, end = chunk_table(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for part in small_batches(frames):
-            rows = []
-            for doc_id, values in zip(part["doc_id"], table.values(part["text"].tolist()), strict=True):
-                ids = b"".join(values) + end
-                n, start = len(ids) // 4, 0
-                length = n if n <= capacity else n % capacity or capacity
-                piece = 0
-                while start < n:
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                    piece, start, length = piece + 1, start + length, capacity
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(cut_up, PIECES)
+    def cut_up(batches):
+        table, schema = chunk_table(tokenizer), pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        for part in small_batches(batches):
+            ids, bounds = table.encoded(column(part, "text"))
+            # Room for the last id of each text, then where its pieces begin and end.
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            n = np.diff(bounds)
+            first = np.where(n <= capacity, n, (n - 1) % capacity + 1)
+            pieces = 1 + (n - first) // capacity
+            text = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.where(piece == 0, 0, first[text] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[text], capacity)
+            begin, raw = 4 * (bounds[text] + start), memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[a : a + b]) for a, b in zip(begin.tolist(), (4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut_up, PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -145,15 +150,16 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def place(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (a written table with length) with sequence_id and offset.
 
     Full pieces are sequences of their own, with negative numbers. The others are ranked
     within their length: by salt, so a common length is ranked by many tasks, then shifted by
-    the counts of the salts before. Histogram and shifts hold at most ``capacity`` and
-    ``capacity * salts`` rows; a pattern uses up the multiple of at least one length, which
-    bounds the plan alike, so these are broadcast.
+    the counts of the salts before. The histogram holds at most ``capacity`` rows; a pattern
+    uses up the multiple of at least one length, which bounds the plan alike, so it is
+    broadcast. The shifts, ``capacity`` rows per salt, are if they prove small.
     """
+    salts = max(64, pieces.count() // 2_000_000)
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     salted = pieces.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
@@ -162,9 +168,9 @@ def place(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
     placed = "of_length long, first long, beyond long, times long, sequence long, at long"
     steps = spark.createDataFrame(plan(histogram, capacity), placed)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    shifts = cut(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("own", rank).join(F.broadcast(shifts), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("shift"))
+    ranked = join_small(salted.withColumn("own", rank), shifts, ["length", "salt"], row_bytes=24).withColumn("rank", F.col("own") + F.col("shift"))
     here = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond"))
     rest = ranked.join(F.broadcast(steps), here).withColumns({"sequence_id": F.expr("sequence + (rank - first) div times"), "offset": F.expr("at + (rank - first) % times * length")})
     columns = [*pieces.columns, "sequence_id", "offset"]

@@ -8,15 +8,14 @@ part of a character counts where that character lies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.chunks import small_batches
+from tidewire.llm.chunks import column, small_batches
 from tidewire.llm.common import text_or_empty
 from tidewire.llm.packing import chunk_table
 
@@ -69,27 +68,29 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None)
     are ignored.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def starts_of(text: str, own: list[int] | None) -> np.ndarray:
+        if sections is None:
+            size = np.fromiter(map(len, text.split("\n")), "int64") + 1
+            starts = size.cumsum() - size
+            return starts[:-1] if len(starts) > 1 and starts[-1] == len(text) else starts
+        inner = np.asarray([] if own is None else own, "int64")
+        inner = inner[np.maximum.accumulate(inner) == inner]
+        return np.unique(np.append(0, inner[(inner > 0) & (inner < len(text))]))
+
+    def run(batches):
         table, lengths = chunk_table(tokenizer), byte_lengths(tokenizer)
-        for part in small_batches(frames):
+        for part in small_batches(batches):
+            texts = column(part, "text").to_pylist()
+            given = column(part, "starts").to_pylist() if sections else [None] * len(texts)
+            ids, bounds = table.encoded(column(part, "text"))
             out = []
-            texts = part["text"].tolist()
-            given = part["starts"].tolist() if sections else [None] * len(texts)
-            for doc_id, text, own, values in zip(part["doc_id"], texts, given, table.values(texts), strict=True):
-                if sections is None:
-                    size = np.fromiter(map(len, text.split("\n")), "int64") + 1
-                    starts = size.cumsum() - size
-                    starts = starts[:-1] if len(starts) > 1 and starts[-1] == len(text) else starts
-                else:
-                    inner = np.asarray([] if own is None else own, "int64")
-                    inner = inner[(inner > 0) & (inner < len(text))]
-                    starts = np.concatenate([[0], inner[np.maximum.accumulate(inner) == inner]]).astype("int64")
-                    starts = np.unique(starts)
-                n, crossing = attribute(token_spans(text, np.frombuffer(b"".join(values), "<u4"), lengths), starts, len(text))
-                k = len(starts)
-                out.append((np.full(k, doc_id, "object"), np.arange(k), starts, np.append(starts[1:], len(text)) - starts, n, crossing))
-            yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("doc_id", "section", "start", "length", "n_tokens", "n_crossing"), zip(*out, strict=True), strict=True)})
+            for i, (text, own) in enumerate(zip(texts, given, strict=True)):
+                starts = starts_of(text, own)
+                n, crossing = attribute(token_spans(text, ids[bounds[i] : bounds[i + 1]], lengths), starts, len(text))
+                out.append((np.full(len(starts), i), np.arange(len(starts)), starts, np.append(starts[1:], len(text)) - starts, n, crossing))
+            row, section, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(pa.array(row)), pa.array(section, pa.int32()), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "section", "start", "length", "n_tokens", "n_crossing"])
 
     columns = ["doc_id", text_or_empty().alias("text"), *([F.col(sections).alias("starts")] if sections else [])]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, section int, start long, length long, n_tokens long, n_crossing long"
-    return docs.select(*columns).mapInPandas(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
