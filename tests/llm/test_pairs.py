@@ -78,6 +78,12 @@ def test_near_filter_keeps_one_of_each(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({c for _, c, _ in classes(texts)})
 
 
+def test_near_filter_tells_rows_of_one_number_apart(spark):
+    a, b = prose(1, 50), prose(2, 50)
+    out = drop_near_duplicates(documents(spark, [(3, a), (5, a + " x"), (5, b), (None, a), (None, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(3, a), (5, b)]
+
+
 def test_near_of_nothing(spark):
     assert near_duplicates(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert [tuple(r) for r in near_duplicates(documents(spark, [(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 3, 2, True), (4, 3, 2, False)]
@@ -127,9 +133,10 @@ def shared_passages():
     return out + [(90 + i, "".join(r.choice("ab") for _ in range(30)) * 6) for i in range(10)]
 
 
-@pytest.mark.parametrize("lane", [4096, 200])
-def test_substrings_equal_brute_force(spark, monkeypatch, lane):
+@pytest.mark.parametrize(("lane", "crowd"), [(4096, 20_000), (200, 20_000), (4096, 3)])
+def test_substrings_equal_brute_force(spark, monkeypatch, lane, crowd):
     monkeypatch.setattr(suffix_dedup, "LANE", lane)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     texts = odd_texts() + shared_passages()
     want = removed(texts)
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in substring_dedup(documents(spark, texts).repartition(3)).collect()]
@@ -137,6 +144,17 @@ def test_substrings_equal_brute_force(spark, monkeypatch, lane):
     assert sorted(clean, key=repr) == sorted(((t[0], *want[t[0], (t[1] or "").encode()]) for t in texts), key=repr)
 
 
+def test_anchors_in_steps():
+    r = np.random.default_rng(2)
+    data, bounds = r.integers(97, 100, 3000).astype("uint8"), np.array([0, 700, 730, 730, 2990, 3000])
+    whole = suffix_dedup.anchors(data, bounds, 50, 24)
+    covered = {(t, f + k): h for h, t, f, n, _ in zip(*whole, strict=True) for k in range(n)}
+    assert set(covered) == {(t, i) for t in range(5) for i in range(bounds[t + 1] - bounds[t] - 49)}
+    for step in (1, 64, 999):
+        parts = suffix_dedup.anchors(data, bounds, 50, 24, step)
+        assert {(t, f + k): h for h, t, f, n, _ in zip(*parts, strict=True) for k in range(n)} == covered
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup(documents(spark, [(1, "x")]).filter("false")).collect() == []
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,6 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     consumers read is computed once.
     """
     spark = df.sparkSession
+    # Plans that nothing names any more are let go, and with them the shuffle files of earlier steps.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

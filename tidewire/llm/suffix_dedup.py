@@ -47,11 +47,18 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int, step: int = 2_000_000) -> tuple[np.ndarray, ...]:
     """(hash, text, first window, windows, anchor) of runs of windows with one anchor.
 
-    Text i is data[bounds[i]:bounds[i + 1]]; positions count from its start.
+    Text i is data[bounds[i]:bounds[i + 1]]; positions count from its start. Windows are taken
+    ``step`` at a time, so a very long text needs no more memory than many short ones.
     """
+    found = [_anchors(data[lo : lo + step + width - 1], bounds - lo, width, core) for lo in range(0, max(len(data), 1), step)]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows that lie in ``data``, of texts whose bounds may lie outside it."""
     none = np.empty(0, "int64")
     n = len(data)
     if n < width:
@@ -64,8 +71,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tupl
     low = np.uint64((1 << 20) - 1)
     packed = (hashes & ~low) | (np.arange(len(hashes), dtype="uint64") & low)
     best = _least(packed, width - core + 1)
+    here = np.clip(bounds, 0, n)
     whole = np.zeros(len(best), bool)  # windows that lie in one text
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+    for a, b in zip(here[:-1], here[1:], strict=True):
         if b - a >= width:
             whole[a : b - width + 1] = True
     fresh = whole.copy()
@@ -76,7 +84,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tupl
     total = np.cumsum(np.append(0, whole))
     run = total[np.append(first[1:], len(whole))] - total[first]
     at = first + ((best[first] - first.astype("uint64")) & low).astype("int64")
-    text = np.searchsorted(bounds, first, "right") - 1
+    text = np.searchsorted(here, first, "right") - 1
     return hashes[at], text, first - bounds[text], run, at - bounds[text]
 
 
@@ -103,31 +111,42 @@ def _part_name(nodes: list[bytes]) -> bytes:
 
 
 def shared_runs(texts: DataFrame, buckets: int, width: int, core: int) -> DataFrame:
-    """(part, runs, nodes): runs of windows whose anchors several texts hold, and which texts a part has.
+    """(bucket, part, body, kind): runs of windows whose anchors several texts hold, and which texts a part has.
 
     ``texts`` is (node, text). A part is a bounded slice of a task's rows; anchors of a part
-    travel in one piece per bucket.
+    travel in one piece per bucket, each anchor at most once if several texts of the part hold
+    it, so one that every document holds is as rare in its bucket as parts are.
     """
-    lead_bits = np.uint64(32)
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.binary()), ("body", pa.binary()), ("kind", pa.string())])
 
     def find(batches):
         for batch, data, bounds in byte_parts(batches):
             nodes = batch.column(batch.schema.get_field_index("node")).to_pylist()
             name = _part_name(nodes)
             h, text, first, run, at = anchors(data, bounds, width, core)
-            bucket = ((h >> lead_bits) % np.uint64(buckets)).astype("int64")
+            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype("int64")
             out = np.empty(len(h), RUN)
             out["hash"], out["text"], out["first"], out["run"], out["lead"] = h & np.uint64(0xFFFFFFFF), text, first, run, at - first
-            order = np.lexsort((out["hash"], bucket))
+            order = np.lexsort((out["text"], out["hash"], bucket))
             out, bucket = out[order], bucket[order]
+            # What several texts of the part hold is known to be shared; one of its runs speaks for it elsewhere.
+            fresh = np.ones(len(out), bool)
+            fresh[1:] = (bucket[1:] != bucket[:-1]) | (out["hash"][1:] != out["hash"][:-1])
+            group = np.cumsum(fresh) - 1
+            moved = ~fresh
+            moved[1:] &= out["text"][1:] != out["text"][:-1]
+            local = (np.bincount(group, moved) > 0)[group] if len(out) else moved
+            known = bucket[local].astype("<i4").tobytes() + out[local].tobytes()
+            out, bucket = out[~local | fresh], bucket[~local | fresh]
             own, start = np.unique(bucket, return_index=True)
             ends = np.append(start[1:], len(out))
-            rows = {"bucket": [-1 - name[0], *own.tolist()], "part": [name] * (len(own) + 1), "body": [b"".join(nodes), *(out[a:b].tobytes() for a, b in zip(start, ends, strict=True))]}
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int64()), ("part", pa.binary()), ("body", pa.binary())]))
+            own_key = -1 - int.from_bytes(name[:7], "little")
+            rows = [(own_key, name, b"".join(nodes), "nodes"), (own_key, name, known, "known"), *((k, name, out[a:b].tobytes(), "runs") for k, a, b in zip(own.tolist(), start, ends, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def keep_shared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            return frame.assign(kind="nodes")
+            return frame
         bodies = [np.frombuffer(b, RUN) for b in frame["body"]]
         runs = np.concatenate(bodies)
         part = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
@@ -141,10 +160,9 @@ def shared_runs(texts: DataFrame, buckets: int, width: int, core: int) -> DataFr
         keep[order[several]] = True
         ends = np.cumsum([len(b) for b in bodies])
         found = [b[keep[e - len(b) : e]] for b, e in zip(bodies, ends, strict=True)]
-        rows = [(key[0], p, f.tobytes(), "runs") for p, f in zip(frame["part"], found, strict=True) if len(f)]
-        return pd.DataFrame(rows, columns=["bucket", "part", "body", "kind"])
+        return pd.DataFrame([(key[0], p, f.tobytes(), "runs") for p, f in zip(frame["part"], found, strict=True) if len(f)], columns=schema.names)
 
-    sent = texts.mapInArrow(find, "bucket long, part binary, body binary")
+    sent = texts.mapInArrow(find, "bucket long, part binary, body binary, kind string")
     return cut(sent.groupBy("bucket").applyInPandas(keep_shared, "bucket long, part binary, body binary, kind string"))
 
 
@@ -153,12 +171,14 @@ def runs_by_text(shared: DataFrame) -> DataFrame:
 
     def regroup(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         names = frame.loc[frame["kind"] == "nodes", "body"].iloc[0]
+        known = frame.loc[frame["kind"] == "known", "body"].iloc[0]
+        n = len(known) // (4 + RUN.itemsize)
         pieces = frame[frame["kind"] == "runs"]
-        if not len(pieces):
-            return pd.DataFrame(columns=["node", "buckets", "runs"])
         bodies = [np.frombuffer(b, RUN) for b in pieces["body"]]
-        runs = np.concatenate(bodies)
-        bucket = np.repeat(pieces["bucket"].to_numpy("int64"), [len(b) for b in bodies])
+        runs = np.concatenate([np.frombuffer(known, RUN, offset=4 * n), *bodies])
+        bucket = np.concatenate([np.frombuffer(known, "<i4", n), np.repeat(pieces["bucket"].to_numpy("int64"), [len(b) for b in bodies])])
+        if not len(runs):
+            return pd.DataFrame(columns=["node", "buckets", "runs"])
         order = np.argsort(runs["text"], kind="stable")
         runs, bucket = runs[order], bucket[order]
         own, start = np.unique(runs["text"], return_index=True)
@@ -265,8 +285,9 @@ CROWD = 20_000
 
 
 def first_places(distinct: DataFrame, width: int) -> DataFrame:
-    """(anchor, context, lead, spans): for runs of a context's windows the least place that holds them.
+    """(anchor, digest, lead, spans): for runs of a context's windows the least place that holds them.
 
+    A context is named by a digest, which only has to tell those of one anchor apart.
     ``distinct`` is (anchor, context, lead, place) with one row per anchor, context and lead.
     """
     crowded = cut(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("anchor"))
@@ -277,10 +298,10 @@ def first_places(distinct: DataFrame, width: int) -> DataFrame:
 def grouped_places(distinct: DataFrame, width: int) -> DataFrame:
     """What first_places returns, window by window: for anchors with a crowd of contexts."""
     windows = F.transform(F.sequence(F.lit(0), F.octet_length("context") - width), lambda i: F.substring(F.col("context"), i + 1, F.lit(width)))
-    each = distinct.select("anchor", "context", "lead", "place", F.posexplode(windows).alias("begin", "window"))
+    each = distinct.select("anchor", F.xxhash64("context").alias("digest"), "lead", F.col("place"), F.posexplode(windows).alias("begin", "window"))
     best = each.groupBy("window").agg(F.min("place").alias("best"))
     span = F.struct(F.col("begin"), (F.col("begin") + 1).alias("end"), F.col("best").alias("place"))
-    return each.join(best, "window").groupBy("anchor", "context", "lead").agg(F.collect_list(span).alias("spans"))
+    return each.join(best, "window").groupBy("anchor", "digest", "lead").agg(F.collect_list(span).alias("spans"))
 
 
 def sorted_places(distinct: DataFrame, width: int) -> DataFrame:
@@ -328,10 +349,10 @@ def sorted_places(distinct: DataFrame, width: int) -> DataFrame:
         for i, values in result.items():
             begin = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
             spans[i] = list(zip(begin, [*begin[1:], len(values)], values[begin].tolist(), strict=True))
-        return pd.DataFrame({"anchor": anchor, "context": texts, "lead": leads, "spans": spans})
+        return pd.DataFrame({"anchor": anchor, "digest": frame["digest"], "lead": leads, "spans": spans})
 
-    grouped = distinct.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(_tasks(distinct))))
-    return grouped.groupBy("task").applyInPandas(solve, "anchor long, context binary, lead int, spans array<struct<begin:int,end:int,place:long>>")
+    grouped = distinct.withColumn("digest", F.xxhash64("context")).withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(_tasks(distinct))))
+    return grouped.groupBy("task").applyInPandas(solve, "anchor long, digest long, lead int, spans array<struct<begin:int,end:int,place:long>>")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -350,7 +371,8 @@ def removed_spans(texts: DataFrame, n_bytes: int, width: int, core: int) -> Data
     distinct = cut(occurrences.groupBy("anchor", "context", "lead").agg(F.min("place").alias("place")))
     solved = cut(first_places(distinct, width))
     later = F.filter("spans", lambda s: s["place"] < F.col("place"))
-    found = occurrences.join(solved, ["anchor", "context", "lead"]).select("node", F.explode(F.transform(later, lambda s: F.struct((F.col("position") + s["begin"]).alias("begin"), (F.col("position") + s["end"] - 1 + width).alias("end")))).alias("span"))
+    named = occurrences.select("anchor", F.xxhash64("context").alias("digest"), "lead", "node", "place", "position")
+    found = named.join(solved, ["anchor", "digest", "lead"]).select("node", F.explode(F.transform(later, lambda s: F.struct((F.col("position") + s["begin"]).alias("begin"), (F.col("position") + s["end"] - 1 + width).alias("end")))).alias("span"))
     return cut(found.groupBy("node").agg(F.array_sort(F.collect_set("span")).alias("spans")))
 
 
