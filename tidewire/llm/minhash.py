@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import SPACE_CLASS, cut, join_small, text_or_empty
@@ -37,12 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parts_of_text() -> Column:
+    return F.filter(F.split(text_or_empty(), SPACE_CLASS + "+", -1), lambda w: w != "")
+
+
+def node_of(parts: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(parts, " ")))
+
+
 def words(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, words): the digest of a document's words and their hashes. Only JVM functions touch the text."""
-    text = text_or_empty()
-    spaced = F.trim(F.regexp_replace(text, SPACE_CLASS + "+", " "))
-    hashes = F.when(F.col("spaced") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("spaced", " ", -1), lambda w: F.xxhash64(w)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced.alias("spaced")).select("doc_id", F.unhex(F.md5("spaced")).alias("node"), hashes.alias("words"))
+    """(doc_id, node, words): the digest of a document's words and their 32-bit hashes.
+
+    Two given words share a hash once in 2**32, and a shingle mixes five of them into 64 bits.
+    """
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), parts_of_text().alias("parts"))
+    return split.select("doc_id", node_of(F.col("parts")).alias("node"), F.transform("parts", lambda w: F.hash(w)).alias("words"))
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +59,7 @@ def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A document of fewer than five words has one shingle of them all, one without words none.
     """
-    w = flat.view("uint64")
+    w = flat.astype("uint32").astype("uint64")
     sizes = np.diff(offsets)
     n = np.where(sizes >= WIDTH, sizes - WIDTH + 1, (sizes > 0).astype(sizes.dtype))
     doc = np.repeat(np.arange(len(sizes)), n)
@@ -70,7 +79,7 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(batches, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batches, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` words each."""
     for batch in batches:
         _, offsets = columns(batch)
@@ -92,7 +101,7 @@ def common_shingles(hashed: DataFrame, n_docs: int, rare: float) -> tuple[np.nda
     floor = max(rare * n_docs, LEAST_COMMON)
 
     def gather(batches):
-        for b in parts(batches):
+        for b in parts(batches, 4_000_000):
             h, _ = shingles(*columns(b))
             found, n = np.unique(h, return_counts=True)
             # n counts repetitions too: never too few
@@ -115,8 +124,10 @@ def common_shingles(hashed: DataFrame, n_docs: int, rare: float) -> tuple[np.nda
 
         return run
 
-    asked = cut(hashed.select("words").mapInArrow(gather, "shingle long").distinct())
-    if asked.count() <= 4_000_000:
+    # A part of some thousand documents asks for little that is not common.
+    whole = hashed.select("words").coalesce(max(1, n_docs // 8000))
+    asked = cut(whole.mapInArrow(gather, "shingle long").distinct())
+    if asked.count() <= 1_000_000:
         known = np.sort(asked.toPandas()["shingle"].to_numpy("int64").view("uint64"))
         counted = hashed.select("words").mapInArrow(tally(known), "shingle long, n long")
     else:
@@ -166,9 +177,23 @@ class Sampler:
         self.r, self.log_c, self.b = gamma(), np.log(gamma()), draw.random(1 << 16, "float32")
         self.seeds = draw.integers(1, 1 << 63, size, "uint64") * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(samples, documents) uint64; document i has the features from starts[i] to the next, one at least."""
-        log_w, low = np.log(weight).astype("float32"), np.uint64(0xFFFF)
+    def __call__(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """(samples, documents) uint64; document i has the features from starts[i] to the next, one at least.
+
+        Documents are taken in blocks of features that fit a processor's cache.
+        """
+        out = np.empty((len(self.seeds), len(starts)), "uint64")
+        bounds = np.append(starts, len(h))
+        at = 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1)
+            own = slice(bounds[at], bounds[end])
+            out[:, at:end] = self._block(h[own], np.log(weight[own]).astype("float32"), bounds[at:end] - bounds[at])
+            at = end
+        return out
+
+    def _block(self, h: np.ndarray, log_w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        low = np.uint64(0xFFFF)
         sizes = np.diff(np.append(starts, len(h)))
         out = np.empty((len(self.seeds), len(starts)), "uint64")
         for k, seed in enumerate(self.seeds):
@@ -180,8 +205,7 @@ class Sampler:
             b = self.b[(x >> np.uint64(32)) & low]
             t = np.floor(log_w / r + b)
             a = self.log_c[(x >> np.uint64(16)) & low] - r * (t - b + np.float32(1))
-            least = np.minimum.reduceat(a, starts)
-            hit = np.flatnonzero(a == np.repeat(least, sizes))
+            hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), sizes))
             hit = hit[np.searchsorted(hit, starts)]  # the first of equals
             out[k] = mix(h[hit] + t[hit].astype("int64").view("uint64"))
         return out
@@ -328,7 +352,23 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 3, rare: float = 0.001) -> DataFrame:
+def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 3, rare: float = 0.001) -> DataFrame:
+    """What near_duplicates returns, with each row's node."""
+    hashed = cut(words(docs))  # read five times; four bytes a word
+    placed = hashed.select("doc_id", "node")
+    firsts = cut(placed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    n_docs = placed.count()
+    weights = Weights(n_docs, rare, common_shingles(hashed, n_docs, rare))
+    signed = signatures(hashed, weights, bands, rows).groupBy("node").agg(F.first("n_features").alias("n_features"), F.first("keys").alias("keys"))
+    members = cut(buckets(signed))
+    roots = components(verified_links(hashed, members, firsts.select("node", "first_id"), weights, least))
+    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    of_node = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
+    return placed.join(of_node, "node").select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, class_size, kept: one row per row of ``docs``.
 
     Documents are linked if the weighted Jaccard similarity of their five-word shingles is
@@ -339,23 +379,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 12, rows:
     Words are what white space separates. Null text counts as empty; texts without words
     equal each other, and so do texts of the same words. A text of fewer than five words has
     one shingle. A null doc_id is larger than any other. Rows that repeat a doc_id in a class
-    share its verdict. An empty table gives no rows. Other columns are ignored.
+    share its verdict. An empty table gives no rows. Other columns are ignored. Parameters are
+    those of classified.
     """
-    hashed = words(docs)
-    placed = cut(hashed.select("doc_id", "node"))
-    firsts = cut(placed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    n_docs = placed.count()
-    weights = Weights(n_docs, rare, common_shingles(hashed, n_docs, rare))
-    signed = signatures(hashed, weights, bands, rows).groupBy("node").agg(F.first("n_features").alias("n_features"), F.first("keys").alias("keys"))
-    members = cut(buckets(signed))
-    roots = components(verified_links(hashed, members, firsts.select("node", "first_id"), weights, least))
-    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
-    return placed.join(of_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return classified(docs, **how).drop("node")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, with all their columns."""
-    kept = cut(near_duplicates(docs, **how).filter(~F.col("kept")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("gone")).distinct())
-    return join_small(docs, kept, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")) == F.col("gone"), "left_anti", row_bytes=48)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    gone = cut(classified(docs, **how).filter(~F.col("kept")).select(key.alias("gone_id"), F.col("node").alias("gone_node")).distinct())
+    return join_small(docs, gone, (key == F.col("gone_id")) & (node_of(parts_of_text()) == F.col("gone_node")), "left_anti", row_bytes=72)
