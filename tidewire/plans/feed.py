@@ -258,10 +258,10 @@ def rel_card_view(spark, sf):
     return wide.select("id", named.alias("source"), F.concat_ws(", ", "location", "region").alias("place"), slug(F.col("location")).alias("slug"), F.coalesce("quality", F.lit(0.0)).alias("shown_quality"))
 
 
-@query("SELECT k, count(*) AS n, round(avg(value), 4) AS mean FROM (SELECT json_extract_string(props, '$.k')::bigint AS k, value FROM events) WHERE k IS NOT NULL GROUP BY k")
+@query("SELECT k, count(*) AS n, sum(round(value * 100)::bigint)::bigint AS cents FROM (SELECT json_extract_string(props, '$.k')::bigint AS k, value FROM events) WHERE k IS NOT NULL GROUP BY k")
 def rel_json_props(spark, sf):
     parsed = table(spark, sf, "events").select(F.from_json("props", "k bigint")["k"].alias("k"), "value")
-    return parsed.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return parsed.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
 @query("SELECT r_name AS region, n_name AS location, count(*) AS n FROM cards JOIN nation ON location_id = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2 ORDER BY n DESC, location LIMIT 10", CARDS)
