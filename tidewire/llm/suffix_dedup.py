@@ -186,9 +186,8 @@ def runs_by_text(shared: DataFrame) -> DataFrame:
         rows = [(names[16 * t : 16 * t + 16], bucket[a:b].astype("<i4").tobytes(), runs[a:b].tobytes()) for t, a, b in zip(own.tolist(), start, ends, strict=True)]
         return pd.DataFrame(rows, columns=["node", "buckets", "runs"])
 
-    # A part sliced twice, after a lost task, has the same name and the same rows.
-    once = shared.dropDuplicates(["part", "bucket", "kind"])
-    return once.groupBy("part").applyInPandas(regroup, "node binary, buckets binary, runs binary").dropDuplicates(["node"])
+    # Rows that repeat a text may lie in several parts; one of them speaks for all.
+    return shared.groupBy("part").applyInPandas(regroup, "node binary, buckets binary, runs binary").dropDuplicates(["node"])
 
 
 def contexts(texts: DataFrame, runs: DataFrame, width: int) -> DataFrame:
