@@ -48,19 +48,14 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) < width, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), of_windows)))
 
 
-def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """The base counts of every document and the rates that are compared within a source.
-
-    With ``carry`` the whole row of ``docs`` goes along in the column ``row``.
-    """
-    row = [F.struct("*").alias("row")] if carry else []
+def measure(docs: DataFrame) -> DataFrame:
+    """The base counts of every document and the rates that are compared within a source."""
     text = F.col("text").cast("string")
     parts = docs.select(
         "doc_id",
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(text, F.lit("")).alias("text"),
-        *row,
     ).withColumns(
         {
             "words": words_of(F.col("text")),
@@ -69,7 +64,6 @@ def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
     )
     long = lambda c: c.cast("long")
     counts = parts.select(
-        *(["row"] if carry else []),
         "doc_id",
         "lang",
         "source",
@@ -160,8 +154,13 @@ def quality_rules(docs: DataFrame, k: int = 800, least: int = 30, reach: float =
 def filter_quality(docs: DataFrame, k: int = 800, least: int = 30, reach: float = 3.0) -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps, with all their columns.
 
-    Measures are taken twice, once for the sketches and once for the verdict, so that no text
-    is shuffled or written.
+    Texts are measured once; the keys of rejected rows are taken out of ``docs``, by broadcast
+    if their table proves small.
     """
-    fences = cut(thresholds(sketches(measure(docs), k), least, reach))
-    return judged(measure(docs, carry=True), fences).filter("kept").select("row.*")
+    measured = cut(measure(docs))
+    fences = cut(thresholds(sketches(measured, k), least, reach))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    bad = judged(measured, fences).filter("not kept").select(named.alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    same = (named == F.col("bad_id")) & (F.xxhash64(text("text")) == F.col("bad_hash")) & (text("lang") == F.col("bad_lang")) & (text("source") == F.col("bad_source"))
+    return join_small(docs, cut(bad), same, "left_anti", row_bytes=96)
