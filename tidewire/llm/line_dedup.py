@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, let, text_or_empty
+from tidewire.llm.common import cut, join_small, let, text_or_empty
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -71,10 +71,12 @@ def without_repeats(docs: DataFrame, w: int = 3) -> DataFrame:
     """Each row of ``docs`` in the struct ``row``, its ``lines``, and ``kept``: the lines outside repeated runs."""
     runs = repeated_runs(cut(line_hashes(docs)), w)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    starts = runs.groupBy(key.alias("run_key"), F.col("text_hash").alias("run_hash")).agg(F.collect_set("start").alias("starts"))
+    starts = cut(runs.groupBy(key.alias("run_key"), F.col("text_hash").alias("run_hash")).agg(F.collect_set("start").alias("starts")))
     frame = docs.select(F.struct("*").alias("row"), key.alias("doc_key"), F.xxhash64(text_or_empty()).alias("text_hash"), F.split(text_or_empty(), "\n", -1).alias("lines"))
     on = (F.col("doc_key") == F.col("run_key")) & (F.col("text_hash") == F.col("run_hash"))
-    return frame.join(starts, on, "left").select("row", "lines", _kept_lines(w).alias("kept"))
+    # Texts are not shuffled while the documents that lose lines are few.
+    n, runs_of = starts.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    return join_small(frame, starts, on, "left", row_bytes=64 + 8 * runs_of // max(n, 1)).select("row", "lines", _kept_lines(w).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, w: int = 3) -> DataFrame:
