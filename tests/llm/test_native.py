@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ from edge import documents, odd_texts, prose
 from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.line_dedup import drop_repeated_lines, line_dedup
 from tidewire.llm.quality import SLACK, filter_quality, quality_rules
-from tidewire.llm.secrets import RULES, Rule, redact, secret_scan, trigram_query
+from tidewire.llm.secrets import KEY_BLOCK, RULES, Rule, redact, secret_scan, trigram_query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 last = lambda i: (i is None, i or 0)
@@ -100,6 +101,29 @@ def test_redaction(spark):
     assert (None, None) in out and redact(docs).columns == docs.columns
 
 
+def test_private_keys_go_whole(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    r = random.Random(11)
+    lines = ["".join(r.choice("ABCDwxyz0189+/") for _ in range(64)) for _ in range(25)] + ["Ab+/9w=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    body = "\n".join(lines)
+    texts = [
+        (1, f"before\n{head}\n{body}\n{foot}\nafter it"),
+        (2, f"before\r\n{head}\r\n{fields}{body}\r\n{foot}\r\nafter it"),
+        (3, "before " + f'{head}\n{body}\n{foot}'.replace("\n", "\\n") + " after it"),
+        (4, f"before {head} {' '.join(lines)} {foot} after it"),
+        (5, f"before\n{head}\n{body}\nafter it"),
+        (6, f"before\n{head}\n{fields}{body}\nafter it"),
+        (7, f"before {head} after it"),
+        (8, f"{head}\n{body}\n{foot}\n{head}\n{body}\n{foot}"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in redact(documents(spark, texts)).collect()}
+    assert {i: t.split() for i, t in out.items()} == {i: ["before", "[private_key]", "after", "it"] for i in range(1, 8)} | {8: ["[private_key]"] * 2}
+    got = sorted(tuple(r)[1:] for r in secret_scan(documents(spark, texts)).collect())
+    assert got == sorted(spans(t[1]) for t in texts)
+    assert trigram_query(KEY_BLOCK) == trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
 def test_exact_groups(spark):
     texts = odd_texts()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")

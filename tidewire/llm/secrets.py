@@ -31,12 +31,26 @@ class Rule:
     least: int = 1
 
 
+#: What may stand between the pieces of a key's body: white space, escaped line ends, quotes of mails and of source text.
+_GAP = r"""\x20\t\r\n\\"'>,"""
+_BASE64 = "A-Za-z0-9+/="
+#: 16 or more, written out: DuckDB does not nest counts whose product is over 1000.
+_RUN = f"[{_BASE64}]" * 16 + f"[{_BASE64}]*"
+_FIELDS = r"(?:[\x20\t\r\n\\]+[A-Za-z0-9-]+:\x20[^\x20\t\r\n\\]+){0,8}"
+#: A private key from its header to its END line; without one, to the end of the base64 runs of 16 characters or more
+#: behind the header (a padded run may be shorter). Runs are counted, as Java recurses for each of them.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:{_FIELDS}[{_BASE64}{_GAP}]*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|{_FIELDS}[{_GAP}]*{_RUN}(?:[{_GAP}]+{_RUN}){{0,400}}(?:[{_GAP}]+[A-Za-z0-9+/]+=+)?)?"
+)
+
 #: Base rules in the order in which spans that start together are listed, and those that this library adds.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", KEY_BLOCK),
     Rule("forge_token", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
 )
 BASE = ("assign", "access", "hex")
