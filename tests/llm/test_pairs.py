@@ -155,6 +155,22 @@ def test_anchors_in_steps():
         assert {(t, f + k): h for h, t, f, n, _ in zip(*parts, strict=True) for k in range(n)} == covered
 
 
+def test_leads_do_not_depend_on_the_place():
+    r = np.random.default_rng(3)
+    noise, rule = r.integers(97, 123, 2 << 20).astype("uint8"), np.frombuffer(b"=-" * 38, "uint8")
+
+    def leads(before: int) -> list[int]:
+        data = np.concatenate([noise[:before], rule, noise[before : before + 100]])
+        runs = zip(*suffix_dedup.anchors(data, np.array([0, before, before + 76, len(data)]), 50, 24)[1:], strict=True)
+        return [at - f - k for t, f, n, at in runs if t == 1 for k in range(n)]
+
+    want = leads(100)
+    assert len(want) == 27
+    for end in (1 << 20, (1 << 20) - 50, 2 << 20):
+        for shift in (75, 50, 38, 25, 1):
+            assert leads(end - shift) == want
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup(documents(spark, [(1, "x")]).filter("false")).collect() == []
 

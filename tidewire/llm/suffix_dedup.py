@@ -24,6 +24,8 @@ from tidewire.llm.minhash import mix
 from tidewire.llm.suffix_sort import suffix_arrays
 
 CORE = 24
+#: Bits of a position inside a step; the rest of a word are bits of the hash.
+PLACE_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 #: doc_id of rows without one: behind all others.
@@ -47,12 +49,14 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int, step: int = 2_000_000) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int, step: int = 1 << PLACE_BITS) -> tuple[np.ndarray, ...]:
     """(hash, text, first window, windows, anchor) of runs of windows with one anchor.
 
     Text i is data[bounds[i]:bounds[i + 1]]; positions count from its start. Windows are taken
-    ``step`` at a time, so a very long text needs no more memory than many short ones.
+    ``step`` at a time, so a very long text needs no more memory than many short ones. A step
+    holds no position beyond PLACE_BITS: of equal cores in a window the leftmost is the anchor.
     """
+    step = min(step, (1 << PLACE_BITS) - width)
     found = [_anchors(data[lo : lo + step + width - 1], bounds - lo, width, core) for lo in range(0, max(len(data), 1), step)]
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
@@ -68,7 +72,7 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tup
         sums = np.zeros(n + 1, "uint64")
         np.cumsum((data.astype("uint64") + np.uint64(1)) * powers, out=sums[1:])
         hashes = mix((sums[core:] - sums[:-core]) * _powers(_BACK, n - core + 1))
-    low = np.uint64((1 << 20) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     packed = (hashes & ~low) | (np.arange(len(hashes), dtype="uint64") & low)
     best = _least(packed, width - core + 1)
     here = np.clip(bounds, 0, n)
