@@ -89,6 +89,15 @@ def test_near_of_nothing(spark):
     assert [tuple(r) for r in near_duplicates(documents(spark, [(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 3, 2, True), (4, 3, 2, False)]
 
 
+def test_every_shingle_has_its_own_weight(spark):
+    # Three documents share 56 shingles and have six of their own each: 0.82 with equal weights, 0.74 by rarity.
+    shared, own = prose(31, 60), [prose(32 + i, 6) for i in range(3)]
+    texts = [(i, f"{shared} {o}") for i, o in enumerate(own)] + [(10 + i, prose(50 + i, 60)) for i in range(6)]
+    got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_duplicates(documents(spark, texts)).collect()]
+    assert sorted(got, key=repr) == classes(texts)
+    assert sorted(got) == [(i, i, 1) for i, _ in texts]
+
+
 def test_sampler_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 62, 300, "uint64")

@@ -6,13 +6,14 @@ features are banded; nodes that share a band meet in a bucket, are compared ther
 weighted Jaccard similarity, and each bucket returns no more links than hold its members
 together. Classes are the connected components.
 
-Document frequencies up to a share ``rare`` of the corpus count as that share. The
-shingles above it are then few, at most (shingles per document) / rare of them however large
-the corpus, and they are counted exactly over all documents.
+The document frequency of every shingle is counted exactly: parts of the corpus send their
+distinct shingles to ranges of hashes, which add up and send the frequencies back in the same
+order, so a part needs no more than its own.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACE_CLASS, cut, join_small, text_or_empty
+from tidewire.llm.common import SPACE_CLASS, cut, join_small, partitions, text_or_empty
 
 WIDTH = 5
-#: A shingle this rare or rarer has the full weight even in a small corpus.
-LEAST_COMMON = 16
+#: Shingles that this many documents hold, the fewest there can be, have the full weight.
+LEAST_COMMON = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,66 +92,57 @@ def parts(batches, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def common_shingles(hashed: DataFrame, n_docs: int, rare: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and document frequencies of the shingles that more than ``rare * n_docs`` documents hold.
+def packed_parts(hashed: DataFrame) -> DataFrame:
+    """(part, nodes, sizes, flat): slices of about a million words as one row each, numbered for good."""
+    schema = pa.schema([("nodes", pa.binary()), ("sizes", pa.binary()), ("flat", pa.binary())])
 
-    A shingle as common as that in the corpus is so in some part of it. The first pass
-    gathers what is common in a part, the second counts those over all documents. Parts
-    are counted against a broadcast list if that proves small, else by a join.
+    def pack(batches):
+        for b in parts(batches):
+            flat, offsets = columns(b)
+            row = b"".join(b.column("node").to_pylist()), np.diff(offsets).astype("<i4").tobytes(), flat.astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], schema=schema)
+
+    packed = hashed.select("node", "words").mapInArrow(pack, "nodes binary, sizes binary, flat binary")
+    return cut(packed.select(F.monotonically_increasing_id().alias("part"), "nodes", "sizes", "flat"))
+
+
+def unpacked(sizes: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(flat, "<i4"), np.append(0, np.frombuffer(sizes, "<i4").astype("int64").cumsum())
+
+
+def document_frequencies(packed: DataFrame, ranges: int) -> DataFrame:
+    """(part, found): the frequencies over all documents of each part's distinct shingles, in order of hashes.
+
+    ``found`` is an array of (range, counts), the counts of a range as 32-bit integers.
     """
-    floor = max(rare * n_docs, LEAST_COMMON)
-
-    def gather(batches):
-        for b in parts(batches, 4_000_000):
-            h, _ = shingles(*columns(b))
-            found, n = np.unique(h, return_counts=True)
-            # n counts repetitions too: never too few
-            yield pa.RecordBatch.from_pydict({"shingle": found[n > floor / n_docs * b.num_rows].view("int64")})
-
-    def tally(asked: np.ndarray | None):
-        def run(batches):
-            for b in parts(batches):
-                h, doc = shingles(*columns(b))
-                if asked is not None:
-                    at = np.minimum(np.searchsorted(asked, h), max(len(asked) - 1, 0))
-                    known = asked[at] == h if len(asked) else np.zeros(len(h), bool)
-                    h, doc = h[known], doc[known]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                found, n = np.unique(h[first], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"shingle": found.view("int64"), "n": n.astype("int64")})
-
-        return run
-
-    # A part of some thousand documents asks for little that is not common.
-    whole = hashed.select("words").coalesce(max(1, n_docs // 8000))
-    asked = cut(whole.mapInArrow(gather, "shingle long").distinct())
-    if asked.count() <= 1_000_000:
-        known = np.sort(asked.toPandas()["shingle"].to_numpy("int64").view("uint64"))
-        counted = hashed.select("words").mapInArrow(tally(known), "shingle long, n long")
-    else:
-        counted = hashed.select("words").mapInArrow(tally(None), "shingle long, n long").join(asked, "shingle", "left_semi")
-    rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > floor).toPandas()
-    h, n = rows["shingle"].to_numpy("int64").view("uint64"), rows["n"].to_numpy("int64")
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-class Weights:
-    """Inverse document frequency of shingles as a share of the largest."""
-
-    def __init__(self, n_docs: int, rare: float, common: tuple[np.ndarray, np.ndarray]):
-        self.hashes, counts = common
-        top = np.log1p(n_docs / max(rare * n_docs, LEAST_COMMON, 1))
-        self.idf = np.log1p(n_docs / counts) / top
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(h))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.idf[at], 1.0)
+    schema = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], "uint64")
+
+    def send(batches):
+        for b in batches:
+            for part, sizes, flat in zip(*(b.column(c).to_pylist() for c in ("part", "sizes", "flat")), strict=True):
+                h, _, _ = counted_shingles(*shingles(*unpacked(sizes, flat)))
+                found, n = np.unique(h, return_counts=True)
+                at = [0, *np.searchsorted(found, edges).tolist(), len(found)]
+                pieces = [(k, part, found[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
+                if pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(x) // 8 for x in frame["body"]]
+        _, place = np.unique(np.frombuffer(b"".join(frame["body"]), "uint64"), return_inverse=True)
+        total = np.bincount(place, np.frombuffer(b"".join(frame["counts"]), "<u4")).astype("<u4")[place]
+        back = [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
+        return pd.DataFrame({"range": frame["range"], "part": frame["part"], "counts": back})
+
+    sent = packed.select("part", "sizes", "flat").mapInArrow(send, "range int, part long, body binary, counts binary")
+    back = cut(sent.groupBy("range").applyInPandas(add, "range int, part long, counts binary"))
+    return back.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("found"))
+
+
+def idf(counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """Inverse document frequency as a share of the largest."""
+    return np.log1p(n_docs / counts) / np.log1p(n_docs / LEAST_COMMON)
 
 
 def counted_shingles(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,23 +215,28 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(hashed: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
-    """(node, n_features, keys) of the documents that have words."""
+def signatures(packed: DataFrame, frequencies: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
+    """(node, n_features, keys, counts) of the documents that have words.
+
+    ``counts`` are the document frequencies of a node's distinct shingles, in order of hashes.
+    """
     sampler = Sampler(bands * rows)
 
     def run(batches):
-        for b in parts(batches):
-            h, doc, n = counted_shingles(*shingles(*columns(b)))
-            own, starts = np.unique(doc, return_index=True)
-            if not len(own):
-                continue
-            keys = band_keys(sampler(h, weights(h) * n, starts), rows)
-            flat = pa.array(np.ascontiguousarray(keys.T).view("int64").ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), flat)
-            features = np.add.reduceat(n, starts)
-            yield pa.RecordBatch.from_pydict({"node": b.column("node").take(pa.array(own)), "n_features": pa.array(features, pa.int64()), "keys": lists})
-
-    return hashed.select("node", "words").mapInArrow(run, "node binary, n_features long, keys array<long>")
+        for b in batches:
+            for nodes, sizes, flat, pieces in zip(*(b.column(c).to_pylist() for c in ("nodes", "sizes", "flat", "found")), strict=True):
+                h, doc, n = counted_shingles(*shingles(*unpacked(sizes, flat)))
+                own, starts = np.unique(doc, return_index=True)
+                known = np.frombuffer(b"".join(p["counts"] for p in pieces), "<u4")
+                counts = known[np.unique(h, return_inverse=True)[1]]
+                keys = band_keys(sampler(h, idf(counts, n_docs) * n, starts), rows)
+                flat_keys = pa.array(np.ascontiguousarray(keys.T).view("int64").ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), flat_keys)
+                bodies = [x.tobytes() for x in np.split(counts, starts[1:])]
+                names = [nodes[16 * i : 16 * i + 16] for i in own.tolist()]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "n_features": pa.array(np.add.reduceat(n, starts), pa.int64()), "keys": lists, "counts": pa.array(bodies, pa.binary())})
+
+    return packed.join(frequencies, "part").select("nodes", "sizes", "flat", "found").mapInArrow(run, "node binary, n_features long, keys array<long>, counts binary")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -252,8 +249,8 @@ def buckets(signed: DataFrame) -> DataFrame:
     return members.join(chosen, "bucket")
 
 
-def similar_links(rows: list[tuple[bytes, np.ndarray, int]], weights: Weights, least: float, across: bool) -> list[tuple[bytes, bytes]]:
-    """Links of ``least`` or more that connect the nodes (node, sorted shingles, side) as all such links do.
+def similar_links(rows: list[tuple[bytes, np.ndarray, int, np.ndarray]], least: float, across: bool) -> list[tuple[bytes, bytes]]:
+    """Links of ``least`` or more that connect the nodes (node, sorted shingles, side, weights) as all such links do.
 
     Every pair is compared (with ``across`` those of different sides), by products of
     feature matrices in slices of columns. The n-th repetition of a shingle is a feature.
@@ -267,7 +264,7 @@ def similar_links(rows: list[tuple[bytes, np.ndarray, int]], weights: Weights, l
     copy = place - np.maximum.accumulate(np.where(fresh, place, 0))
     with np.errstate(over="ignore"):
         _, first, column = np.unique(h + copy.astype("uint64") * _ODD, return_index=True, return_inverse=True)
-    w = weights(h[first])
+    w = np.concatenate([r[3] for r in rows])[first]
     total = np.bincount(owner, w[column], len(rows))
     shared = np.bincount(column) > 1
     order = np.argsort(column, kind="stable")
@@ -298,7 +295,7 @@ def similar_links(rows: list[tuple[bytes, np.ndarray, int]], weights: Weights, l
     return links
 
 
-def verified_links(hashed: DataFrame, members: DataFrame, firsts: DataFrame, weights: Weights, least: float, most_features: int = 2_000_000, most_nodes: int = 2048) -> DataFrame:
+def verified_links(hashed: DataFrame, members: DataFrame, firsts: DataFrame, signed: DataFrame, n_docs: int, least: float, most_features: int = 2_000_000, most_nodes: int = 2048) -> DataFrame:
     """(a, b): links within buckets.
 
     A bucket of more features or nodes than given is cut into blocks by a hash of the node,
@@ -316,17 +313,23 @@ def verified_links(hashed: DataFrame, members: DataFrame, firsts: DataFrame, wei
             order = np.lexsort((h, doc))
             starts = np.searchsorted(doc, np.arange(b.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h[order].view("int64")))
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": lists})
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": lists, "counts": b.column("counts")})
 
     wanted = cut(members.select("node").distinct().join(firsts, "node").select(F.col("node").alias("wanted"), "first_id"))
     asked = (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    vectors = join_small(hashed, wanted, asked, "left_semi", row_bytes=48).select("node", "words").mapInArrow(sort_shingles, "node binary, shingles array<long>").dropDuplicates(["node"])
+    chosen = join_small(hashed, wanted, asked, "left_semi", row_bytes=48).select("node", "words").dropDuplicates(["node"])
+    vectors = chosen.join(signed.select("node", "counts"), "node").mapInArrow(sort_shingles, "node binary, shingles array<long>, counts binary")
+
+    def row(node: bytes, shingle: np.ndarray, own: int, counts: bytes) -> tuple:
+        h = np.asarray(shingle, "int64").view("uint64")
+        fresh = np.append(True, h[1:] != h[:-1])
+        return bytes(node), h, own, idf(np.frombuffer(counts, "<u4"), n_docs)[np.cumsum(fresh) - 1]
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(bytes(n), np.asarray(s, "int64").view("uint64"), o) for n, s, o in zip(frame["node"], frame["shingles"], frame["own"], strict=True)]
-        return pd.DataFrame(similar_links(rows, weights, least, key[1] != key[2]), columns=["a", "b"])
+        rows = [row(*x) for x in zip(frame["node"], frame["shingles"], frame["own"], frame["counts"], strict=True)]
+        return pd.DataFrame(similar_links(rows, least, key[1] != key[2]), columns=["a", "b"])
 
-    together = dealt.join(vectors, "node").select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "node", "own", "shingles")
+    together = dealt.join(vectors, "node").select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "node", "own", "shingles", "counts")
     return together.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
@@ -352,16 +355,17 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 3, rare: float = 0.001) -> DataFrame:
+def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 3) -> DataFrame:
     """What near_duplicates returns, with each row's node."""
-    hashed = cut(words(docs))  # read five times; four bytes a word
+    hashed = cut(words(docs))  # read several times; four bytes a word
     placed = hashed.select("doc_id", "node")
     firsts = cut(placed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    n_docs = placed.count()
-    weights = Weights(n_docs, rare, common_shingles(hashed, n_docs, rare))
-    signed = signatures(hashed, weights, bands, rows).groupBy("node").agg(F.first("n_features").alias("n_features"), F.first("keys").alias("keys"))
+    n_docs, n_words = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    packed = packed_parts(hashed)
+    frequencies = document_frequencies(packed, max(partitions(docs), n_words // 2_000_000))
+    signed = cut(signatures(packed, frequencies, n_docs, bands, rows).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_features", "keys", "counts")]))
     members = cut(buckets(signed))
-    roots = components(verified_links(hashed, members, firsts.select("node", "first_id"), weights, least))
+    roots = components(verified_links(hashed, members, firsts.select("node", "first_id"), signed, n_docs, least))
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     of_node = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
