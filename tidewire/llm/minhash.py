@@ -8,7 +8,8 @@ together. Classes are the connected components.
 
 The document frequency of every shingle is counted exactly: parts of the corpus send their
 distinct shingles to ranges of hashes, which add up and send the frequencies back in the same
-order, so a part needs no more than its own.
+order, so a part needs no more than its own. A shingle is named by as many bits of its hash as
+number the corpus's words, and 20 more, so that one in a million shares its name.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tidewire.llm.common import SPACE_CLASS, cut, join_small, partitions, text_o
 WIDTH = 5
 #: Shingles that this many documents hold, the fewest there can be, have the full weight.
 LEAST_COMMON = 1
+#: Bits of a shingle's name beyond those that number the words of the corpus.
+SPARE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,16 +50,16 @@ def node_of(parts: Column) -> Column:
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, words): the digest of a document's words and their 32-bit hashes.
+    """(doc_id, text_hash, node, words): the digest of a document's words and their 32-bit hashes.
 
     Two given words share a hash once in 2**32, and a shingle mixes five of them into 64 bits.
     """
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), parts_of_text().alias("parts"))
-    return split.select("doc_id", node_of(F.col("parts")).alias("node"), F.transform("parts", lambda w: F.hash(w)).alias("words"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), parts_of_text().alias("parts"))
+    return split.select("doc_id", "text_hash", node_of(F.col("parts")).alias("node"), F.transform("parts", lambda w: F.hash(w)).alias("words"))
 
 
-def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of documents whose word hashes are flat[offsets[i]:offsets[i + 1]], and each one's document.
+def shingles(flat: np.ndarray, offsets: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, less their last ``shift`` bits, of documents whose word hashes are flat[offsets[i]:offsets[i + 1]], and each one's document.
 
     A document of fewer than five words has one shingle of them all, one without words none.
     """
@@ -65,13 +68,22 @@ def shingles(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.where(sizes >= WIDTH, sizes - WIDTH + 1, (sizes > 0).astype(sizes.dtype))
     doc = np.repeat(np.arange(len(sizes)), n)
     start = np.repeat(offsets[:-1] - (n.cumsum() - n), n) + np.arange(len(doc))
-    size = sizes[doc]
     h = np.zeros(len(doc), "uint64")
+    short = np.flatnonzero(sizes[doc] < WIDTH)
     with np.errstate(over="ignore"):
         for j in range(WIDTH):
             there = w[np.minimum(start + j, len(w) - 1)] if len(w) else w
-            h = h * _ODD + np.where(j < size, there, np.uint64(j))
-    return mix(h), doc
+            there[short] = np.where(j < sizes[doc[short]], there[short], np.uint64(j))
+            h = h * _ODD + there
+    return mix(h) >> np.uint64(shift), doc
+
+
+def counted(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(found, rank, doc, times): the distinct hashes in order, and per distinct (document, hash), in that order, the hash's number and its repetitions."""
+    found, rank = np.unique(h, return_inverse=True)
+    pairs, times = np.unique(doc * max(len(found), 1) + rank, return_counts=True)
+    doc, rank = np.divmod(pairs, max(len(found), 1))
+    return found, rank, doc, times
 
 
 def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -92,51 +104,68 @@ def parts(batches, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def packed_parts(hashed: DataFrame) -> DataFrame:
-    """(part, nodes, sizes, flat): slices of about a million words as one row each, numbered for good."""
-    schema = pa.schema([("nodes", pa.binary()), ("sizes", pa.binary()), ("flat", pa.binary())])
+ROWS = "array<struct<doc_id:bigint,text_hash:bigint,node:binary>>"
+
+
+def packed_parts(docs: DataFrame) -> DataFrame:
+    """(part, rows, sizes, flat): slices of about a million words as one row each, numbered for good."""
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary())]
+    schema = pa.schema([("rows", pa.list_(pa.struct(fields))), ("sizes", pa.binary()), ("flat", pa.binary())])
 
     def pack(batches):
         for b in parts(batches):
             flat, offsets = columns(b)
-            row = b"".join(b.column("node").to_pylist()), np.diff(offsets).astype("<i4").tobytes(), flat.astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], schema=schema)
+            rows = pa.StructArray.from_arrays([b.column(c).cast(t) for c, t in fields], [c for c, _ in fields])
+            one = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([one, *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (np.diff(offsets), flat))], schema=schema)
 
-    packed = hashed.select("node", "words").mapInArrow(pack, "nodes binary, sizes binary, flat binary")
-    return cut(packed.select(F.monotonically_increasing_id().alias("part"), "nodes", "sizes", "flat"))
+    packed = words(docs).mapInArrow(pack, f"rows {ROWS}, sizes binary, flat binary")
+    return cut(packed.select(F.monotonically_increasing_id().alias("part"), "rows", F.octet_length("flat").alias("n_bytes"), "sizes", "flat"))
 
 
 def unpacked(sizes: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat, "<i4"), np.append(0, np.frombuffer(sizes, "<i4").astype("int64").cumsum())
 
 
-def document_frequencies(packed: DataFrame, ranges: int) -> DataFrame:
+def as_steps(rising: np.ndarray) -> bytes:
+    """Rising numbers as the first one and the steps between them, in four bytes each if they fit, else in eight."""
+    steps = np.diff(rising)
+    small = not len(steps) or int(steps.max()) < 1 << 32
+    return rising[:1].tobytes() + steps.astype("<u4" if small else "<u8").tobytes()
+
+
+def from_steps(body: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(body, "<u4" if len(body) == 4 + 4 * n else "<u8", offset=8)
+    return np.cumsum(np.append(np.frombuffer(body, "<u8", 1), steps), dtype="uint64")
+
+
+def document_frequencies(packed: DataFrame, ranges: int, shift: int) -> DataFrame:
     """(part, found): the frequencies over all documents of each part's distinct shingles, in order of hashes.
 
     ``found`` is an array of (range, counts), the counts of a range as 32-bit integers.
     """
     schema = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], "uint64")
+    edges = np.array([(k << (64 - shift)) // ranges for k in range(1, ranges)], "uint64")
 
     def send(batches):
         for b in batches:
             for part, sizes, flat in zip(*(b.column(c).to_pylist() for c in ("part", "sizes", "flat")), strict=True):
-                h, _, _ = counted_shingles(*shingles(*unpacked(sizes, flat)))
-                found, n = np.unique(h, return_counts=True)
+                found, rank, _, _ = counted(*shingles(*unpacked(sizes, flat), shift))
+                n = np.bincount(rank, minlength=len(found)).astype("<u4")
                 at = [0, *np.searchsorted(found, edges).tolist(), len(found)]
-                pieces = [(k, part, found[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
+                pieces = [(k, part, as_steps(found[i:j]), n[i:j].tobytes()) for k, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
                 if pieces:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 8 for x in frame["body"]]
-        _, place = np.unique(np.frombuffer(b"".join(frame["body"]), "uint64"), return_inverse=True)
+        sizes = [len(x) // 4 for x in frame["counts"]]
+        _, place = np.unique(np.concatenate([from_steps(b, n) for b, n in zip(frame["body"], sizes, strict=True)]), return_inverse=True)
         total = np.bincount(place, np.frombuffer(b"".join(frame["counts"]), "<u4")).astype("<u4")[place]
         back = [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
         return pd.DataFrame({"range": frame["range"], "part": frame["part"], "counts": back})
 
     sent = packed.select("part", "sizes", "flat").mapInArrow(send, "range int, part long, body binary, counts binary")
-    back = cut(sent.groupBy("range").applyInPandas(add, "range int, part long, counts binary"))
+    back = sent.groupBy("range").applyInPandas(add, "range int, part long, counts binary")
     return back.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("found"))
 
 
@@ -145,16 +174,6 @@ def idf(counts: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log1p(n_docs / counts) / np.log1p(n_docs / LEAST_COMMON)
 
 
-def counted_shingles(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, shingle) with the number of repetitions, in order of documents, then hashes."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(first)
-    return h[at], doc[at], np.diff(np.append(at, len(h)))
-
-
 class Sampler:
     """Consistent weighted samples: ``size`` of them, each a hash of the sampled feature and its quantised weight.
 
@@ -215,28 +234,39 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(packed: DataFrame, frequencies: DataFrame, n_docs: int, bands: int, rows: int) -> DataFrame:
-    """(node, n_features, keys, counts) of the documents that have words.
+def signatures(packed: DataFrame, frequencies: DataFrame, firsts: DataFrame, n_docs: int, shift: int, bands: int, rows: int) -> DataFrame:
+    """(node, n_features, keys, words, counts) of each node that has words, from the document that stands for it.
 
-    ``counts`` are the document frequencies of a node's distinct shingles, in order of hashes.
+    ``firsts`` is (part, place, node). ``counts`` are the document frequencies of a node's
+    distinct shingles, in order of hashes; they and the ``words`` are 32-bit integers.
     """
     sampler = Sampler(bands * rows)
 
     def run(batches):
         for b in batches:
-            for nodes, sizes, flat, pieces in zip(*(b.column(c).to_pylist() for c in ("nodes", "sizes", "flat", "found")), strict=True):
-                h, doc, n = counted_shingles(*shingles(*unpacked(sizes, flat)))
-                own, starts = np.unique(doc, return_index=True)
+            for docs, sizes, flat, pieces, places in zip(*(b.column(c).to_pylist() for c in ("rows", "sizes", "flat", "found", "places")), strict=True):
+                w, offsets = unpacked(sizes, flat)
+                found, rank, doc, times = counted(*shingles(w, offsets, shift))
                 known = np.frombuffer(b"".join(p["counts"] for p in pieces), "<u4")
-                counts = known[np.unique(h, return_inverse=True)[1]]
-                keys = band_keys(sampler(h, idf(counts, n_docs) * n, starts), rows)
+                asked = np.zeros(len(docs), bool)
+                asked[places] = True
+                asked = asked[doc]
+                rank, doc, times = rank[asked], doc[asked], times[asked]
+                own, starts = np.unique(doc, return_index=True)
+                if not len(own):
+                    continue
+                counts = known[rank]
+                keys = band_keys(sampler(found[rank], idf(counts, n_docs) * times, starts), rows)
                 flat_keys = pa.array(np.ascontiguousarray(keys.T).view("int64").ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), flat_keys)
                 bodies = [x.tobytes() for x in np.split(counts, starts[1:])]
-                names = [nodes[16 * i : 16 * i + 16] for i in own.tolist()]
-                yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "n_features": pa.array(np.add.reduceat(n, starts), pa.int64()), "keys": lists, "counts": pa.array(bodies, pa.binary())})
+                texts = [w[offsets[i] : offsets[i + 1]].tobytes() for i in own.tolist()]
+                names = [docs[i]["node"] for i in own.tolist()]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "n_features": pa.array(np.add.reduceat(times, starts), pa.int64()), "keys": lists, "words": pa.array(texts, pa.binary()), "counts": pa.array(bodies, pa.binary())})
 
-    return packed.join(frequencies, "part").select("nodes", "sizes", "flat", "found").mapInArrow(run, "node binary, n_features long, keys array<long>, counts binary")
+    asked = firsts.groupBy("part").agg(F.collect_list("place").alias("places"))
+    given = packed.join(frequencies, "part").join(asked, "part").select("rows", "sizes", "flat", "found", "places")
+    return given.mapInArrow(run, "node binary, n_features long, keys array<long>, words binary, counts binary")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -249,88 +279,94 @@ def buckets(signed: DataFrame) -> DataFrame:
     return members.join(chosen, "bucket")
 
 
-def similar_links(rows: list[tuple[bytes, np.ndarray, int, np.ndarray]], least: float, across: bool) -> list[tuple[bytes, bytes]]:
-    """Links of ``least`` or more that connect the nodes (node, sorted shingles, side, weights) as all such links do.
+def similar_links(nodes: list[bytes], texts: list[bytes], counts: list[bytes], sides: tuple[np.ndarray, np.ndarray], n_docs: int, shift: int, least: float) -> list[tuple[bytes, bytes]]:
+    """Links of ``least`` or more that connect the nodes as all such links do.
 
-    Every pair is compared (with ``across`` those of different sides), by products of
-    feature matrices in slices of columns. The n-th repetition of a shingle is a feature.
+    Each node of the first side (numbers of nodes) is compared with each of the second, by
+    products of feature matrices in slices of columns. The n-th repetition of a shingle is a
+    feature.
     """
-    side = np.array([r[2] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    h = np.concatenate([r[1] for r in rows])
-    place = np.arange(len(h))
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    copy = place - np.maximum.accumulate(np.where(fresh, place, 0))
-    with np.errstate(over="ignore"):
-        _, first, column = np.unique(h + copy.astype("uint64") * _ODD, return_index=True, return_inverse=True)
-    w = np.concatenate([r[3] for r in rows])[first]
-    total = np.bincount(owner, w[column], len(rows))
-    shared = np.bincount(column) > 1
+    offsets = np.append(0, np.cumsum([len(t) // 4 for t in texts]))
+    found, rank, owner, times = counted(*shingles(np.frombuffer(b"".join(texts), "<i4"), offsets, shift))
+    w = idf(np.frombuffer(b"".join(counts), "<u4"), n_docs)
+    total = np.bincount(owner, w * times, len(nodes))
+    begin = np.repeat(np.cumsum(times) - times, times)
+    rank, owner, w = (np.repeat(x, times) for x in (rank, owner, w))
+    column = rank + (np.arange(len(rank)) - begin) * len(found)
+    _, column, held = np.unique(column, return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
-    order = order[shared[column[order]]]
-    owner, column, w = owner[order], (np.cumsum(shared) - 1)[column[order]], w[shared]
-    step = max(64, 4_000_000 // len(rows))
-    common = np.zeros((len(rows), len(rows)), "float32")
-    for begin in range(0, len(w), step):
-        lo, hi = np.searchsorted(column, [begin, begin + step])
-        m = np.zeros((len(rows), min(step, len(w) - begin)), "float32")
-        m[owner[lo:hi], column[lo:hi] - begin] = np.sqrt(w[column[lo:hi]])
-        common += m @ m.T
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
+    order = order[held[column[order]] > 1]
+    shared = np.cumsum(held > 1) - 1
+    owner, column, w = owner[order], shared[column[order]], np.sqrt(w[order]).astype("float32")
+    left, right = sides
+    step = max(64, 4_000_000 // len(nodes))
+    common = np.zeros((len(left), len(right)), "float32")
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [lo, lo + step])
+        m = np.zeros((len(nodes), min(step, int(column[-1]) + 1 - lo)), "float32")
+        m[owner[i:j], column[i:j] - lo] = w[i:j]
+        common += m[left] @ m[right].T
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
         return i
 
     links = []
-    for i in range(1, len(rows)):
-        similarity = common[i, :i] / (total[i] + total[:i] - common[i, :i])
-        for j in np.flatnonzero((similarity >= least - 1e-5) & ((side[:i] != side[i]) | (not across))):
-            a, b = root(i), root(int(j))
+    for i, row in zip(left.tolist(), common, strict=True):
+        similarity = row / (total[i] + total[right] - row)
+        for j in right[similarity >= least - 1e-5].tolist():
+            a, b = find(i), find(j)
             if a != b:
-                parent[a] = b
-                links.append((rows[i][0], rows[int(j)][0]))
+                root[a] = b
+                links.append((nodes[i], nodes[j]))
     return links
 
 
-def verified_links(hashed: DataFrame, members: DataFrame, firsts: DataFrame, signed: DataFrame, n_docs: int, least: float, most_features: int = 2_000_000, most_nodes: int = 2048) -> DataFrame:
+def verified_links(signed: DataFrame, members: DataFrame, n_docs: int, shift: int, least: float, most_features: int = 1_000_000, most_nodes: int = 512) -> DataFrame:
     """(a, b): links within buckets.
 
-    A bucket of more features or nodes than given is cut into blocks by a hash of the node,
-    and every pair of blocks is compared in a task of its own.
+    In a bucket of no more features and nodes than given every pair is compared. A larger one
+    is cut into blocks by a hash of the node. Each block is compared with one node of the
+    bucket, its pivot: what is linked to that needs no other link among its like. Only the
+    nodes that are left over are then compared with every block, again in parts.
     """
     size = F.greatest(F.ceil(F.sum("n_features") / most_features), F.ceil(F.count("*") / most_nodes)).cast("int")
-    large = cut(members.groupBy("bucket").agg(size.alias("blocks")).filter("blocks > 1"))
-    tagged = join_small(members, large, "bucket", "left", row_bytes=32).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = tagged.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "bucket", "own", F.explode(meets).alias("meet"))
+    large = cut(members.groupBy("bucket").agg(size.alias("blocks"), F.min("node").alias("pivot")).filter("blocks > 1"))
+    tagged = join_small(members.select("node", "bucket"), large, "bucket", "left", row_bytes=64)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    wanted = cut(members.select("node").distinct())
+    vectors = cut(join_small(signed.select("node", "words", "counts"), wanted, "node", "left_semi", row_bytes=48))
 
-    def sort_shingles(batches):
-        for b in parts(batches):
-            h, doc = shingles(*columns(b))
-            order = np.lexsort((h, doc))
-            starts = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(h[order].view("int64")))
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": lists, "counts": b.column("counts")})
-
-    wanted = cut(members.select("node").distinct().join(firsts, "node").select(F.col("node").alias("wanted"), "first_id"))
-    asked = (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    chosen = join_small(hashed, wanted, asked, "left_semi", row_bytes=48).select("node", "words").dropDuplicates(["node"])
-    vectors = chosen.join(signed.select("node", "counts"), "node").mapInArrow(sort_shingles, "node binary, shingles array<long>, counts binary")
-
-    def row(node: bytes, shingle: np.ndarray, own: int, counts: bytes) -> tuple:
-        h = np.asarray(shingle, "int64").view("uint64")
-        fresh = np.append(True, h[1:] != h[:-1])
-        return bytes(node), h, own, idf(np.frombuffer(counts, "<u4"), n_docs)[np.cumsum(fresh) - 1]
+    def gathered(dealt: DataFrame) -> DataFrame:
+        """``dealt`` is (node, bucket, i, j, side): the nodes that meet in a task; sides are 0, 1 or, for both, 2."""
+        return dealt.join(vectors, "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [row(*x) for x in zip(frame["node"], frame["shingles"], frame["own"], frame["counts"], strict=True)]
-        return pd.DataFrame(similar_links(rows, least, key[1] != key[2]), columns=["a", "b"])
-
-    together = dealt.join(vectors, "node").select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "node", "own", "shingles", "counts")
-    return together.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
+        nodes = [bytes(x) for x in frame["node"]]
+        side = frame["side"].to_numpy()
+        sides = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        return pd.DataFrame(similar_links(nodes, list(frame["words"]), list(frame["counts"]), sides, n_docs, shift, least), columns=["a", "b"])
+
+    none = F.lit(0)
+    whole = tagged.filter("blocks is null").select("node", "bucket", none.alias("i"), none.alias("j"), F.lit(2).alias("side"))
+    crowd = tagged.filter("blocks is not null")
+    in_blocks = crowd.select("node", "bucket", none.alias("i"), block.alias("j"), F.lit(1).alias("side"))
+    pivots = large.select(F.col("pivot").alias("node"), "bucket", none.alias("i"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"), none.alias("side"))
+    first = cut(gathered(whole.unionByName(in_blocks).unionByName(pivots)))
+    if large.isEmpty():
+        return first
+    # What has a link to the pivot of its bucket is in that one's component.
+    hung = first.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select(F.col("x.a").alias("node"), F.col("x.b").alias("pivot")).distinct()
+    left_over = cut(crowd.filter("node != pivot").join(hung, ["node", "pivot"], "left_anti").select("node", "bucket"))
+    rest = left_over.groupBy("bucket").agg(F.ceil(F.count("*") / most_nodes).cast("int").alias("slices"))
+    sliced = crowd.join(rest, "bucket")
+    slice_of = F.pmod(F.xxhash64(F.lit("slice"), "node"), F.col("slices")).cast("int")
+    one = left_over.join(crowd.select("node", "bucket", "blocks"), ["node", "bucket"]).join(rest, "bucket")
+    one = one.select("node", "bucket", slice_of.alias("i"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"), none.alias("side"))
+    other = sliced.select("node", "bucket", F.explode(F.sequence(none, F.col("slices") - 1)).alias("i"), block.alias("j"), F.lit(1).alias("side"))
+    return first.unionByName(gathered(one.unionByName(other)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -356,20 +392,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int = 3) -> DataFrame:
-    """What near_duplicates returns, with each row's node."""
-    hashed = cut(words(docs))  # read several times; four bytes a word
-    placed = hashed.select("doc_id", "node")
-    firsts = cut(placed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    n_docs, n_words = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    packed = packed_parts(hashed)
-    frequencies = document_frequencies(packed, max(partitions(docs), n_words // 2_000_000))
-    signed = cut(signatures(packed, frequencies, n_docs, bands, rows).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_features", "keys", "counts")]))
+    """What near_duplicates returns, with each row's text_hash."""
+    packed = packed_parts(docs)
+    placed = packed.select("part", F.posexplode("rows").alias("place", "row")).select("part", "place", "row.*")
+    n_docs, n_words = packed.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)) / 4).first()
+    shift = max(0, 64 - SPARE_BITS - int(n_words).bit_length())
+    # Null comes last; of rows that repeat a doc_id one stands for them.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "part", "place")
+    firsts = cut(placed.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("n")))
+    frequencies = document_frequencies(packed, max(partitions(docs), int(n_words) // 2_000_000), shift)
+    signed = cut(signatures(packed, frequencies, firsts.select("node", "first.part", "first.place"), n_docs, shift, bands, rows))
     members = cut(buckets(signed))
-    roots = components(verified_links(hashed, members, firsts.select("node", "first_id"), signed, n_docs, least))
+    roots = components(verified_links(signed, members, n_docs, shift, least))
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
-    return placed.join(of_node, "node").select("doc_id", "node", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classes = rooted.groupBy("root").agg(F.min("first").alias("one"), F.sum("n").alias("class_size"))
+    of_node = rooted.select("node", "root").join(classes, "root").select("node", "one", "class_size")
+    kept = (F.col("part") == F.col("one.part")) & (F.col("place") == F.col("one.place"))
+    return placed.join(of_node, "node").select("doc_id", "text_hash", F.col("one.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -382,15 +421,27 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
     Words are what white space separates. Null text counts as empty; texts without words
     equal each other, and so do texts of the same words. A text of fewer than five words has
-    one shingle. A null doc_id is larger than any other. Rows that repeat a doc_id in a class
-    share its verdict. An empty table gives no rows. Other columns are ignored. Parameters are
-    those of classified.
+    one shingle. A null doc_id is larger than any other. Of rows that repeat a doc_id in a
+    class one is kept at most. An empty table gives no rows. Other columns are ignored.
+    Parameters are those of classified.
     """
-    return classified(docs, **how).drop("node")
+    return classified(docs, **how).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, with all their columns."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    gone = cut(classified(docs, **how).filter(~F.col("kept")).select(key.alias("gone_id"), F.col("node").alias("gone_node")).distinct())
-    return join_small(docs, gone, (key == F.col("gone_id")) & (node_of(parts_of_text()) == F.col("gone_node")), "left_anti", row_bytes=72)
+    """The rows of ``docs`` that near_duplicates keeps, with all their columns.
+
+    Nulls, empty and short texts are judged as there. Of rows that repeat a doc_id and its
+    text one stays, whichever Spark meets first. Columns may have any names. An empty table
+    gives no rows.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    keyed = [key.alias("key"), F.col("text_hash").alias("hash")]
+    judged = classified(docs, **how).groupBy(*keyed).agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
+    changed = cut(judged.filter("n_kept < n").select("key", "hash", (F.col("n_kept") > 0).alias("one_stays")))
+    frame = docs.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(text_or_empty()).alias("hash"))
+    joined = join_small(frame, changed, ["key", "hash"], "left", row_bytes=72)
+    out = joined.filter("one_stays is null").select("row")
+    if not changed.filter("one_stays").isEmpty():
+        out = out.union(joined.filter("one_stays").groupBy("key", "hash").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
