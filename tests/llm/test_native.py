@@ -9,9 +9,9 @@ import pytest
 from edge import documents, odd_texts, prose
 
 from tidewire.llm.exact_dedup import exact_dedup
-from tidewire.llm.line_dedup import drop_repeated_lines, line_dedup
+from tidewire.llm.line_dedup import drop_repeated_lines, line_dedup, line_hashes, repeated_runs
 from tidewire.llm.quality import SLACK, filter_quality, quality_rules
-from tidewire.llm.secrets import KEY_BLOCK, RULES, Rule, redact, secret_scan, trigram_query
+from tidewire.llm.secrets import KEY_BLOCK, RULES, Rule, needed_trigrams, redact, secret_scan, trigram_query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 last = lambda i: (i is None, i or 0)
@@ -40,7 +40,31 @@ def test_quality_fences_follow_the_source(spark):
     assert all(got[i] for i in range(80)) and not any(got[100 + i] for i in range(3))
 
 
+def test_every_measure_can_reject(spark):
+    clean = [(i, "\n".join(prose(100 * i + k, 12) for k in range(10))) for i in range(60)]
+    again = prose(7000, 24)
+    odd = {
+        "symbol_rate": prose(7001, 90) + " # $" * 6,
+        "word_length": " ".join(w * 4 for w in prose(7002, 60).split()),
+        "dup_line_share": "\n".join(["said once more"] * 3 + [prose(7003 + k, 12) for k in range(8)] + ["and again this"] * 3),
+        "repeat_share": "\n".join([again + " " + prose(7020, 110) + " " + again, *(prose(7030 + k, 12) for k in range(6))]),
+    }
+    few = [(900, clean[0][1] + " # $ %"), (901, clean[1][1] + "\nsaid twice\nsaid twice"), (902, prose(7040, 80) + " " + prose(7041, 9) + "\n" + prose(7041, 9))]
+    got = {r["doc_id"]: r for r in quality_rules(documents(spark, clean + few + [(1000 + i, t) for i, t in enumerate(odd.values())])).collect()}
+    assert all(got[i]["kept"] for i, _ in clean + few)
+    for i, m in enumerate(odd):
+        r = got[1000 + i]
+        assert not r["base_failed"] and not r["kept"] and r[m] > max(got[j][m] for j, _ in clean), m
+
+
+def test_quality_filter_takes_any_columns(spark):
+    docs = documents(spark, odd_texts()).selectExpr("*", "1 AS bad_id", "2 AS bad_hash", "3 AS id", "4 AS text_hash", "5 AS base_failed")
+    assert filter_quality(docs).columns == docs.columns
+    assert filter_quality(docs).count() == filter_quality(documents(spark, odd_texts())).count()
+
+
 def test_quality_of_nothing(spark):
+    assert filter_quality(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert quality_rules(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert quality_rules(documents(spark, [(1, None), (2, "")])).filter("kept").count() == 0
 
@@ -101,6 +125,33 @@ def test_redaction(spark):
     assert (None, None) in out and redact(docs).columns == docs.columns
 
 
+def test_many_secrets_in_one_long_text(spark):
+    r = random.Random(5)
+    pieces = [f"{prose(k % 97, 12)} token={'%016x' % r.getrandbits(64)} " for k in range(50_000)]
+    texts = [(1, "".join(pieces)), (2, "ñ" + "deadbeefdeadbeef " * 3)]
+    docs = documents(spark, texts)
+    assert len(texts[0][1]) > 4_000_000
+    got = {r["doc_id"]: tuple(r)[1:] for r in secret_scan(docs).collect()}
+    assert got == {i: spans(t) for i, t in texts} and got[1][0] == 50_000
+    out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert out == {1: re.sub(r"token=\S+", "[assign]", texts[0][1]), 2: "ñ" + "[hex] " * 3}
+
+
+def test_more_trigrams_than_a_word_has_bits(spark):
+    names = [prose(400 + k, 1) + prose(500 + k, 1) + "key" for k in range(25)]
+    rules = tuple(Rule(f"k{i}", n + "=[0-9]+") for i, n in enumerate(dict.fromkeys(names)))
+    assert len(needed_trigrams(rules)) > 126
+    docs = documents(spark, [(i, f"{prose(i, 9)} {n}=12{i} {prose(i, 4)}") for i, n in enumerate(dict.fromkeys(names))])
+    out = redact(docs, rules).collect()
+    assert all(f"[k{r['doc_id']}]" in r["text"] and "=" not in r["text"] for r in out)
+
+
+def test_secrets_of_nothing(spark):
+    docs = documents(spark, [(1, "x")]).filter("false")
+    assert secret_scan(docs).collect() == [] and redact(docs).collect() == []
+    assert exact_dedup(docs).collect() == []
+
+
 def test_private_keys_go_whole(spark):
     head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     r = random.Random(11)
@@ -125,30 +176,36 @@ def test_private_keys_go_whole(spark):
 
 
 def test_exact_groups(spark):
-    texts = odd_texts()
+    texts = [*odd_texts(), (40, "a b"), (40, "ab"), (40, "a  b"), (40, "a  b")]
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
     for t in texts:
         groups.setdefault(norm(t[1]), []).append((-len(t[1] or ""), last(t[0]), t[0]))
-    want = sorted(((t[0], min(groups[norm(t[1])])[2], len(groups[norm(t[1])]), t[0] == min(groups[norm(t[1])])[2], hashlib.sha256(norm(t[1]).encode()).hexdigest()) for t in texts), key=repr)
+    want = sorted(((t[0], min(groups[norm(t[1])])[2], len(groups[norm(t[1])]), hashlib.sha256(norm(t[1]).encode()).hexdigest()) for t in texts), key=repr)
     for fan_in in (2, 8):
-        assert sorted(map(tuple, exact_dedup(documents(spark, texts).repartition(7), fan_in).collect()), key=repr) == want
+        rows = exact_dedup(documents(spark, texts).repartition(7), fan_in).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows), key=repr) == want
+        kept = [r for r in rows if r["kept"]]
+        assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
     with pytest.raises(ValueError):
         exact_dedup(documents(spark, texts), 3)
 
 
-def lines_left(texts, w=3):
+def lines_left(texts, w=3, least=50):
     docs = sorted({(t[0], t[1] or "") for t in texts}, key=lambda d: (last(d[0]), d[1]))
     runs, first = {}, {}
     for doc_id, t in docs:
         lines = [x.strip(" ") for x in t.split("\n")]
-        for s in range(len(lines) - w + 1):
-            runs.setdefault((doc_id, t), []).append((s, tuple(lines[s : s + w])))
-            place = (last(doc_id), s)
-            first[tuple(lines[s : s + w])] = min(first.get(tuple(lines[s : s + w]), place), place)
+        size = [len(WORD.findall(x)) for x in lines]
+        for s in range(len(lines)):
+            k = next((k for k in range(1, w + 1) if s + k <= len(lines) and (k == w or sum(size[s : s + k]) >= least)), None)
+            if k:
+                run, place = tuple(lines[s : s + k]), (last(doc_id), s)
+                runs.setdefault((doc_id, t), []).append((s, run))
+                first[run] = min(first.get(run, place), place)
     out = {}
     for doc_id, t in docs:
-        gone = {p for s, r in runs.get((doc_id, t), []) if first[r] < (last(doc_id), s) for p in range(s, s + w)}
+        gone = {p for s, r in runs.get((doc_id, t), []) if first[r] < (last(doc_id), s) for p in range(s, s + len(r))}
         lines = t.split("\n")
         out[doc_id, t] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
@@ -164,6 +221,12 @@ def repeated_lines():
         (4, "\n".join([one] * 9)),
         (5, one),
         (6, "\n".join([block[0], "cut", block[1], block[2]])),
+        (7, "here\n" + prose(90, 55) + "\nthere"),
+        (8, prose(90, 55)),
+        (9, "one\n" + prose(91, 30) + "\n" + prose(92, 25)),
+        (10, prose(91, 30) + "\n" + prose(92, 25) + "\nother"),
+        (11, prose(91, 30) + "\n" + prose(93, 49)),
+        (12, prose(93, 49)),
     ] + [(20 + i, f"{prose(50 + i, 5)}\n{one}\n{prose(70 + i, 5)}") for i in range(30)]
 
 
@@ -183,5 +246,18 @@ def test_dropping_lines_keeps_the_rest(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: v[2] for i, v in want.items() if v[1] < v[0]}
 
 
+def test_long_passages_go_in_few_lines(spark):
+    left = {r["doc_id"]: r["n_removed"] for r in line_dedup(documents(spark, repeated_lines())).collect()}
+    assert [left[i] for i in range(7, 13)] == [0, 1, 0, 2, 0, 0]
+
+
+def test_matches_are_extended(spark):
+    passage = [prose(300 + s, 6) for s in range(30)]
+    texts = [(1, "\n".join(passage)), (2, "\n".join(["a", *passage[3:29], "b", *passage[:7]]))]
+    runs = repeated_runs(line_hashes(documents(spark, texts)), 3, 50)
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in runs.collect()) == [(2, 1, 27), (2, 28, 35)]
+
+
 def test_lines_of_nothing(spark):
+    assert drop_repeated_lines(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert line_dedup(documents(spark, [(1, "x")]).filter("false")).collect() == []

@@ -84,7 +84,17 @@ def test_near_filter_tells_rows_of_one_number_apart(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out) == [(3, a), (5, b)]
 
 
+def test_near_filter_keeps_one_of_repeated_rows(spark):
+    a, b = prose(1, 50), prose(2, 50)
+    docs = documents(spark, [(1, a), (1, a), (1, a + " "), (2, a), (3, b), (3, b), (None, None), (None, None)]).selectExpr("*", "7 AS gone_id", "8 AS key", "9 AS hash", "1 AS one_stays")
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], (r["text"] or "").strip()) for r in out.collect()), key=repr) == [(1, a), (3, b), (None, "")]
+    assert near_duplicates(docs).filter("kept").count() == 3
+
+
 def test_near_of_nothing(spark):
+    assert drop_near_duplicates(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert near_duplicates(documents(spark, [(1, "x")]).filter("false")).collect() == []
     assert [tuple(r) for r in near_duplicates(documents(spark, [(4, None), (3, " ")])).orderBy("doc_id").collect()] == [(3, 3, 2, True), (4, 3, 2, False)]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACE_CHARS, cut, text_or_empty
+from tidewire.llm.common import SPACE_CHARS, cut, join_small, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -19,7 +19,7 @@ def normalised(text: Column) -> Column:
 
 
 def digest_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, proof, n_chars, run): what the merge needs of a document, not its text."""
+    """(doc_id, digest, proof, n_chars, run, row): what the merge needs of a document, not its text."""
     text = text_or_empty()
     norm = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), normalised(text).alias("norm"))
     return norm.select(
@@ -28,6 +28,7 @@ def digest_runs(docs: DataFrame) -> DataFrame:
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.xxhash64(F.length("norm"), "norm").alias("proof"),
         F.spark_partition_id().alias("run"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -41,8 +42,8 @@ def tree_merge(runs: DataFrame, fan_in: int = 8) -> DataFrame:
     bits = fan_in.bit_length() - 1
     if fan_in != 1 << bits or bits < 1:
         raise ValueError("fan_in must be a power of two, 2 or more")
-    # Most characters first, then the smallest identifier; a null identifier comes last.
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"))
+    # Most characters first, then the smallest identifier, a null identifier last; of repeated rows the first.
+    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     merged = _merge(runs.select("run", "digest", "proof", best.alias("best"), F.lit(1).cast("long").alias("n")))
     last = runs.agg(F.max("run")).first()[0] or 0
     while last:
@@ -58,18 +59,20 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     texts the one with the most code points stays, then the smallest doc_id.
 
     Null text counts as empty, and empty texts equal each other. A null doc_id loses to any
-    other; a group of nulls alone has keep_id null, and all its rows are kept. Rows that repeat
-    a doc_id with the same text count in group_size one by one and share their verdict. An
-    empty table gives no rows. Other columns are ignored.
+    other. Rows that repeat a doc_id count in group_size one by one, and one of a group's rows
+    is kept, however many have its keep_id. An empty table gives no rows. Other columns are
+    ignored.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
     runs = cut(digest_runs(docs))
-    groups = tree_merge(runs, fan_in)
-    return runs.join(groups, ["digest", "proof"]).select(
+    # Rows of digests of their own meet nothing; while the others' digests are few, no row is shuffled for them.
+    copies = cut(tree_merge(runs, fan_in).filter("n > 1"))
+    joined = join_small(runs, copies, ["digest", "proof"], "left", row_bytes=160)
+    return joined.select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("n").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

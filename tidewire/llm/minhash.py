@@ -104,67 +104,86 @@ def parts(batches, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers with their first bytes together, then their second ones, and so on, compressed."""
+    planes = np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def restored(body: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(body[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(body[8:], n * size, codec="zstd", asbytes=True), "u1").reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 ROWS = "array<struct<doc_id:bigint,text_hash:bigint,node:binary>>"
+PART = "sizes binary, known binary, codes binary"
 
 
 def packed_parts(docs: DataFrame) -> DataFrame:
-    """(part, rows, sizes, flat): slices of about a million words as one row each, numbered for good."""
+    """(part, rows, n_words, sizes, known, codes): slices of about a million words as one row each, numbered for good.
+
+    ``known`` are the slice's different words, ``codes`` says which of them stands where.
+    """
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary())]
-    schema = pa.schema([("rows", pa.list_(pa.struct(fields))), ("sizes", pa.binary()), ("flat", pa.binary())])
+    schema = pa.schema([("rows", pa.list_(pa.struct(fields))), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("sizes", "known", "codes"))])
 
     def pack(batches):
         for b in parts(batches):
             flat, offsets = columns(b)
+            known, codes = np.unique(flat, return_inverse=True)
             rows = pa.StructArray.from_arrays([b.column(c).cast(t) for c, t in fields], [c for c, _ in fields])
             one = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([one, *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (np.diff(offsets), flat))], schema=schema)
+            bodies = [squeezed(x.astype(kind)) for x, kind in ((np.diff(offsets), "<i4"), (known, "<i4"), (codes, "<u4"))]
+            yield pa.RecordBatch.from_arrays([one, pa.array([len(flat)], pa.int64()), *(pa.array([x], pa.binary()) for x in bodies)], schema=schema)
 
-    packed = words(docs).mapInArrow(pack, f"rows {ROWS}, sizes binary, flat binary")
-    return cut(packed.select(F.monotonically_increasing_id().alias("part"), "rows", F.octet_length("flat").alias("n_bytes"), "sizes", "flat"))
+    packed = words(docs).mapInArrow(pack, f"rows {ROWS}, n_words long, {PART}")
+    return cut(packed.select(F.monotonically_increasing_id().alias("part"), "rows", "n_words", "sizes", "known", "codes"))
 
 
-def unpacked(sizes: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(flat, "<i4"), np.append(0, np.frombuffer(sizes, "<i4").astype("int64").cumsum())
+def unpacked(sizes: bytes, known: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's words and where each document's begin."""
+    return restored(known, "<i4")[restored(codes, "<u4")], np.append(0, restored(sizes, "<i4").astype("int64").cumsum())
 
 
 def as_steps(rising: np.ndarray) -> bytes:
-    """Rising numbers as the first one and the steps between them, in four bytes each if they fit, else in eight."""
+    """Rising numbers as the first one and the steps between them."""
     steps = np.diff(rising)
     small = not len(steps) or int(steps.max()) < 1 << 32
-    return rising[:1].tobytes() + steps.astype("<u4" if small else "<u8").tobytes()
+    return rising[:1].tobytes() + (b"4" if small else b"8") + squeezed(steps.astype("<u4" if small else "<u8"))
 
 
-def from_steps(body: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(body, "<u4" if len(body) == 4 + 4 * n else "<u8", offset=8)
+def from_steps(body: bytes) -> np.ndarray:
+    steps = restored(body[9:], "<u" + chr(body[8]))
     return np.cumsum(np.append(np.frombuffer(body, "<u8", 1), steps), dtype="uint64")
 
 
 def document_frequencies(packed: DataFrame, ranges: int, shift: int) -> DataFrame:
     """(part, found): the frequencies over all documents of each part's distinct shingles, in order of hashes.
 
-    ``found`` is an array of (range, counts), the counts of a range as 32-bit integers.
+    ``found`` is an array of (range, counts), the counts of a range as squeezed 32-bit integers.
     """
     schema = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("body", pa.binary()), ("counts", pa.binary())])
     edges = np.array([(k << (64 - shift)) // ranges for k in range(1, ranges)], "uint64")
 
     def send(batches):
         for b in batches:
-            for part, sizes, flat in zip(*(b.column(c).to_pylist() for c in ("part", "sizes", "flat")), strict=True):
-                found, rank, _, _ = counted(*shingles(*unpacked(sizes, flat), shift))
+            for part, *body in zip(*(b.column(c).to_pylist() for c in ("part", "sizes", "known", "codes")), strict=True):
+                found, rank, _, _ = counted(*shingles(*unpacked(*body), shift))
                 n = np.bincount(rank, minlength=len(found)).astype("<u4")
                 at = [0, *np.searchsorted(found, edges).tolist(), len(found)]
-                pieces = [(k, part, as_steps(found[i:j]), n[i:j].tobytes()) for k, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
+                pieces = [(k, part, as_steps(found[i:j]), squeezed(n[i:j])) for k, (i, j) in enumerate(itertools.pairwise(at)) if i < j]
                 if pieces:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 4 for x in frame["counts"]]
-        _, place = np.unique(np.concatenate([from_steps(b, n) for b, n in zip(frame["body"], sizes, strict=True)]), return_inverse=True)
-        total = np.bincount(place, np.frombuffer(b"".join(frame["counts"]), "<u4")).astype("<u4")[place]
-        back = [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
+        counts = [restored(x, "<u4") for x in frame["counts"]]
+        _, place = np.unique(np.concatenate([from_steps(x) for x in frame["body"]]), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts)).astype("<u4")[place]
+        back = [squeezed(x) for x in np.split(total, np.cumsum([len(x) for x in counts])[:-1])]
         return pd.DataFrame({"range": frame["range"], "part": frame["part"], "counts": back})
 
-    sent = packed.select("part", "sizes", "flat").mapInArrow(send, "range int, part long, body binary, counts binary")
+    sent = packed.select("part", "sizes", "known", "codes").mapInArrow(send, "range int, part long, body binary, counts binary")
     back = sent.groupBy("range").applyInPandas(add, "range int, part long, counts binary")
     return back.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("found"))
 
@@ -238,16 +257,16 @@ def signatures(packed: DataFrame, frequencies: DataFrame, firsts: DataFrame, n_d
     """(node, n_features, keys, words, counts) of each node that has words, from the document that stands for it.
 
     ``firsts`` is (part, place, node). ``counts`` are the document frequencies of a node's
-    distinct shingles, in order of hashes; they and the ``words`` are 32-bit integers.
+    distinct shingles, in order of hashes.
     """
     sampler = Sampler(bands * rows)
 
     def run(batches):
         for b in batches:
-            for docs, sizes, flat, pieces, places in zip(*(b.column(c).to_pylist() for c in ("rows", "sizes", "flat", "found", "places")), strict=True):
-                w, offsets = unpacked(sizes, flat)
+            for docs, pieces, places, *body in zip(*(b.column(c).to_pylist() for c in ("rows", "found", "places", "sizes", "known", "codes")), strict=True):
+                w, offsets = unpacked(*body)
                 found, rank, doc, times = counted(*shingles(w, offsets, shift))
-                known = np.frombuffer(b"".join(p["counts"] for p in pieces), "<u4")
+                known = np.concatenate([restored(p["counts"], "<u4") for p in pieces]) if pieces else np.empty(0, "<u4")
                 asked = np.zeros(len(docs), bool)
                 asked[places] = True
                 asked = asked[doc]
@@ -259,14 +278,14 @@ def signatures(packed: DataFrame, frequencies: DataFrame, firsts: DataFrame, n_d
                 keys = band_keys(sampler(found[rank], idf(counts, n_docs) * times, starts), rows)
                 flat_keys = pa.array(np.ascontiguousarray(keys.T).view("int64").ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), flat_keys)
-                bodies = [x.tobytes() for x in np.split(counts, starts[1:])]
-                texts = [w[offsets[i] : offsets[i + 1]].tobytes() for i in own.tolist()]
+                as_lists = lambda flat, ends: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.astype("int32")))
+                texts = as_lists(np.concatenate([w[offsets[i] : offsets[i + 1]] for i in own.tolist()]), np.cumsum(np.diff(offsets)[own]))
                 names = [docs[i]["node"] for i in own.tolist()]
-                yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "n_features": pa.array(np.add.reduceat(times, starts), pa.int64()), "keys": lists, "words": pa.array(texts, pa.binary()), "counts": pa.array(bodies, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.binary()), "n_features": pa.array(np.add.reduceat(times, starts), pa.int64()), "keys": lists, "words": texts, "counts": as_lists(counts, np.append(starts[1:], len(counts)))})
 
     asked = firsts.groupBy("part").agg(F.collect_list("place").alias("places"))
-    given = packed.join(frequencies, "part").join(asked, "part").select("rows", "sizes", "flat", "found", "places")
-    return given.mapInArrow(run, "node binary, n_features long, keys array<long>, words binary, counts binary")
+    given = packed.join(frequencies, "part").join(asked, "part").select("rows", "found", "places", "sizes", "known", "codes")
+    return given.mapInArrow(run, "node binary, n_features long, keys array<long>, words array<int>, counts array<int>")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -279,16 +298,16 @@ def buckets(signed: DataFrame) -> DataFrame:
     return members.join(chosen, "bucket")
 
 
-def similar_links(nodes: list[bytes], texts: list[bytes], counts: list[bytes], sides: tuple[np.ndarray, np.ndarray], n_docs: int, shift: int, least: float) -> list[tuple[bytes, bytes]]:
+def similar_links(nodes: list[bytes], texts: list[np.ndarray], counts: list[np.ndarray], sides: tuple[np.ndarray, np.ndarray], n_docs: int, shift: int, least: float) -> list[tuple[bytes, bytes]]:
     """Links of ``least`` or more that connect the nodes as all such links do.
 
     Each node of the first side (numbers of nodes) is compared with each of the second, by
     products of feature matrices in slices of columns. The n-th repetition of a shingle is a
     feature.
     """
-    offsets = np.append(0, np.cumsum([len(t) // 4 for t in texts]))
-    found, rank, owner, times = counted(*shingles(np.frombuffer(b"".join(texts), "<i4"), offsets, shift))
-    w = idf(np.frombuffer(b"".join(counts), "<u4"), n_docs)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    found, rank, owner, times = counted(*shingles(np.concatenate(texts), offsets, shift))
+    w = idf(np.concatenate(counts).astype("u4"), n_docs)
     total = np.bincount(owner, w * times, len(nodes))
     begin = np.repeat(np.cumsum(times) - times, times)
     rank, owner, w = (np.repeat(x, times) for x in (rank, owner, w))
@@ -324,7 +343,7 @@ def similar_links(nodes: list[bytes], texts: list[bytes], counts: list[bytes], s
     return links
 
 
-def verified_links(signed: DataFrame, members: DataFrame, n_docs: int, shift: int, least: float, most_features: int = 1_000_000, most_nodes: int = 512) -> DataFrame:
+def verified_links(signed: DataFrame, members: DataFrame, n_docs: int, shift: int, least: float, most_features: int = 1_000_000, most_nodes: int = 256) -> DataFrame:
     """(a, b): links within buckets.
 
     In a bucket of no more features and nodes than given every pair is compared. A larger one
@@ -395,12 +414,12 @@ def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int =
     """What near_duplicates returns, with each row's text_hash."""
     packed = packed_parts(docs)
     placed = packed.select("part", F.posexplode("rows").alias("place", "row")).select("part", "place", "row.*")
-    n_docs, n_words = packed.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0)) / 4).first()
-    shift = max(0, 64 - SPARE_BITS - int(n_words).bit_length())
+    n_docs, n_words = packed.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    shift = max(0, 64 - SPARE_BITS - n_words.bit_length())
     # Null comes last; of rows that repeat a doc_id one stands for them.
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "part", "place")
     firsts = cut(placed.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("n")))
-    frequencies = document_frequencies(packed, max(partitions(docs), int(n_words) // 2_000_000), shift)
+    frequencies = document_frequencies(packed, max(partitions(docs), n_words // 2_000_000), shift)
     signed = cut(signatures(packed, frequencies, firsts.select("node", "first.part", "first.place"), n_docs, shift, bands, rows))
     members = cut(buckets(signed))
     roots = components(verified_links(signed, members, n_docs, shift, least))

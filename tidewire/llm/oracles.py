@@ -6,7 +6,7 @@ brute force.
 
 from __future__ import annotations
 
-from tidewire.llm.quality import SLACK, TWO_SIDED
+from tidewire.llm.quality import HANDFUL, SLACK, TWO_SIDED
 from tidewire.llm.secrets import BASE, RULES
 
 DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)"
@@ -19,7 +19,8 @@ def _quality(least: int = 30, reach: float = 3.0) -> str:
     level = lambda name, keys: f"{name} AS (SELECT {', '.join([*keys, 'count(*) AS n'] + [f'quantile_disc({m}, {q}) AS {m}_{i}' for m in measures for i, q in ((1, 0.25), (3, 0.75))])} FROM measured WHERE NOT base_failed" + (f" GROUP BY {', '.join(keys)}" if keys else "") + ")"
     pick = lambda m, i: f"CASE WHEN s.n >= {least} THEN s.{m}_{i} WHEN l.n >= {least} THEN l.{m}_{i} ELSE a.{m}_{i} END"
     span = lambda m: f"greatest((({pick(m, 3)}) - ({pick(m, 1)})) * {reach}::double, {SLACK[m]}::double)"
-    odd = " OR ".join([f"m.{m} > ({pick(m, 3)}) + {span(m)}" for m in measures] + [f"m.{m} < ({pick(m, 1)}) - {span(m)}" for m in TWO_SIDED])
+    many = lambda m: f" AND m.{HANDFUL[m][0]} > {HANDFUL[m][1]}" if m in HANDFUL else ""
+    odd = " OR ".join([f"(m.{m} > ({pick(m, 3)}) + {span(m)}{many(m)})" for m in measures] + [f"m.{m} < ({pick(m, 1)}) - {span(m)}" for m in TWO_SIDED])
     return rf"""WITH {DOCS}, w AS (SELECT *, regexp_extract_all(t, '{WORD}+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM docs),
  grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, words[i:i+7] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8))),
  reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM grams WHERE c > 1) GROUP BY doc_id),
@@ -66,10 +67,11 @@ SUFFIX = f"""WITH {DOCS}, b AS (SELECT doc_id, hex(encode(t)) AS h FROM docs),
   FROM b LEFT JOIN cuts ON b.doc_id = cuts.doc_id)
  SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
 
-LINES = f"""WITH {DOCS}, l AS (SELECT doc_id, string_split(t, chr(10)) AS lines FROM docs),
- runs AS (SELECT doc_id, s, md5(array_to_string(list_transform(lines[s:s+2], lambda x: md5(trim(x))), '')) AS g FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS s FROM l WHERE len(lines) >= 3)),
- later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1),
- gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 3)))) AS spots FROM later GROUP BY doc_id),
+LINES = f"""WITH {DOCS}, l AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '{WORD}+'))) AS ws FROM (SELECT doc_id, string_split(t, chr(10)) AS lines FROM docs)),
+ spots AS (SELECT *, CASE WHEN ws[s] >= 50 THEN 1 WHEN s < len(lines) AND ws[s] + ws[s + 1] >= 50 THEN 2 WHEN s + 1 < len(lines) THEN 3 END AS k FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS s FROM l)),
+ runs AS (SELECT doc_id, s, k, md5(array_to_string(list_transform(lines[s:s+k-1], lambda x: md5(trim(x))), '')) AS g FROM spots WHERE k IS NOT NULL),
+ later AS (SELECT doc_id, s, k FROM (SELECT doc_id, s, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM runs) WHERE n > 1),
+ gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + k)))) AS spots FROM later GROUP BY doc_id),
  kept AS (SELECT l.doc_id, len(lines)::bigint AS n_lines, len(coalesce(spots, []))::bigint AS n_removed, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(spots, []), i)), lambda i: lines[i]), chr(10)) AS rest FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id)
  SELECT doc_id, n_lines, n_removed, sha256(rest) AS text_sha256 FROM kept"""
 

@@ -2,7 +2,8 @@
 
 Each document is measured with column functions alone. Per language and source a
 mergeable KLL sketch summarises each measure; fences drawn from its quartiles replace
-fixed cutoffs. Sketches are built per salt first, so a source with a third of all rows is
+fixed cutoffs. What a fence rejects must also be more than a handful of cases, as one line
+said twice is a large share of a short text. Sketches are built per salt first, so a source with a third of all rows is
 summarised by many tasks, and merged again upwards for languages and for the whole corpus.
 """
 
@@ -16,7 +17,9 @@ from tidewire.llm.common import SPACE_CHARS, SPACE_CLASS, cut, join_small, let
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Measure -> the least distance from the quartile at which a fence may stand.
-SLACK = {"symbol_rate": 0.1, "word_length": 2.0, "dup_line_share": 0.5, "repeat_share": 0.3}
+SLACK = {"symbol_rate": 0.02, "word_length": 1.0, "dup_line_share": 0.1, "repeat_share": 0.1}
+#: Measure -> the count behind it, and how many cases are no evidence whatever their share.
+HANDFUL = {"symbol_rate": ("n_symbols", 3), "dup_line_share": ("n_dup_lines", 2), "repeat_share": ("n_repeat_words", 5 * WINDOW)}
 #: Measures of which too small a value is as odd as too large a one.
 TWO_SIDED = ("word_length",)
 
@@ -127,7 +130,11 @@ def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """``measured`` with its fences and the column kept. Sources are few: their table is broadcast if it proves small."""
     odd = F.lit(False)
     for m in SLACK:
-        odd = odd | (F.col(m) > F.col("fence")[m]["high"])
+        over = F.col(m) > F.col("fence")[m]["high"]
+        if m in HANDFUL:
+            count, most = HANDFUL[m]
+            over = over & (F.col(count) > most)
+        odd = odd | over
         if m in TWO_SIDED:
             odd = odd | (F.col(m) < F.col("fence")[m]["low"])
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
@@ -152,15 +159,18 @@ def quality_rules(docs: DataFrame, k: int = 800, least: int = 30, reach: float =
 
 
 def filter_quality(docs: DataFrame, k: int = 800, least: int = 30, reach: float = 3.0) -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps, with all their columns.
+    """The rows of ``docs`` that quality_rules keeps, with all their columns, whatever their names.
 
+    Null and empty texts go, as they fail the base rules; repeated rows share a verdict, and
+    null languages, sources and doc_ids are values of their own. An empty table gives no rows.
     Texts are measured once; the keys of rejected rows are taken out of ``docs``, by broadcast
     if their table proves small.
     """
     measured = cut(measure(docs))
     fences = cut(thresholds(sketches(measured, k), least, reach))
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bad = judged(measured, fences).filter("not kept").select(named.alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    same = (named == F.col("bad_id")) & (F.xxhash64(text("text")) == F.col("bad_hash")) & (text("lang") == F.col("bad_lang")) & (text("source") == F.col("bad_source"))
-    return join_small(docs, cut(bad), same, "left_anti", row_bytes=96)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id")
+    key = ["id", "text_hash", "lang", "source"]
+    bad = cut(judged(measured, fences).filter("not kept").select(named, *key[1:]).distinct())
+    frame = docs.select(F.struct("*").alias("row"), named, F.xxhash64(text("text")).alias("text_hash"), text("lang").alias("lang"), text("source").alias("source"))
+    return join_small(frame, bad, key, "left_anti", row_bytes=96).select("row.*")

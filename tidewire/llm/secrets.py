@@ -9,6 +9,7 @@ without a mandatory trigram scan every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -126,17 +127,27 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return docs.select(F.explode(posted).alias("trigram"), *_key())
 
 
+#: Trigrams of one long integer in the row of a document.
+WORD_BITS = 63
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text_hash, kinds): the rules whose Boolean query a document's postings satisfy."""
     asked = needed_trigrams(rules)
-    bit = F.create_map(*[x for i, g in enumerate(asked) for x in (F.lit(g), F.lit(1 << i).cast("long"))]) if asked else None
-    if bit is None or len(asked) > 63:
-        raise ValueError("between 1 and 63 trigrams can be asked for")
-    posted = index.groupBy("doc_id", "text_hash").agg(F.bit_or(bit[F.col("trigram")]).alias("posted"))
+    if not asked:
+        return index.select("doc_id", "text_hash", F.array().cast("array<string>").alias("kinds")).limit(0)
+    number = F.create_map(*[x for i, g in enumerate(asked) for x in (F.lit(g), F.lit(i))])[F.col("trigram")]
+    words = range(0, len(asked), WORD_BITS)
+    bit = lambda lo: F.when((number >= lo) & (number < lo + WORD_BITS), F.expr("1L") * F.pow(F.lit(2), number - lo).cast("long"))
+    posted = index.groupBy("doc_id", "text_hash").agg(*[F.coalesce(F.bit_or(bit(lo)), F.lit(0).cast("long")).alias(f"posted_{lo}") for lo in words])
 
     def holds(choice: frozenset) -> Column:
-        mask = F.lit(sum(1 << asked.index(t) for t in choice)).cast("long")
-        return F.col("posted").bitwiseAND(mask) == mask
+        met = F.lit(True)
+        for lo in words:
+            mask = sum(1 << (i - lo) for i in map(asked.index, choice) if lo <= i < lo + WORD_BITS)
+            if mask:
+                met = met & (F.col(f"posted_{lo}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+        return met
 
     met = []
     for r in rules:
@@ -146,32 +157,51 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return posted.select("doc_id", "text_hash", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Per entry of an array of integers the sum (or what ``add`` makes) of all up to it.
+
+    An array cannot grow without being copied, so entries are taken in blocks whose number is
+    about their size.
+    """
+
+    def grown(block: Column) -> Column:
+        begin = F.array().cast("array<int>")
+        return F.aggregate(block, begin, lambda acc, x: F.concat(acc, F.array(F.coalesce(add(F.get(acc, F.size(acc) - 1), x), x))))
+
+    def of_blocks(blocks: Column) -> Column:
+        lasts = grown(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        before = lambda ends, k: F.get(ends, k - 1)
+        return let(lasts, lambda ends: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(add(before(ends, k), x), x)))))
+
+    size = F.ceil(F.sqrt(F.size(values))).cast("int")
+    cut_up = lambda n: F.transform(F.sequence(F.lit(0), F.size(values) - 1, n), lambda i: grown(F.slice(values, i + 1, n)))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(let(size, cut_up), of_blocks))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Leftmost matches that do not overlap, as structs (start, end, kind, text) in code points.
+    """Leftmost matches that do not overlap, as structs (start, end, kind) in code points.
 
     The text between matches gives the places: a match starts where the gaps and matches before it end.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    gaps = F.split(text, rule.pattern, -1)
-    start = F.lit(0)
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), x["hit"].alias("hit"))
-        grown = F.when(F.length(x["judged"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), grown.alias("spans"))
+    none = F.array().cast(SPANS)
 
     def placed(hits: Column) -> Column:
-        rows = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), judged, lambda x, j: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), j.alias("judged")))
-        none = F.array().cast(SPANS)
-        return F.aggregate(rows, F.struct(start.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
+        gaps = F.split(text, rule.pattern, -1)
+        sizes = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))), judged, lambda x, j: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), (F.length(j) >= rule.least).alias("counts")))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), let(found, placed)).otherwise(F.array().cast(SPANS))
+        def spans(rows: Column) -> Column:
+            ends = _running(F.transform(rows, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+            span = lambda x, end: F.when(x["counts"], F.struct((end - x["hit"]).alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+            return F.array_compact(F.zip_with(rows, ends, span))
 
+        return F.when(F.size(hits) > 0, let(sizes, spans)).otherwise(none)
 
-SPANS = "array<struct<start:int,end:int,kind:string,hit:string>>"
+    return let(found, placed)
+
+
+SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -219,24 +249,46 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return scanned.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret in text replaced by ``[kind]``; overlapping spans become one, named after the first.
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with sorted ``spans`` replaced by the names of their kinds.
 
-    Rows without a secret come through unchanged, null texts too.
+    A place in a text is found by walking there, so the text is first cut into about as many
+    pieces as each has spans.
     """
-    kinds = [r.kind for r in rules]
-    spans = F.array_sort(F.flatten(F.array(*kinds)))
 
-    def masked(all_spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-            mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+    def of_covered(covered: Column) -> Column:
+        """``covered``: per span how far it and those before it reach."""
+        reach = lambda i: F.coalesce(F.get(covered, i - 1), F.lit(0))
+        end = F.size(spans)
+
+        def of_size(n: Column) -> Column:
+            def piece(i: Column) -> Column:
+                begin, stop = reach(i), reach(F.least(i + n, end))
+
+                def marks(own: Column) -> Column:
+                    def mark(s: Column, k: Column) -> Column:
+                        gap = F.substring(own, reach(i + k) - begin + 1, s["start"] - reach(i + k))
+                        return F.when(s["start"] >= reach(i + k), F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+                    return F.array_join(F.transform(F.slice(spans, i + 1, n), mark), "")
+
+                return let(F.substring(text, begin + 1, stop - begin), marks)
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), end - 1, n), piece), "")
 
-        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(all_spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+        return F.concat(let(F.ceil(F.sqrt(end)).cast("int"), of_size), F.substring(text, reach(end) + 1, F.length(text)))
 
-    marked = with_spans(docs, rules).withColumn("all_spans", spans)
-    text = F.when(F.size("all_spans") > 0, masked(F.col("all_spans"))).otherwise(F.col("row.text"))
+    return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), of_covered)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret in text replaced by ``[kind]``; overlapping spans become one, named after the first.
+
+    Rows without a secret come through unchanged, null and empty texts too; repeated rows are
+    treated alike. Columns may have any names. An empty table gives no rows.
+    """
+    kinds = [r.kind for r in rules]
+    marked = with_spans(docs, rules).withColumn("all_spans", F.array_sort(F.flatten(F.array(*kinds))))
+    text = F.when(F.size("all_spans") > 0, let(F.col("all_spans"), lambda s: _masked(F.col("text"), s))).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     return marked.select(*columns)
