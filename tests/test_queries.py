@@ -23,4 +23,5 @@ def test_query_without_sql_has_rows(name, spark, sf):
 
 
 def test_entry(spark):
+    assert entry_point.entry(spark).count() > 0
     assert entry_point.entry(spark).columns == ["id", "location", "category", "label", "quality", "created_at"]

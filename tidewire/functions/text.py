@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,7 +103,8 @@ def csv_ids(text: Column) -> Column:
 
 
 def highlight(text: Column, terms: list[str]) -> Column:
-    return F.regexp_replace(text, "(?i)(" + "|".join(terms) + ")", "<mark>$1</mark>")
+    """The terms, which are plain text, between marks."""
+    return F.regexp_replace(text, "(?i)(" + "|".join(re.escape(t) for t in terms) + ")", "<mark>$1</mark>")
 
 
 def short_id(text: Column, size: int) -> Column:
@@ -134,3 +137,8 @@ def canonical_query(params: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """To one decimal, 0 of nothing."""
     return F.coalesce(F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), 1), F.lit(0.0))
+
+
+def csv_count(listed: Column) -> Column:
+    """Entries of a comma-separated list that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(listed, F.lit("")), ",", -1), lambda s: F.trim(s) != ""))

@@ -47,3 +47,28 @@ def methods(url: Column) -> Column:
     k = kind(url)
     special = F.when(k.isin("video", "social"), F.array(k)).otherwise(F.array().cast("array<string>"))
     return F.concat(special, F.array(*map(F.lit, ("rss", "wordpress", "sitemap", "article", "reader"))))
+
+
+# The embedding services of hosts.
+OEMBED = {
+    "youtube.com": "https://www.youtube.com/oembed?url=%s&format=json",
+    "youtu.be": "https://www.youtube.com/oembed?url=%s&format=json",
+    "vimeo.com": "https://vimeo.com/api/oembed.json?url=%s",
+    "twitter.com": "https://publish.twitter.com/oembed?url=%s",
+    "x.com": "https://publish.twitter.com/oembed?url=%s",
+    "tiktok.com": "https://www.tiktok.com/oembed?url=%s",
+    "instagram.com": "https://graph.facebook.com/v18.0/instagram_oembed?url=%s",
+}
+
+
+def oembed(url: Column) -> Column:
+    """Where a post or video can be asked for as JSON, null for other hosts."""
+    out = F.when(F.lit(False), "")
+    for name, form in OEMBED.items():
+        out = out.when(F.rlike(domain(url), F.lit("(^|\\.)" + name.replace(".", "\\.") + "$")), F.format_string(form, encoded(url)))
+    return out
+
+
+def encoded(text: Column) -> Column:
+    """Text as a part of a query string, blanks as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import jaccard, short_id, signature, significant_words
+from tidewire.functions.times import ago
+from tidewire.streaming.streams import shared_folder
 
 
 def by_signature(cards: DataFrame, least: int = 2) -> DataFrame:
@@ -16,6 +18,20 @@ def by_signature(cards: DataFrame, least: int = 2) -> DataFrame:
     return signed.join(shared, "signature").select("id", short_id(F.col("signature"), 12).alias("cluster_id"))
 
 
+def unclustered(cards: DataFrame, as_of: str, hours: int = 24, limit: int | None = None) -> DataFrame:
+    """Cards (id, title, cluster_id, created_at) of the last hours that have no cluster, the newest ``limit`` of them."""
+    due = cards.filter((F.coalesce("cluster_id", F.lit("")) == "") & (F.col("created_at") >= ago(as_of, hours)))
+    return due if limit is None else due.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def written_back(cards: DataFrame, found: DataFrame, again: bool = False) -> DataFrame:
+    """``cards`` with the clusters (id, cluster_id) that were found: where there was none, or ``again`` in any case."""
+    new = found.select("id", F.col("cluster_id").alias("_new"))
+    order = ("_new", "cluster_id") if again else ("cluster_id", "_new")
+    joined = cards.join(new, "id", "left")
+    return joined.select(*[F.coalesce(*order).alias(c) if c == "cluster_id" else F.col(c) for c in cards.columns])
+
+
 def word_sets(cards: DataFrame) -> DataFrame:
     """(set_id, words, n): the different word sets of titles; set_id is the smallest id that has one."""
     sets = cards.select("id", F.array_sort(significant_words(F.col("title"))).alias("words")).filter(F.size("words") > 0)
@@ -45,9 +61,7 @@ def components(links: DataFrame) -> DataFrame:
     A round reads what the one before it wrote to the checkpoint folder.
     """
     if links.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        links.sparkSession.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/tidewire-checkpoints")
+        links.sparkSession.sparkContext.setCheckpointDir(f"{shared_folder(links.sparkSession)}/tidewire-checkpoints")
     both = links.select("a", "b").union(links.select("b", "a")).checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")).checkpoint()
     while True:

@@ -15,8 +15,8 @@ def sentence_rows(articles: DataFrame) -> DataFrame:
     return rows.withColumn("key", sentence_key(F.col("sentence"))).filter("key != ''")
 
 
-def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
-    """The most frequent sentences of each cluster: how many articles' sentences share the key, with what bias."""
+def counted(rows: DataFrame, verified_at: int = 3) -> DataFrame:
+    """Every sentence of each cluster: how many articles' sentences share the key, with what bias."""
     grouped = rows.groupBy("cluster_id", "key").agg(
         F.count("*").alias("frequency"),
         F.min_by("sentence", F.struct("id", "position")).alias("sentence"),
@@ -24,8 +24,28 @@ def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
         F.round(F.max("bias"), 4).alias("bias_max"),
         F.round(F.avg("bias"), 4).alias("bias_avg"),
     )
-    ranked = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("frequency"), "key")).cast("bigint"))
-    return ranked.filter(F.col("rank") <= most).withColumn("status", F.when(F.col("frequency") >= verified_at, "verified").otherwise("disputed"))
+    return grouped.withColumn("status", F.when(F.col("frequency") >= verified_at, "verified").otherwise("disputed"))
+
+
+def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
+    """The most frequent sentences of each cluster, ranked."""
+    ranked = counted(rows, verified_at).withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("frequency"), "key")).cast("bigint"))
+    return ranked.filter(F.col("rank") <= most)
+
+
+#: What is looked for in sentences, and how many of each are kept.
+ENTITIES = {
+    "date": (r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2} de [a-z]+ de [0-9]{4}", 10),
+    "money": (r"\$ ?[0-9][0-9.,]*(?: (?:mil|millones|billones))?", 10),
+    "number": (r"[0-9]+(?:[.,][0-9]+)*", 10),
+    "name": (r"[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?: [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,3}", 15),
+    "place": (r"(?:in|en|of|de) [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+", 15),
+}
+
+
+def entities_by_kind(text: Column, kinds: dict[str, tuple[str, int]] | None = None) -> dict[str, Column]:
+    """Per kind the different whole matches, sorted, as many as its entry says."""
+    return {k: F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))), 1, most) for k, (p, most) in (kinds or ENTITIES).items()}
 
 
 def entities(text: Column, patterns: dict[str, str], most: int = 10) -> Column:
@@ -45,8 +65,38 @@ def perspectives(articles: DataFrame, edge: float = 0.3, most: int = 3) -> DataF
     return counted.join(leads, ["cluster_id", "band"], "left").withColumn("leads", F.coalesce("leads", F.lit("")))
 
 
+#: Words that a headline shouts with.
+SHOUTS = r"(?i)^\s*(?:breaking|urgent|exclusive|alert)\s*[-:]\s*"
+
+
+def calm_title(title: Column, least: int = 5, default: str = "Synthesis") -> Column:
+    """A title without shouts and tags, or the default if too little is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), SHOUTS, ""), "<[^>]+>", ""))
+    return F.when(F.length(bare) < least, F.lit(default)).otherwise(bare)
+
+
 def fallback(articles: DataFrame, found: DataFrame, edge: float = 0.2, most: int = 5) -> DataFrame:
-    """Per cluster a base article (the first with low bias, else the first) and a summary from its top facts."""
-    base = articles.groupBy("cluster_id").agg(F.min(F.struct(F.when(F.abs("bias") < edge, 0).otherwise(1).alias("p"), F.col("id").alias("id"))).alias("base"), F.count("*").alias("n"))
-    text = found.filter(F.col("rank") <= most).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]), ". ").alias("summary"))
-    return base.join(text, "cluster_id", "left").select("cluster_id", F.col("base.id").alias("base_id"), "n", F.coalesce("summary", F.lit("")).alias("summary"))
+    """Per cluster a base article and a summary from its verified facts, of articles (cluster_id, id, bias).
+
+    The base is the first article with low bias in order of bias, else the middle one; only
+    clusters without a neutral article are put in order for that.
+    """
+    neutral = F.when(F.abs("bias") < edge, F.struct("bias", "id"))
+    per = articles.groupBy("cluster_id").agg(F.min(neutral)["id"].alias("neutral_id"), F.count("*").alias("n"))
+    lone = articles.join(per.filter("neutral_id is null").select("cluster_id", "n"), "cluster_id")
+    placed = lone.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("bias", "id")))
+    middle = placed.filter(F.col("place") == F.floor(F.col("n") / 2) + 1).select("cluster_id", F.col("id").alias("middle_id"))
+    text = found.filter((F.col("rank") <= most) & (F.col("status") == "verified")).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]), ". ").alias("summary"))
+    joined = per.join(middle, "cluster_id", "left").join(text, "cluster_id", "left")
+    return joined.select("cluster_id", F.coalesce("neutral_id", "middle_id").alias("base_id"), "n", F.left(F.coalesce("summary", F.lit("")), F.lit(1000)).alias("summary"))
+
+
+def batch(sizes: DataFrame, counted_facts: DataFrame, mastered: DataFrame, limit: int = 100) -> DataFrame:
+    """(cluster_id, n, outcome) of the largest ``limit`` clusters (cluster_id, n) that have no master.
+
+    A cluster of fewer than two articles is skipped, and one without a verified fact fails.
+    """
+    due = sizes.join(mastered.select("cluster_id"), "cluster_id", "left_anti").orderBy(F.desc("n"), "cluster_id").limit(limit)
+    verified = counted_facts.filter("status = 'verified'").groupBy("cluster_id").agg(F.count("*").alias("verified"))
+    outcome = F.when(F.col("n") < 2, "skipped").when(F.coalesce("verified", F.lit(0)) == 0, "failed").otherwise("success")
+    return due.join(verified, "cluster_id", "left").select("cluster_id", "n", outcome.alias("outcome"))

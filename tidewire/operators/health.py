@@ -71,3 +71,9 @@ def ladder(count: Column, warn: int, bad: int) -> Column:
 def choose(candidates: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first valid candidate of each key in order: the cascade over results that are at hand."""
     return candidates.filter("valid").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def learned_first(learned: Column, by_priority: list[str]) -> Column:
+    """The methods in order, the learned one moved to the front."""
+    order = F.array(*map(F.lit, by_priority))
+    return F.when(F.array_contains(order, learned), F.concat(F.array(learned), F.array_remove(order, learned))).otherwise(order)

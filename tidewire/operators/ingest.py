@@ -54,3 +54,34 @@ def recode(value: Column, mapping: dict[str, str]) -> Column:
     """The mapped value, or the value itself."""
     pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), value), value)
+
+
+def default_text(value: Column, default: Column) -> Column:
+    """A default where text is null or blank."""
+    return F.coalesce(F.when(F.trim(value) != "", value), default)
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
+    """``old`` with the values of ``new`` where both have the key, and the rows that are new; columns that new rows lack take a default."""
+    named = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c != key], F.lit(True).alias("_there"))
+    joined = old.withColumn("_known", F.lit(True)).join(named, key, "full")
+
+    def value(c: str) -> Column:
+        if c in new.columns:
+            return F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c))
+        return F.when(F.col("_known"), F.col(c)).otherwise(defaults.get(c, F.lit(None)))
+
+    return joined.select(key, *[value(c).alias(c) for c in old.columns if c != key])
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of all other keys: a reset."""
+    return rows.join(keys.select(key), key, "left_anti")
+
+
+def moved(items: DataFrame, steps: list[tuple[str, str, Column]]) -> DataFrame:
+    """Items whose status is moved on by each step (from, to, condition) in turn."""
+    for old, new, condition in steps:
+        ready = (F.col("status") == old) & F.coalesce(condition, F.lit(False))
+        items = items.withColumn("status", F.when(ready, F.lit(new)).otherwise(F.col("status")))
+    return items

@@ -19,8 +19,8 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(Column.__and__, conditions, F.lit(True))
 
 
-def card_filter(as_of: str, *, location: int | None = None, category: str | None = None, bias: str | None = None, within: str | None = None, min_quality: float | None = None, source: int | None = None) -> Column:
-    """The conjunction of the filters that are given. Unscored quality counts as 0; categories are compared without case and accents."""
+def card_filter(as_of: str, *, location: int | None = None, category: str | None = None, bias: str | None = None, within: str | None = None, min_quality: float | None = None, sources: list[int] | None = None) -> Column:
+    """The conjunction of the filters that are given; an empty list of followed sources filters nothing. Unscored quality counts as 0; categories are compared without case and accents."""
     asked: list[Column] = []
     if location is not None:
         asked.append(F.col("location_id") == location)
@@ -34,8 +34,8 @@ def card_filter(as_of: str, *, location: int | None = None, category: str | None
         asked.append(F.col("created_at") >= ago(as_of, SPANS[within]))
     if min_quality is not None:
         asked.append(F.coalesce(F.col("quality"), F.lit(0.0)) >= min_quality)
-    if source is not None:
-        asked.append(F.col("source_id") == source)
+    if sources:
+        asked.append(F.col("source_id").isin(sources))
     return all_of(asked)
 
 
@@ -171,3 +171,18 @@ def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
 def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key ``right`` does not have, repeated ones included."""
     return left.join(right.select(key).distinct(), key, "left_anti")
+
+
+def ranked_within(rows: DataFrame, name: str, keys: list[str], *order: Column) -> DataFrame:
+    """Rows with their place within ``keys``."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
+def range_errors(limits: dict[str, tuple], allowed: dict[str, tuple]) -> Column:
+    """The names of values out of range (value, least, most; either may be None) or not among those allowed (value, list)."""
+    found = []
+    for name, (value, least, most) in limits.items():
+        checks = ([value < least] if least is not None else []) + ([value > most] if most is not None else [])
+        found.append(F.when(reduce(Column.__or__, checks), name))
+    found += [F.when(~value.isin(values), name) for name, (value, values) in allowed.items()]
+    return F.array_compact(F.array(*found))

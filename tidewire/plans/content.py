@@ -198,7 +198,7 @@ def txt_reject_reason(spark, sf):
 # ---- search
 
 
-def _bm25(terms) -> str:
+def bm25_sql(terms) -> str:
     tf = lambda t: f"len(list_filter(w, lambda x: x = '{t}'))"
     counts = ", ".join(f"{tf(t)} AS tf{i}" for i, t in enumerate(terms))
     stats = ", ".join(f"count(*) FILTER (tf{i} > 0) OVER () AS df{i}" for i in range(len(terms)))
@@ -207,7 +207,7 @@ def _bm25(terms) -> str:
     return f"SELECT id, round({' + '.join(part(i) for i in range(len(terms)))}, 4) AS score FROM (SELECT *, count(*) OVER () AS n, avg(len) OVER () AS mean, {stats} FROM (SELECT id, len(w) AS len, {counts} FROM (SELECT id, string_split({BODY}, ' ') AS w FROM texts))) WHERE {every}"
 
 
-@query(_bm25(["the", "with"]), TEXTS)
+@query(bm25_sql(["the", "with"]), TEXTS)
 def txt_search_bm25(spark, sf):
     return search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["the", "with"])
 
@@ -248,8 +248,9 @@ def facts_perspectives(spark, sf):
     return facts.perspectives(_articles(spark, sf))
 
 
-@query("""SELECT a.cluster_id, base_id, n, coalesce(summary, '') AS summary FROM (SELECT cluster_id, arg_min(id, (CASE WHEN abs(bias) < 0.2 THEN 0 ELSE 1 END, id)) AS base_id, count(*) AS n FROM articles GROUP BY 1) a LEFT JOIN
- (SELECT cluster_id, string_agg(sentence, '. ' ORDER BY rank) AS summary FROM facts WHERE rank <= 5 GROUP BY 1) f ON a.cluster_id = f.cluster_id""", ARTICLES, SENTENCES, FACTS)
+@query("""SELECT a.cluster_id, coalesce(neutral_id, middle_id) AS base_id, n, left(coalesce(summary, ''), 1000) AS summary FROM
+ (SELECT cluster_id, arg_min(id, (bias, id)) FILTER (abs(bias) < 0.2) AS neutral_id, count(*) AS n, list(id ORDER BY bias, id)[count(*) // 2 + 1] AS middle_id FROM articles GROUP BY 1) a LEFT JOIN
+ (SELECT cluster_id, string_agg(sentence, '. ' ORDER BY rank) AS summary FROM facts WHERE rank <= 5 AND frequency >= 3 GROUP BY 1) f ON a.cluster_id = f.cluster_id""", ARTICLES, SENTENCES, FACTS)
 def facts_fallback(spark, sf):
     a = _articles(spark, sf)
     return facts.fallback(a, facts.facts(facts.sentence_rows(a)))
@@ -344,16 +345,6 @@ def html_sniff(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[marks[k].alias(k) for k in ("has_article", "has_main", "has_nav", "has_script", "is_wordpress")])
 
 
-@query()
-def html_article(spark, sf):
-    return markup.article(table(spark, sf, "pages"))
-
-
-@query()
-def html_feeds(spark, sf):
-    return markup.discovered_feeds(table(spark, sf, "pages"))
-
-
 # ---- text sinks
 
 

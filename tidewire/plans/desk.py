@@ -8,8 +8,8 @@ from tidewire.functions import labels, text, times, urls
 from tidewire.operators import facts, health, ingest, scoring, search
 from tidewire.operators import relational as rel
 from tidewire.plans import ATTEMPTS, CARDS, LOCATIONS, TEXTS, query
-from tidewire.plans.content import ARTICLES, FACTS, FAMILIES, REJECT_SQL, SENTENCES, _articles
-from tidewire.plans.logs import ISLANDS, RUN_SQL, _shared
+from tidewire.plans.content import ARTICLES, COS, FACTS, FAMILIES, REJECT_SQL, SENTENCES, _articles, bm25_sql
+from tidewire.plans.logs import ISLANDS, RUN_SQL
 from tidewire.sources import markup
 from tidewire.sources.roles import attempts, cards, locations, table, texts
 from tidewire.streaming import streams
@@ -21,7 +21,7 @@ from tidewire.streaming import streams
 def ing_publish(spark, sf):
     """Defaults of published cards; a quality of 0 counts as missing."""
     shown = F.when(F.coalesce("quality", F.lit(0.0)) == 0, 0.5).otherwise(F.col("quality"))
-    return cards(spark, sf).select("id", F.coalesce("location_id", F.lit(0)).alias("location_id"), F.coalesce("category", F.lit("local")).alias("category"), shown.alias("quality"), F.lit(1).alias("synced"))
+    return cards(spark, sf, placed=True).select("id", F.coalesce("location_id", F.lit(0)).alias("location_id"), F.coalesce("category", F.lit("local")).alias("category"), shown.alias("quality"), F.lit(1).alias("synced"))
 
 
 @query("SELECT left(md5(concat('master-', cluster_id)), 16) AS id, cluster_id, count(*) AS sources_count, round(min(bias_signed), 4) AS bias_min, round(max(bias_signed), 4) AS bias_max, floor(sum(round(bias_signed * 100)::bigint)::double / count(*))::bigint AS bias_percent FROM cards WHERE cluster_id IS NOT NULL GROUP BY cluster_id", CARDS)
@@ -47,10 +47,10 @@ def ing_denormalise(spark, sf):
     return joined.groupBy(F.col("l_orderkey").alias("id")).agg(F.min_by("l_suppkey", rank).alias("source_id"), F.count("*").alias("sources_count"))
 
 
-@query("SELECT s_suppkey, coalesce((SELECT max(n_regionkey) FROM nation WHERE n_nationkey = s_nationkey AND n_nationkey % 2 = 0), -1)::int AS region_id FROM supplier")
+@query("SELECT s_suppkey, coalesce((SELECT max(n_regionkey) FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey > 0), -1)::int AS region_id FROM supplier")
 def ing_lookup_update(spark, sf):
-    even = table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-    return table(spark, sf, "supplier").join(even, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_regionkey", F.lit(-1)).alias("region_id"))
+    known = table(spark, sf, "nation").filter("n_regionkey > 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    return table(spark, sf, "supplier").join(known, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_regionkey", F.lit(-1)).alias("region_id"))
 
 
 @query("SELECT source_key, CASE WHEN source_key IN (SELECT source_key FROM attempts WHERE success = 1 AND ts >= TIMESTAMP '2024-01-29') THEN 0 ELSE errors END AS errors FROM (SELECT source_key, count(*) FILTER (success = 0) AS errors FROM attempts GROUP BY 1)", ATTEMPTS)
@@ -61,10 +61,10 @@ def ing_error_reset(spark, sf):
     return errors.join(well, "source_key", "left").select("source_key", F.when(F.col("well"), F.lit(0)).otherwise(F.col("errors")).alias("errors"))
 
 
-@query("SELECT page_id, left(md5(url), 8) AS id, left(url, 20) AS title, octet_length(encode(html))::bigint AS n_bytes FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id < 50)")
+@query("SELECT page_id, left(md5(url), 8) AS id, left(url, 20) AS title, octet_length(encode(html))::bigint AS n_bytes FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def ing_cards_keyed(spark, sf):
     p = table(spark, sf, "pages")
-    seen = table(spark, sf, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("page_id"))
+    seen = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"))
     return p.join(seen, "page_id", "left_anti").select("page_id", text.short_id(F.col("url"), 8).alias("id"), F.left("url", F.lit(20)).alias("title"), F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
@@ -98,18 +98,18 @@ def health_recovery(spark, sf):
 
 @query(f"SELECT source_key, failures, CASE WHEN failures >= 3 THEN 1 ELSE 0 END AS is_open FROM (SELECT source_key, arg_max(failures, (ts, event_id))::bigint AS failures FROM (SELECT source_key, ts, event_id, sum(1 - success) OVER (PARTITION BY source_key, island ORDER BY ts, event_id {RUN_SQL}) AS failures FROM islands) GROUP BY 1)", ATTEMPTS, ISLANDS)
 def stream_breakers(spark, sf):
-    """Breakers kept as state over the stream of attempts; the last state of each key."""
+    """Breakers kept as state over the stream of attempts; the state after its last batch."""
     log = streams.event_stream(spark, sf).select(F.col("user_id").alias("source_key"), "event_id", F.when((F.col("event_type") == "error") | (F.col("event_id") % 5 == 0), 0).otherwise(1).alias("success"), "ts")
-    out = streams.drained(streams.breaker_states(log), "update", _shared(spark))
-    return out.groupBy("source_key").agg(F.max_by(F.struct("failures", "is_open"), "seen").alias("x")).select("source_key", "x.failures", "x.is_open")
+    state = streams.breakers(log, streams.shared_folder(spark))
+    return state.select("source_key", "failures", (F.col("failures") >= 3).cast("int").alias("is_open"))
 
 
 # ---- reports
 
 
-@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS masters, count(*) AS clusters, round((SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) * 100.0 / count(*), 1)::double AS coverage, round(avg(n), 2) AS mean_sources FROM (SELECT cluster_id, count(*) AS n FROM cards WHERE cluster_id IS NOT NULL GROUP BY 1)", CARDS)
+@query("SELECT (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS masters, count(*) AS clusters, round((SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') * 100.0 / count(*), 1)::double AS coverage, round(avg(n), 2) AS mean_sources FROM (SELECT cluster_id, count(*) AS n FROM cards WHERE cluster_id IS NOT NULL GROUP BY 1)", CARDS)
 def rel_coverage_stats(spark, sf):
-    masters = table(spark, sf, "customer").filter("c_custkey % 3 = 0").agg(F.count("*").alias("masters"))
+    masters = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").agg(F.count("*").alias("masters"))
     sizes = rel.counts_by(cards(spark, sf).filter("cluster_id is not null"), "cluster_id").agg(F.count("*").alias("clusters"), F.round(F.avg("n"), 2).alias("mean_sources"))
     return masters.crossJoin(sizes).withColumn("coverage", text.percent(F.col("masters"), F.col("clusters")))  # one row each
 
@@ -147,7 +147,7 @@ def rel_client_search(spark, sf):
 @query("SELECT * FROM cards ORDER BY id LIMIT 50", CARDS)
 def rel_cached_scan(spark, sf):
     """The first 50 cards by key, as an offline client keeps them."""
-    return rel.top(cards(spark, sf), 50, F.col("id"))
+    return rel.top(cards(spark, sf, placed=True), 50, F.col("id"))
 
 
 @query("SELECT DISTINCT c_name AS name, 'customer' AS origin FROM customer UNION SELECT s_name, 'supplier' FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)")
@@ -210,19 +210,20 @@ def txt_prompt(spark, sf):
     return joined.select("cluster_id", F.format_string("Facts: %s", F.col("summary")).alias("prompt"))
 
 
-@query()
+@query(f"""WITH near AS (SELECT v.vec_id AS id, max({COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)
+ SELECT id, 'words' AS kind, score FROM ({bm25_sql(["the", "with"])}) UNION ALL SELECT id, 'vector', round(score, 4) FROM near WHERE score >= 0.5""", TEXTS)
 def txt_hybrid(spark, sf):
     """Keyword results and vector matches side by side, each with its own score; they are not fused."""
     words = search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["the", "with"]).select("id", F.lit("words").alias("kind"), "score")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.5).groupBy("id").agg(F.max("score").alias("score")).select("id", F.lit("vector").alias("kind"), "score")
+    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.5).groupBy("id").agg(F.round(F.max("score"), 4).alias("score")).select("id", F.lit("vector").alias("kind"), "score")
     return words.unionByName(near)
 
 
-@query("SELECT cluster_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'disputed') AS disputed, max(frequency) AS most FROM (SELECT *, CASE WHEN frequency >= 3 THEN 'verified' ELSE 'disputed' END AS status FROM facts WHERE rank <= 20) GROUP BY 1", ARTICLES, SENTENCES, FACTS)
+@query("SELECT cluster_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'disputed') AS disputed, max(frequency) AS most FROM (SELECT *, CASE WHEN frequency >= 3 THEN 'verified' ELSE 'disputed' END AS status FROM facts) GROUP BY 1", ARTICLES, SENTENCES, FACTS)
 def facts_synthesis(spark, sf):
-    """What the synthesis of each cluster would rest on."""
-    found = facts.facts(facts.sentence_rows(_articles(spark, sf)))
+    """What the synthesis of each cluster would rest on: all its sentences, not only those that are shown."""
+    found = facts.counted(facts.sentence_rows(_articles(spark, sf)))
     return found.groupBy("cluster_id").agg(F.count_if(F.col("status") == "verified").alias("verified"), F.count_if(F.col("status") == "disputed").alias("disputed"), F.max("frequency").alias("most"))
 
 

@@ -10,7 +10,7 @@ from tidewire.functions.text import capitalise, fold, percent, slug
 from tidewire.functions.urls import domain
 from tidewire.operators import relational as rel
 from tidewire.plans import CARDS, LOCATIONS, TEXTS, query
-from tidewire.sources.roles import ORDERS_AS_OF, cards, locations, table, texts
+from tidewire.sources.roles import ORDERS_AS_OF, cards, locations, table, texts, with_places
 
 LABEL_SQL = "CASE WHEN bias_signed IS NULL THEN 'no data' WHEN bias_signed > 0.5 THEN 'strong official' WHEN bias_signed > 0.1 THEN 'mild official' WHEN bias_signed >= -0.1 THEN 'neutral' WHEN bias_signed >= -0.5 THEN 'mild opposition' ELSE 'strong opposition' END"
 FEED = {"bias": "official", "within": "month", "min_quality": 0.5}
@@ -18,12 +18,12 @@ FEED_SQL = "bias_signed > 0.1 AND created_at >= TIMESTAMP '2001-08-01' - INTERVA
 
 
 @query(f"SELECT cards.id, n_name AS location, category, {LABEL_SQL} AS label, quality, created_at FROM cards LEFT JOIN nation ON location_id = n_nationkey WHERE {FEED_SQL} ORDER BY created_at DESC, cards.id DESC LIMIT 20 OFFSET 20", CARDS)
-def feed_page(spark: SparkSession, sf: str) -> DataFrame:
+def feed_page(spark: SparkSession, sf: str, offset: int = 20) -> DataFrame:
     rows = cards(spark, sf).filter(rel.card_filter(ORDERS_AS_OF, **FEED))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("location"))
     # The page is cut before its names are looked up; order does not depend on them.
-    paged = rel.page(rows, 20, 20, F.desc("created_at"), F.desc("id"))
-    return paged.join(nation, "location_id", "left").select("id", "location", "category", bias_label(F.col("bias_signed")).alias("label"), "quality", "created_at")
+    paged = rel.page(rows, 20, offset, F.desc("created_at"), F.desc("id"))
+    return with_places(paged, spark, sf).join(nation, "location_id", "left").select("id", "location", "category", bias_label(F.col("bias_signed")).alias("label"), "quality", "created_at")
 
 
 @query(f"SELECT count(*) AS total FROM cards WHERE {FEED_SQL}", CARDS)
@@ -38,15 +38,19 @@ def feed_window_day(spark, sf):
 
 @query("SELECT cards.id, c_name AS source, n_name AS location, r_name AS region FROM cards LEFT JOIN customer ON source_id = c_custkey LEFT JOIN nation ON location_id = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", CARDS)
 def rel_cards_sources_locations(spark, sf):
-    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source"))
+    return _wide(spark, sf).select("id", "source", "location", "region")
+
+
+def _wide(spark, sf):
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source"), F.col("c_nationkey").alias("location_id"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("location"), F.col("n_regionkey").alias("r_regionkey"))
     region = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("region"))
-    return cards(spark, sf).join(customer, "source_id", "left").join(nation, "location_id", "left").join(region, "r_regionkey", "left").select("id", "source", "location", "region")
+    return cards(spark, sf).join(customer, "source_id", "left").join(nation, "location_id", "left").join(region, "r_regionkey", "left")
 
 
 @query("SELECT n_name AS location, count(cards.id) AS n, max(created_at) AS last_at FROM nation LEFT JOIN cards ON location_id = n_nationkey GROUP BY n_name HAVING count(cards.id) > 0 ORDER BY n DESC, location LIMIT 12", CARDS)
 def rel_location_counts(spark, sf):
-    per = cards(spark, sf).groupBy("location_id").agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
+    per = cards(spark, sf, placed=True).groupBy("location_id").agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("location_id"), F.col("n_name").alias("location"))
     return rel.top(nation.join(per, "location_id", "left").filter("n > 0").select("location", "n", "last_at"), 12, F.desc("n"), F.col("location"))
 
@@ -116,9 +120,9 @@ def rel_quality_by_category(spark, sf):
     return cards(spark, sf).groupBy("category").agg(F.round(F.avg("quality"), 2).alias("mean_quality"), F.count_if(F.col("is_press") == 1).alias("n_press"), percent(F.count("quality"), F.count("*")).alias("scored"))
 
 
-@query("SELECT cluster_id, count(*) AS n FROM cards WHERE cluster_id IS NOT NULL AND cluster_id NOT IN (SELECT concat('c', c_custkey::varchar) FROM customer WHERE c_custkey % 3 = 0) GROUP BY cluster_id HAVING count(*) >= 2", CARDS)
+@query("SELECT cluster_id, count(*) AS n FROM cards WHERE cluster_id IS NOT NULL AND cluster_id NOT IN (SELECT concat('c', c_custkey::varchar) FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY cluster_id HAVING count(*) >= 2", CARDS)
 def rel_unprocessed_clusters(spark, sf):
-    masters = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("cluster_id"))
+    masters = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("cluster_id"))
     return rel.without_master(cards(spark, sf), masters)
 
 
@@ -194,11 +198,11 @@ def rel_eligible_sources(spark, sf):
 DOMAIN_SQL = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '^www\\.', '')"
 
 
-@query(f"SELECT DISTINCT {DOMAIN_SQL} AS domain FROM pages WHERE page_id % 2 = 1 AND {DOMAIN_SQL} NOT IN (SELECT {DOMAIN_SQL} FROM pages WHERE page_id % 2 = 0)")
+@query(f"SELECT DISTINCT {DOMAIN_SQL} AS domain FROM pages WHERE url LIKE 'http:%' AND {DOMAIN_SQL} NOT IN (SELECT {DOMAIN_SQL} FROM pages WHERE url LIKE 'https:%')")
 def rel_new_candidates(spark, sf):
-    """Domains of pages with odd ids that pages with even ids do not have."""
-    d = table(spark, sf, "pages").select("page_id", domain(F.col("url")).alias("domain"))
-    return rel.difference(d.filter("page_id % 2 = 1"), d.filter("page_id % 2 = 0"), "domain").select("domain").distinct()
+    """Domains seen over http only: those seen over https are known."""
+    d = table(spark, sf, "pages").select("url", domain(F.col("url")).alias("domain"))
+    return rel.difference(d.filter("url like 'http:%'"), d.filter("url like 'https:%'"), "domain").select("domain").distinct()
 
 
 @query(f"SELECT {DOMAIN_SQL} AS domain, min(page_id) AS page_id, count(*) AS n FROM pages WHERE regexp_matches(url, 'en|th') AND NOT regexp_matches(url, 'ref=') GROUP BY 1")
@@ -253,9 +257,8 @@ def rel_metric_summary(spark, sf):
 
 @query("SELECT id, coalesce(nullif(trim(c_name), ''), concat('source ', source_id::varchar)) AS source, concat_ws(', ', n_name, r_name) AS place, lower(regexp_replace(n_name, '\\s+', '-', 'g')) AS slug, coalesce(quality, 0) AS shown_quality FROM cards LEFT JOIN customer ON source_id = c_custkey LEFT JOIN nation ON location_id = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", CARDS)
 def rel_card_view(spark, sf):
-    wide = rel_cards_sources_locations(spark, sf).join(cards(spark, sf).select("id", "source_id", "quality"), "id")
     named = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.concat(F.lit("source "), F.col("source_id").cast("string")))
-    return wide.select("id", named.alias("source"), F.concat_ws(", ", "location", "region").alias("place"), slug(F.col("location")).alias("slug"), F.coalesce("quality", F.lit(0.0)).alias("shown_quality"))
+    return _wide(spark, sf).select("id", named.alias("source"), F.concat_ws(", ", "location", "region").alias("place"), slug(F.col("location")).alias("slug"), F.coalesce("quality", F.lit(0.0)).alias("shown_quality"))
 
 
 @query("SELECT k, count(*) AS n, sum(round(value * 100)::bigint)::bigint AS cents FROM (SELECT json_extract_string(props, '$.k')::bigint AS k, value FROM events) WHERE k IS NOT NULL GROUP BY k")
@@ -285,8 +288,7 @@ def rel_cluster_siblings(spark, sf):
 
 @query("SELECT source_id, count(*) AS n, round(avg(bias_signed), 4) AS mean_bias, count(DISTINCT category) AS n_categories, greatest(1, round(sum(o_totalprice) / 1200)::bigint) AS minutes FROM cards JOIN orders ON id = o_orderkey GROUP BY source_id ORDER BY n DESC, source_id LIMIT 25", CARDS)
 def rel_source_profile(spark, sf):
-    c = cards(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "id")
-    per = c.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("bias_signed"), 4).alias("mean_bias"), F.count_distinct("category").alias("n_categories"), F.greatest(F.lit(1).cast("bigint"), F.round(F.sum("o_totalprice") / 1200).cast("bigint")).alias("minutes"))
+    per = cards(spark, sf).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("bias_signed"), 4).alias("mean_bias"), F.count_distinct("category").alias("n_categories"), F.greatest(F.lit(1).cast("bigint"), F.round(F.sum("o_totalprice") / 1200).cast("bigint")).alias("minutes"))
     return rel.top(per, 25, F.desc("n"), F.col("source_id"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidewire.operators import health, ingest
@@ -109,11 +107,12 @@ def rel_error_histogram(spark, sf):
     return rel.top(rel.counts_by(attempts(spark, sf).filter("success = 0"), "method"), 10, F.desc("n"), F.col("method"))
 
 
-@query("SELECT user_id, count(*) AS view_count FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02') GROUP BY 1")
+@query("SELECT user_id, count(*) AS view_count FROM events WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00') GROUP BY 1")
 def ing_delta_new(spark, sf):
+    """Users of a later load that the first hours' load did not have."""
     e = table(spark, sf, "events")
-    seen = e.filter("ts < timestamp_ntz'2024-01-02'").select("user_id").distinct()
-    return ingest.seen_delta(e.filter("event_id % 2 = 1"), seen, "user_id")
+    first = F.col("ts") < F.expr("timestamp_ntz'2024-01-01 06:00:00'")
+    return ingest.seen_delta(e.filter(~first), e.filter(first).select("user_id").distinct(), "user_id")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
@@ -122,20 +121,22 @@ def ing_keep_latest(spark, sf):
     return ingest.keep_latest(e.filter("ts < timestamp_ntz'2024-01-15'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), "user_id", F.col("ts"), F.col("event_id")).select(e.columns)
 
 
-@query("SELECT source, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 <> 0 AND source NOT IN (SELECT source FROM documents WHERE doc_id < 10) GROUP BY 1")
+@query("SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def ing_insert_absent(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id")
-    return ingest.insert_absent(d.filter("doc_id % 3 <> 0"), d.filter("doc_id < 10").distinct(), "source", F.col("doc_id"))
+    """Documents that have no label row yet."""
+    d, labels = table(spark, sf, "documents").select("doc_id", "source", "lang"), table(spark, sf, "labels")
+    return ingest.insert_absent(d, labels.select("doc_id").distinct(), "doc_id", F.col("source"), F.col("lang"))
 
 
 def _mark_sql(minus: str) -> str:
-    return f"SELECT event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS mark FROM events WHERE event_id % 2 = 0 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) m ON e.user_id = m.user_id WHERE event_id % 2 = 1 AND (mark IS NULL OR ts > mark{minus})"
+    return f"SELECT event_id, e.user_id FROM events e LEFT JOIN (SELECT user_id, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) m ON e.user_id = m.user_id WHERE mark IS NULL OR ts > mark{minus}"
 
 
 def _above(spark, sf, overlap=None):
+    """Of all events those above the mark that an earlier load left for their user."""
     e = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    marks = ingest.marks_of(e.filter("event_id % 2 = 0 and ts < timestamp_ntz'2024-01-20'"), "user_id", "ts")
-    return ingest.above_mark(e.filter("event_id % 2 = 1"), marks, "user_id", "ts", overlap).select("event_id", "user_id")
+    marks = ingest.marks_of(e.filter("ts < timestamp_ntz'2024-01-20'"), "user_id", "ts")
+    return ingest.above_mark(e, marks, "user_id", "ts", overlap).select("event_id", "user_id")
 
 
 @query(_mark_sql(""))
@@ -158,10 +159,10 @@ def ing_retention(spark, sf):
     return ingest.retained(cards(spark, sf), "created_at", "2001-08-01", 90).select("id")
 
 
-@query("SELECT id, coalesce(upper(c_mktsegment), category) AS category, coalesce(quality, CASE WHEN is_press = 1 THEN 0.1 ELSE 0.5 END)::double AS quality FROM cards LEFT JOIN customer ON source_id = c_custkey AND c_custkey % 2 = 0", CARDS)
+@query("SELECT id, coalesce(upper(c_mktsegment), category) AS category, coalesce(quality, CASE WHEN is_press = 1 THEN 0.1 ELSE 0.5 END)::double AS quality FROM cards LEFT JOIN customer ON source_id = c_custkey AND c_acctbal > 0", CARDS)
 def ing_enrich(spark, sf):
     c = cards(spark, sf)
-    updates = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("source_id"), F.upper("c_mktsegment").alias("category"))
+    updates = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("source_id"), F.upper("c_mktsegment").alias("category"))
     return ingest.enrich(c, updates, "source_id", ["category"]).select("id", "category", F.coalesce("quality", F.when(F.col("is_press") == 1, 0.1).otherwise(0.5)).alias("quality"))
 
 
@@ -174,17 +175,13 @@ def rel_hourly(spark, sf):
     return per.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-def _shared(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewire-streams"
-
-
 @query(HOUR_SQL)
 def stream_hourly(spark, sf):
-    out = streams.drained(streams.hourly(streams.event_stream(spark, sf)), "complete", _shared(spark))
+    out = streams.drained(streams.hourly(streams.event_stream(spark, sf)), "complete", streams.shared_folder(spark))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
     seen = streams.first_seen(streams.event_stream(spark, sf).select("user_id", "event_type", "ts"), ["user_id", "event_type"])
-    return streams.drained(seen, "append", _shared(spark)).select("user_id", "event_type")
+    return streams.drained(seen, "append", streams.shared_folder(spark)).select("user_id", "event_type")

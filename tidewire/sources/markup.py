@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import strip_tags, unescape
 from tidewire.functions.times import parse_date
+from tidewire.functions.urls import slug_title
 
 
 def first_tag(markup: Column, tag: str) -> Column:
@@ -64,13 +65,15 @@ def sniff(html: Column) -> dict[str, Column]:
     }
 
 
-# Where sites keep their feeds when no link names one.
-FEED_PATHS = ("/feed", "/feed/", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml")
+# Where sites keep their feeds when no link names one, in the order in which they are tried.
+FEED_PATHS = ("/feed", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/feeds/posts/default")
+#: Types of links that name feeds.
+FEED_TYPES = r"(?:application/(?:rss\+|atom\+)?xml|text/xml)"
 
 
 def discovered_feeds(pages: DataFrame) -> DataFrame:
     """(page_id, position, feed_url) from alternate links of pages (page_id, url, html), resolved; the usual places where there are none."""
-    tag = F.regexp_extract_all("html", F.lit("(?i)<link[^>]*type=[\"']application/(?:rss|atom)\\+xml[\"'][^>]*>"), F.lit(0))
+    tag = F.regexp_extract_all("html", F.lit(f"(?i)<link[^>]*type=[\"']{FEED_TYPES}[\"'][^>]*>"), F.lit(0))
     hrefs = F.filter(F.transform(tag, lambda t: F.regexp_extract(t, "(?i)href=[\"']([^\"']+)[\"']", 1)), lambda h: h != "")
     root = F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)
     resolved = F.array_distinct(F.transform(hrefs, lambda h: F.when(F.rlike(h, F.lit("^[a-z]+://")), h).when(F.startswith(h, F.lit("/")), F.concat(root, h)).otherwise(F.concat(root, F.lit("/"), h))))
@@ -78,6 +81,22 @@ def discovered_feeds(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.when(F.size(resolved) > 0, resolved).otherwise(usual)).alias("position", "feed_url"))
 
 
+def selectors(html: Column, patterns: list[str], most: int = 5, longest: int = 100) -> Column:
+    """The first different tags that the patterns find, cut to ``longest``."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit("(?i)" + p), F.lit(0)) for p in patterns]))
+    return F.slice(F.array_distinct(F.transform(found, lambda t: F.left(t, F.lit(longest)))), 1, most)
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of a meta tag, null without one."""
+    return attribute(html, "meta", "content", f"(?:name|property)=[\"']{name}[\"']")
+
+
+def feed_reply(body: Column, content_type: Column) -> Column:
+    """Whether a reply is a feed: an XML type, or a feed's root tag."""
+    return F.coalesce(F.rlike(content_type, F.lit("(?i)xml|rss|atom")), F.lit(False)) | is_feed(body)
+
+
 def is_feed(body: Column) -> Column:
     return F.coalesce(F.rlike(body, F.lit("(?i)<rss|<feed|<rdf")), F.lit(False))
 
@@ -90,7 +109,7 @@ def _item_rows(feeds: DataFrame, tag: str, most: int) -> DataFrame:
 def rss_items(feeds: DataFrame, most: int = 20) -> DataFrame:
     """Items of RSS bodies (feed_id, body): the first ``most``, without those that lack a title or a link."""
     x = F.col("block")
-    image = F.coalesce(attribute(x, "media:content", "url"), attribute(x, "media:thumbnail", "url"), attribute(x, "enclosure", "url", "image"), attribute(x, "enclosure", "url"), attribute(unescape(x), "img", "src"))
+    image = media_url(x)
     summary = F.left(F.trim(strip_tags(unescape(F.coalesce(first_tag(x, "description"), first_tag(x, "content:encoded"), F.lit(""))))), F.lit(500))
     rows = _item_rows(feeds, "item", most).select("feed_id", "position", unescape(first_tag(x, "title")).alias("title"), F.coalesce(first_tag(x, "link"), first_tag(x, "guid")).alias("url"), summary.alias("summary"), image.alias("image_url"), parse_date(first_tag(x, "pubDate")).alias("published_at"))
     return rows.filter("title is not null and url is not null")
@@ -104,9 +123,35 @@ def atom_items(feeds: DataFrame, most: int = 20) -> DataFrame:
 
 
 def sitemap_urls(maps: DataFrame, most: int = 20) -> DataFrame:
-    """(map_id, position, url) of sitemap bodies (map_id, body)."""
+    """(map_id, position, url, title) of sitemap bodies (map_id, body); titles come from the URLs."""
     found = F.regexp_extract_all("body", F.lit(r"(?is)<url>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    return maps.select("map_id", F.posexplode(F.slice(found, 1, most)).alias("position", "url"))
+    rows = maps.select("map_id", F.posexplode(F.slice(found, 1, most)).alias("position", "raw"))
+    return rows.select("map_id", "position", unescape(F.col("raw")).alias("url")).withColumn("title", slug_title(F.col("url")))
+
+
+def xml_escaped(text: Column) -> Column:
+    """Text as it stands between tags and in attributes."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def repaired(xml: Column) -> Column:
+    """Ampersands that begin no character reference are escaped."""
+    return F.regexp_replace(xml, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+
+def media_url(block: Column) -> Column:
+    """A feed item's picture: media content, thumbnail, an image enclosure, any enclosure, a picture in the text."""
+    return F.coalesce(attribute(block, "media:content", "url"), attribute(block, "media:thumbnail", "url"), attribute(block, "enclosure", "url", "type=[\"']image"), attribute(block, "enclosure", "url"), attribute(unescape(block), "img", "src"))
+
+
+def reader_reply(replies: DataFrame) -> DataFrame:
+    """(id, url, title, summary, text) of a reader service's JSON replies (id, url, body); those without content go."""
+    data = F.from_json("body", "struct<data:struct<title:string,content:string>>")["data"]
+    rows = replies.select("id", "url", data.alias("data")).filter("coalesce(data.content, '') != ''")
+    title = F.coalesce(F.nullif(F.col("data.title"), F.lit("")), slug_title(F.col("url")))
+    return rows.select("id", "url", title.alias("title"), F.left("data.content", F.lit(500)).alias("summary"), F.left("data.content", F.lit(3000)).alias("text"))
 
 
 POST = "array<struct<link:string,date_gmt:string,title:struct<rendered:string>,excerpt:struct<rendered:string>,_embedded:struct<`wp:featuredmedia`:array<struct<source_url:string>>>>>"

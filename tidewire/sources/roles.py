@@ -17,12 +17,11 @@ def hundredths(value: Column) -> Column:
     return value.cast("double") / 100
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+def cards(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """Cards; with location_id, which takes a join with their sources, only if ``placed``."""
     key = F.col("o_orderkey")
-    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left").select(
+    rows = table(spark, sf_dir, "orders").select(
         key.alias("id"),
-        F.col("c_nationkey").alias("location_id"),
         F.col("o_custkey").alias("source_id"),
         F.col("o_orderstatus").alias("category"),
         hundredths((key * 37) % 201 - 100).alias("bias_signed"),
@@ -30,7 +29,15 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 11 == 0, 1).otherwise(0).alias("is_press"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("cluster_id"),
         F.col("o_orderdate").alias("created_at"),
+        "o_totalprice",
     )
+    return with_places(rows, spark, sf_dir).drop("o_totalprice") if placed else rows
+
+
+def with_places(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with the location_id of their source."""
+    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("location_id"))
+    return rows.join(places, "source_id", "left")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,45 @@
-"""Streams over files of events: hourly windows, first-seen events, high-water marks."""
+"""Streams over tables of files: hourly windows, first-seen events, breakers kept as state, appends and upkeep."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Step = Callable[[DataFrame, int], None]
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """New event files of a folder as a stream, with ``ts`` as an event time."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. It has to be set, except where both are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        import tempfile
+
+        folder = f"file://{tempfile.gettempdir()}/tidewire-shared"
+    return folder.rstrip("/")
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int = 32) -> DataFrame:
+    """A table of events as a stream, with ``ts`` as an event time, ``files`` new files a batch.
+
+    The table may be one file or a folder of files: the brackets make its name a pattern, which
+    a stream takes for both.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Events and their sum per type and hour; late ones are dropped after ``late``."""
+    """Events and their sum per type and hour.
+
+    In complete mode every hour is kept, and late events count; in append and update mode those
+    later than ``late`` are dropped.
+    """
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -25,38 +48,93 @@ def first_seen(events: DataFrame, keys: list[str], late: str | None = None) -> D
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
 
 
+def run_through(stream: DataFrame, mode: str, state: str, step: Step) -> None:
+    """Runs ``step`` (batch, number) over all input that is there; ``state`` is the stream's checkpoint, from which a later run goes on."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start()
+    query.awaitTermination()
+
+
+def every(stream: DataFrame, seconds: int, state: str, step: Step):
+    """The same for good: ``step`` over what has come, every so many seconds. Returns the query."""
+    return stream.writeStream.option("checkpointLocation", state).trigger(processingTime=f"{seconds} seconds").foreachBatch(step).start()
+
+
+def appended(path: str) -> Step:
+    """Appends each batch to the table at ``path``; one that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Runs a stream over all input that is there and returns what it wrote.
+    """Runs a stream over all input that is there and returns what it wrote; no rows if there was no input.
 
     ``folder`` is shared by driver and executors: it holds the stream's checkpoint and, per
-    batch, its output, so a batch that is run again replaces itself.
+    batch, its output, so a batch that is run again replaces itself. In complete mode each
+    batch is the whole result, and the last one is returned.
     """
     spark, run = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{run}/out/batch={number}")
+        appended(f"{run}/out")(batch, number)
+        batches.append(number)
+
+    run_through(stream, mode, f"{run}/state", write)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    path = f"{run}/out/batch={max(batches)}" if mode == "complete" else f"{run}/out"
+    return spark.read.schema(stream.schema).parquet(path)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/out")
 
+#: A breaker's state per key: events seen, failures since the last success, and the time of the last event.
+BREAKER = "source_key long, seen long, failures long, last_at timestamp"
 
-def breaker_states(attempts: DataFrame, opens_at: int = 3) -> DataFrame:
-    """(source_key, seen, failures, is_open) after each batch: failures in a row per key, kept as state.
 
-    Attempts are (source_key, event_id, success, ts); within a batch they are taken in order
-    of time.
+def breaker_changes(batch: DataFrame) -> DataFrame:
+    """(source_key, seen, failures, healed, last_at) of a batch of attempts (source_key, event_id, success, ts).
+
+    One row per key from two aggregates: the latest success, and the failures behind it. No key's
+    attempts are gathered or sorted, however many they are.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def follow(key: tuple, frames, state: GroupState):
-        failures, seen = state.get if state.exists else (0, 0)
-        batch = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ok in batch["success"]:
-            failures, seen = (0 if ok else failures + 1), seen + 1
-        state.update((failures, seen))
-        yield pd.DataFrame({"source_key": [key[0]], "seen": [seen], "failures": [failures], "is_open": [int(failures >= opens_at)]})
-
-    schema = "source_key long, seen long, failures long, is_open int"
-    return attempts.groupBy("source_key").applyInPandasWithState(follow, schema, "failures long, seen long", "update", GroupStateTimeout.NoTimeout)
+    place = F.struct("ts", "event_id")
+    marks = batch.groupBy("source_key").agg(F.max(F.when(F.col("success") == 1, place)).alias("good"), F.count("*").alias("seen"), F.max("ts").alias("last_at"))
+    behind = batch.join(marks.select("source_key", "good"), "source_key").filter(F.col("good").isNull() | (place > F.col("good")))
+    failures = behind.groupBy("source_key").agg(F.count("*").alias("failures"))
+    return marks.join(failures, "source_key", "left").select("source_key", "seen", F.coalesce("failures", F.lit(0)).alias("failures"), F.col("good").isNotNull().alias("healed"), "last_at")
+
+
+def merged_breakers(state: DataFrame, changes: DataFrame, keep: int | None = None) -> DataFrame:
+    """The state after a batch. With ``keep`` only that many keys stay, those heard of last; the others are closed again."""
+    old = state.select("source_key", F.col("seen").alias("old_seen"), F.col("failures").alias("old_failures"), F.col("last_at").alias("old_at"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    before = F.when(F.coalesce("healed", F.lit(False)), F.lit(0)).otherwise(zero("old_failures"))
+    rows = old.join(changes, "source_key", "full").select("source_key", (zero("old_seen") + zero("seen")).alias("seen"), (before + zero("failures")).alias("failures"), F.greatest("old_at", "last_at").alias("last_at"))
+    return rows if keep is None else rows.orderBy(F.desc("last_at"), "source_key").limit(keep)
+
+
+def breaker_state(failures: Column, last_at: Column, now: Column, opens_at: int, timeout_s: int) -> Column:
+    """closed; open from ``opens_at`` failures in a row on; half_open, one attempt allowed, when ``timeout_s`` have passed since the last."""
+    waited = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last_at.cast("timestamp"))
+    return F.when(failures < opens_at, "closed").when(waited >= timeout_s, "half_open").otherwise("open")
+
+
+def breakers(attempts: DataFrame, folder: str, keep: int | None = None) -> DataFrame:
+    """(source_key, seen, failures, last_at) after all batches of a stream of attempts (source_key, event_id, success, ts).
+
+    Batches are taken in the order in which the stream gives them, attempts within one in order
+    of time. Each batch is aggregated and merged into the state, a small row per key, which is
+    written anew under the batch's number.
+    """
+    spark, run = attempts.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        old = spark.read.schema(BREAKER).parquet(f"{run}/{done[-1]}") if done else spark.createDataFrame([], BREAKER)
+        merged_breakers(old, breaker_changes(batch), keep).write.mode("overwrite").parquet(f"{run}/{number}")
+        done.append(number)
+
+    run_through(attempts, "append", f"{run}/state", merge)
+    return spark.read.schema(BREAKER).parquet(f"{run}/{done[-1]}") if done else spark.createDataFrame([], BREAKER)
