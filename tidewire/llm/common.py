@@ -17,15 +17,17 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package where the driver has it, whatever folder either started in.
+    """A table of the folder. Python workers are told where the driver has this package, whatever folder they start in."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. It has to be set, except where both are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/tidewire-shared"
     return f"{root.rstrip('/')}/tidewire-{spark.sparkContext.applicationId}"
 
@@ -37,12 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
     consumers read is computed once.
     """
     spark = df.sparkSession
-    # Plans that nothing names any more are let go, and with them the shuffle files of earlier steps.
+    # Spark drops the shuffle files of plans that nothing refers to any more, in either collector.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once all that is made of them has been written itself."""
+    for df in steps:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACE_CLASS, cut, join_small, partitions, text_or_empty
+from tidewire.llm.common import SPACE_CLASS, cut, join_small, partitions, release, text_or_empty
 
 WIDTH = 5
 #: Shingles that this many documents hold, the fewest there can be, have the full weight.
@@ -375,6 +375,7 @@ def verified_links(signed: DataFrame, members: DataFrame, n_docs: int, shift: in
     pivots = large.select(F.col("pivot").alias("node"), "bucket", none.alias("i"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"), none.alias("side"))
     first = cut(gathered(whole.unionByName(in_blocks).unionByName(pivots)))
     if large.isEmpty():
+        release(wanted, vectors)
         return first
     # What has a link to the pivot of its bucket is in that one's component.
     hung = first.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select(F.col("x.a").alias("node"), F.col("x.b").alias("pivot")).distinct()
@@ -385,7 +386,9 @@ def verified_links(signed: DataFrame, members: DataFrame, n_docs: int, shift: in
     one = left_over.join(crowd.select("node", "bucket", "blocks"), ["node", "bucket"]).join(rest, "bucket")
     one = one.select("node", "bucket", slice_of.alias("i"), F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"), none.alias("side"))
     other = sliced.select("node", "bucket", F.explode(F.sequence(none, F.col("slices") - 1)).alias("i"), block.alias("j"), F.lit(1).alias("side"))
-    return first.unionByName(gathered(one.unionByName(other)))
+    links = cut(first.unionByName(gathered(one.unionByName(other))))
+    release(wanted, vectors, first, left_over)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -422,7 +425,9 @@ def classified(docs: DataFrame, least: float = 0.8, bands: int = 12, rows: int =
     frequencies = document_frequencies(packed, max(partitions(docs), n_words // 2_000_000), shift)
     signed = cut(signatures(packed, frequencies, firsts.select("node", "first.part", "first.place"), n_docs, shift, bands, rows))
     members = cut(buckets(signed))
-    roots = components(verified_links(signed, members, n_docs, shift, least))
+    links = verified_links(signed, members, n_docs, shift, least)
+    release(signed, members)
+    roots = components(links)
     rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("one"), F.sum("n").alias("class_size"))
     of_node = rooted.select("node", "root").join(classes, "root").select("node", "one", "class_size")
