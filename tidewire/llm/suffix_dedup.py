@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, join_small, text_or_empty
-from tidewire.llm.minhash import mix
+from tidewire.llm.common import cut, join_small, release, text_or_empty
+from tidewire.llm.minhash import mix, restored, squeezed
 from tidewire.llm.suffix_sort import suffix_arrays
 
 CORE = 24
@@ -96,6 +96,15 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, width: int, core: int) -> tup
 RUN = np.dtype([("hash", "<u4"), ("text", "<u2"), ("first", "<u4"), ("run", "u1"), ("lead", "u1")])
 
 
+def runs_packed(runs: np.ndarray) -> bytes:
+    """Runs with each field's bytes together, compressed."""
+    return squeezed(np.ascontiguousarray(runs).view([("all", f"V{RUN.itemsize}")])["all"])
+
+
+def runs_unpacked(body: bytes) -> np.ndarray:
+    return restored(body, f"V{RUN.itemsize}").view(RUN)
+
+
 def byte_parts(batches, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``most`` bytes of text (column ``text``, binary) each, their bytes and bounds."""
     for batch in batches:
@@ -140,18 +149,19 @@ def shared_runs(texts: DataFrame, buckets: int, width: int, core: int) -> DataFr
             moved = ~fresh
             moved[1:] &= out["text"][1:] != out["text"][:-1]
             local = (np.bincount(group, moved) > 0)[group] if len(out) else moved
-            known = bucket[local].astype("<i4").tobytes() + out[local].tobytes()
+            known = squeezed(bucket[local].astype("<i4")), runs_packed(out[local])
+            known = len(known[0]).to_bytes(8, "little") + known[0] + known[1]
             out, bucket = out[~local | fresh], bucket[~local | fresh]
             own, start = np.unique(bucket, return_index=True)
             ends = np.append(start[1:], len(out))
             own_key = -1 - int.from_bytes(name[:7], "little")
-            rows = [(own_key, name, b"".join(nodes), "nodes"), (own_key, name, known, "known"), *((k, name, out[a:b].tobytes(), "runs") for k, a, b in zip(own.tolist(), start, ends, strict=True))]
+            rows = [(own_key, name, b"".join(nodes), "nodes"), (own_key, name, known, "known"), *((k, name, runs_packed(out[a:b]), "runs") for k, a, b in zip(own.tolist(), start, ends, strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def keep_shared(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return frame
-        bodies = [np.frombuffer(b, RUN) for b in frame["body"]]
+        bodies = [runs_unpacked(b) for b in frame["body"]]
         runs = np.concatenate(bodies)
         part = np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
         source = part * 65536 + runs["text"]
@@ -164,7 +174,7 @@ def shared_runs(texts: DataFrame, buckets: int, width: int, core: int) -> DataFr
         keep[order[several]] = True
         ends = np.cumsum([len(b) for b in bodies])
         found = [b[keep[e - len(b) : e]] for b, e in zip(bodies, ends, strict=True)]
-        return pd.DataFrame([(key[0], p, f.tobytes(), "runs") for p, f in zip(frame["part"], found, strict=True) if len(f)], columns=schema.names)
+        return pd.DataFrame([(key[0], p, runs_packed(f), "runs") for p, f in zip(frame["part"], found, strict=True) if len(f)], columns=schema.names)
 
     sent = texts.mapInArrow(find, "bucket long, part binary, body binary, kind string")
     return cut(sent.groupBy("bucket").applyInPandas(keep_shared, "bucket long, part binary, body binary, kind string"))
@@ -176,11 +186,11 @@ def runs_by_text(shared: DataFrame) -> DataFrame:
     def regroup(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         names = frame.loc[frame["kind"] == "nodes", "body"].iloc[0]
         known = frame.loc[frame["kind"] == "known", "body"].iloc[0]
-        n = len(known) // (4 + RUN.itemsize)
+        split = 8 + int.from_bytes(known[:8], "little")
         pieces = frame[frame["kind"] == "runs"]
-        bodies = [np.frombuffer(b, RUN) for b in pieces["body"]]
-        runs = np.concatenate([np.frombuffer(known, RUN, offset=4 * n), *bodies])
-        bucket = np.concatenate([np.frombuffer(known, "<i4", n), np.repeat(pieces["bucket"].to_numpy("int64"), [len(b) for b in bodies])])
+        bodies = [runs_unpacked(b) for b in pieces["body"]]
+        runs = np.concatenate([runs_unpacked(known[split:]), *bodies])
+        bucket = np.concatenate([restored(known[8:split], "<i4"), np.repeat(pieces["bucket"].to_numpy("int64"), [len(b) for b in bodies])])
         if not len(runs):
             return pd.DataFrame(columns=["node", "buckets", "runs"])
         order = np.argsort(runs["text"], kind="stable")
@@ -369,14 +379,18 @@ def removed_spans(texts: DataFrame, n_bytes: int, width: int, core: int) -> Data
     ``texts`` is (node, place, text), one row per node.
     """
     buckets = max(16, int(n_bytes * 0.08 * RUN.itemsize) // 4_000_000)
-    runs = runs_by_text(shared_runs(texts.select("node", "text"), buckets, width, core))
-    occurrences = cut(contexts(texts, runs, width))
+    shared = shared_runs(texts.select("node", "text"), buckets, width, core)
+    occurrences = cut(contexts(texts, runs_by_text(shared), width))
+    release(shared)
     distinct = cut(occurrences.groupBy("anchor", "context", "lead").agg(F.min("place").alias("place")))
     solved = cut(first_places(distinct, width))
+    release(distinct)
     later = F.filter("spans", lambda s: s["place"] < F.col("place"))
     named = occurrences.select("anchor", F.xxhash64("context").alias("digest"), "lead", "node", "place", "position")
     found = named.join(solved, ["anchor", "digest", "lead"]).select("node", F.explode(F.transform(later, lambda s: F.struct((F.col("position") + s["begin"]).alias("begin"), (F.col("position") + s["end"] - 1 + width).alias("end")))).alias("span"))
-    return cut(found.groupBy("node").agg(F.array_sort(F.collect_set("span")).alias("spans")))
+    spans = cut(found.groupBy("node").agg(F.array_sort(F.collect_set("span")).alias("spans")))
+    release(occurrences, solved)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, core: int = CORE) -> DataFrame:
