@@ -10,7 +10,7 @@ from crossengine import compare, connect
 from tidewire.llm.common import shared_dir
 from tidewire.llm.oracles import ORACLES
 from tidewire.llm.queries import QUERIES
-from tidewire.llm.warc import archive_round_trip, read_records, write_archive
+from tidewire.llm.warc import archive_round_trip, parse, read_records, write_archive
 
 PAGES = [(1, "http://a/x y\n", "<p>one</p>"), (2, None, None), (3, "http://b", "<p>one</p>"), (4, "http://c", ""), (5, "http://d", "ñ\r\n\r\nWARC/1.1 😀"), (None, "http://e", "<p>one</p>"), (6, "http://f", "x" * 300_000), (1, "http://g", "<p>one</p>")]
 
@@ -39,6 +39,20 @@ def test_payloads_and_selection(spark):
     assert got == {p[1]: p[2].encode() for p in PAGES if (p[0] or 0) > 3 and p[1] != "http://e" and p[2]}
 
 
+def test_records_are_told_apart(spark):
+    rows = [(1, "http://a", "<p>one</p>"), (1, "http://a", "<p>one</p>"), (2, "http://b b", "<p>one</p>")]
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    index = write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), folder).collect()
+    found = []
+    for r in index:
+        with open(f"{folder.removeprefix('file://')}/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            found.append(parse(f.read(r["length"]))["fields"])
+    assert len({x["WARC-Record-ID"] for x in found}) == 3
+    revisit = [x for x in found if x["WARC-Type"] == "revisit"]
+    assert [(x["WARC-Target-URI"], x["WARC-Refers-To-Target-URI"], x["X-Refers-To-Page-ID"]) for x in revisit] == [("http://b%20b", "http://a", "1")]
+
+
 def test_archive_of_nothing(spark):
     assert archive_round_trip(pages(spark).filter("false")).collect() == []
 

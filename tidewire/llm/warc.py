@@ -29,21 +29,26 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+def record_id(file: str, offset: int) -> str:
+    """No two records stand at one place, whatever their rows have in common."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file} {offset}')}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member of its own. A revisit has the HTTP header but not the payload."""
+def safe_url(url: str) -> str:
+    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+
+
+def record(name: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
+    """One record as a gzip member of its own. A revisit, which names the response's URL, has the HTTP header but not the payload."""
+    revisit = refers_url is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    safe = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, url)}",
+        f"WARC-Record-ID: {name}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {safe}",
+        f"WARC-Target-URI: {safe_url(url)}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -51,7 +56,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {safe_url(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -68,18 +73,18 @@ def parse(raw: bytes) -> dict:
 
 
 def choose(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit): which rows repeat the payload of a smaller page_id.
+    """(page_id, url, html, refers_to, refers_url): which rows repeat the payload of a smaller page_id; null for the others.
 
     Only digests are shuffled to find them. The repeated digests are joined back by broadcast
     if their table proves small.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("sha"))
-    order = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("page_id"))
-    repeated = cut(sized.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("best.page_id").alias("best_id")))
-    joined = join_small(sized, repeated.withColumn("again", F.lit(True)), "sha", "left", row_bytes=64)
-    revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("best_id")) & (F.octet_length("html") >= least)
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("best_id")).alias("refers_to"), revisit.alias("revisit"))
+    order = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))
+    repeated = cut(sized.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1").select("sha", "best"))
+    joined = join_small(sized, repeated, "sha", "left", row_bytes=200)
+    revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best.page_id")) & (F.octet_length("html") >= least)
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("best.page_id")).alias("refers_to"), F.when(revisit, F.col("best.url")).alias("refers_url"))
 
 
 def write_archive(pages: DataFrame, folder: str, least: int = 0, segment_mb: int = 64) -> DataFrame:
@@ -104,15 +109,15 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, segment_mb: int
             return pd.DataFrame(done, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
         for frame in frames:
-            for page_id, url, html, refers_to, revisit in zip(*(frame[c].astype("object").where(frame[c].notna(), None) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
+            for page_id, url, html, refers_to, refers_url in zip(*(frame[c].astype("object").where(frame[c].notna(), None) for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 page_id, refers_to = (None if x is None else int(x) for x in (page_id, refers_to))
                 payload = html.encode()
-                raw = record(page_id, url, payload, refers_to, bool(revisit))
+                raw = record(record_id(name, at), page_id, url, payload, refers_to, refers_url)
                 out.write(raw)
-                rows.append((name, at, len(raw), url, base32_sha1(payload), page_id, "revisit" if revisit else "response", refers_to))
+                rows.append((name, at, len(raw), url, base32_sha1(payload), page_id, "response" if refers_url is None else "revisit", refers_to))
                 at += len(raw)
                 if at >= segment_mb * 1_000_000:
                     yield finish()
