@@ -1,4 +1,8 @@
-"""Corpus preparation from documents to packed sequences, stage by stage."""
+"""Corpus preparation from documents to packed sequences, stage by stage.
+
+An empty table gives an empty one at every stage. Columns beside those of documents come
+through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +20,27 @@ from tidewire.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them null and empty texts; repeated rows share a verdict."""
     return filter_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines are cut out; documents of which nothing is left go."""
+    """Repeated runs of lines are cut out; documents of which nothing is left go. Null texts and repeated rows stay."""
     return drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    """Of each class of near duplicates the document with the smallest doc_id stays, one row of it. Null counts as empty."""
     return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by the names of their kinds."""
+    """Secrets are replaced by the names of their kinds. Null texts and repeated rows come through as they are."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of 2048 tokens."""
+    """What is left is packed into sequences of 2048 tokens; a null text is one piece, the end alone."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
 
 
