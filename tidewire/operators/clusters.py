@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import jaccard, short_id, signature, significant_words
 from tidewire.functions.times import ago
-from tidewire.streaming.streams import shared_folder
+from tidewire.operators.steps import written
 
 
 def by_signature(cards: DataFrame, least: int = 2) -> DataFrame:
@@ -47,12 +47,17 @@ def similar_sets(sets: DataFrame, least: float = 0.5) -> DataFrame:
     exploded = sets.select("set_id", F.explode("words").alias("word"))
     rarity = exploded.groupBy("word").agg(F.count("*").alias("df"))
     ranked = exploded.join(rarity, "word").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
-    size = F.size("ranked")
-    rarest = ranked.select("set_id", F.transform("ranked", lambda x: x["word"]).alias("words"), F.explode(F.transform(F.slice("ranked", F.lit(1), size - F.ceil(size * least).cast("int") + 1), lambda x: x["word"])).alias("word"))
-    left, right = (rarest.select(F.col("set_id").alias(s), F.col("words").alias(f"{s}_words"), "word") for s in ("a", "b"))
-    sizes = F.size("a_words"), F.size("b_words")
-    candidates = left.join(right, "word").filter((F.col("a") < F.col("b")) & (F.least(*sizes) >= least * F.greatest(*sizes)))
-    return candidates.select("a", "b", F.round(jaccard(F.col("a_words"), F.col("b_words")), 4).alias("score")).filter(F.col("score") >= least).distinct()
+    words = F.transform("ranked", lambda x: x["word"])
+    sized = written(ranked.select("set_id", words.alias("words"), F.size("ranked").alias("size")))
+    rarest = F.slice("words", F.lit(1), F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1)
+    met = sized.select("set_id", "size", F.explode(rarest).alias("word"))
+    # Ids and sizes meet; the words are fetched for the pairs that are left.
+    left, right = (met.select(F.col("set_id").alias(s), F.col("size").alias(f"{s}_size"), "word") for s in ("a", "b"))
+    sizes = F.col("a_size"), F.col("b_size")
+    pairs = left.join(right, "word").filter((F.col("a") < F.col("b")) & (F.least(*sizes) >= least * F.greatest(*sizes))).select("a", "b").distinct()
+    of = lambda s: sized.select(F.col("set_id").alias(s), F.col("words").alias(f"{s}_words"))
+    scored = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.round(jaccard(F.col("a_words"), F.col("b_words")), 4).alias("score"))
+    return scored.filter(F.col("score") >= least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -60,16 +65,14 @@ def components(links: DataFrame) -> DataFrame:
 
     A round reads what the one before it wrote to the checkpoint folder.
     """
-    if links.sparkSession.sparkContext.getCheckpointDir() is None:
-        links.sparkSession.sparkContext.setCheckpointDir(f"{shared_folder(links.sparkSession)}/tidewire-checkpoints")
-    both = links.select("a", "b").union(links.select("b", "a")).checkpoint()
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")).checkpoint()
+    both = written(links.select("a", "b").union(links.select("b", "a")))
+    labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
     while True:
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(around, labels["id"] == around["a"]).select("id", F.least("root", "m").alias("root"))
         # Jump to the root of the root, which halves the way that is left.
         up = lower.select(F.col("id").alias("root"), F.col("root").alias("over"))
-        new = lower.join(up, "root").select("id", F.least("root", "over").alias("root")).checkpoint()
+        new = written(lower.join(up, "root").select("id", F.least("root", "over").alias("root")))
         state = lambda frame: frame.agg(F.sum(F.shiftright(F.xxhash64("id", "root"), 24)), F.bit_xor(F.xxhash64("root", "id"))).first()
         done, labels = state(new) == state(labels), new
         if done:

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import normalise
+from tidewire.operators.steps import written
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents of (id, text) that hold every term.
+def bm25(docs: DataFrame, terms: list[str], most: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the documents of (id, text) that hold every term, the best ``most`` of them.
 
-    One pass counts the query's terms in each document; corpus statistics are one row.
+    One pass over the texts writes each document's length and how often it has the query's
+    terms; the corpus statistics, one row, and the scores are made of that.
     """
     words = docs.select("id", F.split(normalise(F.coalesce("text", F.lit(""))), " ", -1).alias("words"))
     tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counted = words.select("id", F.size("words").alias("length"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = written(words.select("id", F.size("words").alias("length"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
 
@@ -31,7 +33,8 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     every = F.lit(True)
     for i in range(len(terms)):
         every = every & (F.col(f"tf{i}") > 0)
-    return joined.filter(every).select("id", F.round(sum((part(i) for i in range(1, len(terms))), part(0)), 4).alias("score"))
+    scored = joined.filter(every).select("id", F.round(sum((part(i) for i in range(1, len(terms))), part(0)), 4).alias("score"))
+    return scored if most is None else scored.orderBy(F.desc("score"), "id").limit(most)
 
 
 def dot(a: Column, b: Column) -> Column:

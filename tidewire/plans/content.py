@@ -212,6 +212,11 @@ def txt_search_bm25(spark, sf):
     return search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["the", "with"])
 
 
+@query(f"SELECT id, score FROM ({bm25_sql(['die', 'und'])}) ORDER BY score DESC, id LIMIT 20", TEXTS)
+def txt_search_top(spark, sf):
+    return search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["die", "und"], most=20)
+
+
 # ---- facts
 
 ARTICLES = "articles AS (SELECT source AS cluster_id, doc_id AS id, ((doc_id * 37) % 201 - 100)::double / 100 AS bias, text FROM documents)"
