@@ -308,10 +308,10 @@ def vec_cosine_topk(spark, sf):
     return rel.first_per(near, 10, ["query_id"], F.desc(F.round("score", 9)), F.col("id")).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-@query(f"SELECT query_id, id, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE score >= 0.5")
+@query(f"SELECT query_id, id, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE score >= 0.3")
 def vec_links(spark, sf):
     v = _vectors(spark, sf)
-    return search.vector_scores(v.filter("id % 50 = 0"), v, least=0.5).select("query_id", "id", F.round("score", 4).alias("score"))
+    return search.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 PROTO = "protos AS (SELECT label, [" + ", ".join(f"avg(embedding[{i}]::double)" for i in range(1, 65)) + "] AS embedding FROM embeddings GROUP BY label)"

@@ -211,12 +211,12 @@ def txt_prompt(spark, sf):
 
 
 @query(f"""WITH near AS (SELECT v.vec_id AS id, max({COS}) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)
- SELECT id, 'words' AS kind, score FROM ({bm25_sql(["the", "with"])}) UNION ALL SELECT id, 'vector', round(score, 4) FROM near WHERE score >= 0.5""", TEXTS)
+ SELECT id, 'words' AS kind, score FROM ({bm25_sql(["the", "with"])}) UNION ALL SELECT id, 'vector', round(score, 4) FROM near WHERE score >= 0.3""", TEXTS)
 def txt_hybrid(spark, sf):
     """Keyword results and vector matches side by side, each with its own score; they are not fused."""
     words = search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["the", "with"]).select("id", F.lit("words").alias("kind"), "score")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.5).groupBy("id").agg(F.round(F.max("score"), 4).alias("score")).select("id", F.lit("vector").alias("kind"), "score")
+    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).groupBy("id").agg(F.round(F.max("score"), 4).alias("score")).select("id", F.lit("vector").alias("kind"), "score")
     return words.unionByName(near)
 
 

@@ -180,13 +180,13 @@ def rel_publishable(spark, sf):
 
 @query("SELECT * FROM cards WHERE id = 7", CARDS)
 def rel_point_lookup(spark, sf):
-    return cards(spark, sf).filter("id = 7")
+    return cards(spark, sf, placed=True).filter("id = 7")
 
 
 @query("SELECT cards.* FROM cards WHERE id IN (SELECT event_id FROM events WHERE event_type = 'click')", CARDS)
 def rel_multi_get(spark, sf):
     wanted = table(spark, sf, "events").filter("event_type = 'click'").select(F.col("event_id").alias("id"))
-    return cards(spark, sf).join(wanted, "id", "left_semi").select(cards(spark, sf).columns)
+    return cards(spark, sf, placed=True).join(wanted, "id", "left_semi")
 
 
 @query("SELECT s_suppkey, s_name, n_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 100")
@@ -319,9 +319,11 @@ def set_union_counts(spark, sf):
     return rel.table_counts({t: table(spark, sf, t) for t in ("orders", "events", "documents")})
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set_difference(spark, sf):
-    return rel.difference(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.difference(table(spark, sf, "customer").select("c_custkey"), urgent, "c_custkey")
 
 
 @query("SELECT 'supplier' AS kind, s_suppkey AS id, s_name AS name, s_nationkey AS location_id FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name, c_nationkey FROM customer")
