@@ -173,9 +173,12 @@ def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
         before = lambda ends, k: F.get(ends, k - 1)
         return let(lasts, lambda ends: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(add(before(ends, k), x), x)))))
 
-    size = F.ceil(F.sqrt(F.size(values))).cast("int")
-    cut_up = lambda n: F.transform(F.sequence(F.lit(0), F.size(values) - 1, n), lambda i: grown(F.slice(values, i + 1, n)))
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(let(size, cut_up), of_blocks))
+    def running(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut_up = lambda n: F.transform(F.sequence(F.lit(0), F.size(v) - 1, n), lambda i: grown(F.slice(v, i + 1, n)))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(let(size, cut_up), of_blocks))
+
+    return let(values, running)
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
