@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from tidewire.operators import clusters, relational, search
 from tidewire.sources import connectors
 
@@ -43,12 +44,11 @@ def test_greedy_equals_plain_python(spark):
 
 def test_registered_greedy_equals_plain_python(spark, sf):
     from tidewire.functions.text import normalise
-    from tidewire.plans import QUERIES
     from tidewire.sources.roles import texts
 
     rows = [(r["id"] // 500, r["id"], r["title"] or "") for r in texts(spark, sf).select("id", normalise(F.col("title")).alias("title")).collect()]
     want = greedy(rows)
-    got = {r["id"]: r["cluster_id"] for r in QUERIES["clu_greedy"](spark, sf).collect()}
+    got = {r["id"]: r["cluster_id"] for r in entry_point.queries()["clu_greedy"](spark, sf).collect()}
     assert set(got) == set(want)
     assert len(set(got.values())) == len(set(want.values()))
     assert len({(got[i], want[i]) for i in got}) == len(set(want.values()))

@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidewire.plans import QUERIES
+import __spark_entry__ as entry_point
 from tidewire.streaming import streams
 
+QUERIES = entry_point.queries()
+
 
 def split_table(spark, sf, folder, parts=3):
     """The events as a folder of several files."""
