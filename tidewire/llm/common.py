@@ -75,3 +75,20 @@ def join_small(left: DataFrame, small: DataFrame, on, how: str = "inner", row_by
     """``left`` joined with a materialised ``small``: broadcast if its rows prove to fit ``most_mb``, else shuffled."""
     fits = small.count() * row_bytes <= most_mb * 1_000_000
     return left.join(F.broadcast(small) if fits else small, on, how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, row_bytes: int = 200, parts: int = 2000) -> DataFrame:
+    """``left`` left-joined with a materialised ``right`` of one row per ``on``, with ``n``, the rows of ``left`` it has.
+
+    A small ``right`` is broadcast. Of a larger one only keys with more than one in ``parts``
+    of all rows are, at most ``parts`` of them; the others are shuffled.
+    """
+    if right.count() * row_bytes <= 48_000_000:
+        return left.join(F.broadcast(right), on, "left")
+    most = (right.agg(F.sum("n")).first()[0] or 0) // parts + 1
+    hot = right.filter(F.col("n") > most)
+    names = [c for c in right.columns if c != on]
+    marked = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), on, "left")
+    found = marked.filter("is_hot").drop("is_hot")
+    rest = marked.filter("is_hot is null").drop("is_hot", *names)
+    return found.unionByName(rest.join(right.filter(F.col("n") <= most), on, "left"))

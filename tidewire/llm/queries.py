@@ -14,6 +14,7 @@ from tidewire.llm.minhash import near_duplicates
 from tidewire.llm.packing import pack
 from tidewire.llm.quality import quality_rules
 from tidewire.llm.secrets import secret_scan
+from tidewire.llm.simhash import simhash_classes
 from tidewire.llm.suffix_dedup import substring_dedup
 from tidewire.llm.token_counts import section_tokens
 from tidewire.llm.warc import archive_round_trip
@@ -61,6 +62,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -72,4 +77,5 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_suffix": op9_suffix,
     "op10_lines": op10_lines,
+    "op11_simhash": op11_simhash,
 }
