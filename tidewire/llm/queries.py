@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.line_dedup import line_dedup
 from tidewire.llm.minhash import near_duplicates
 from tidewire.llm.packing import pack
+from tidewire.llm.periodic import periodic_runs
 from tidewire.llm.quality import quality_rules
 from tidewire.llm.secrets import secret_scan
 from tidewire.llm.simhash import simhash_classes
@@ -66,6 +69,21 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def folded(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents (by a hash of doc_id; none without one) repeat a piece of theirs up to the end."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), words_of=folded).drop("collapsed")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -78,4 +96,5 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_lines": op10_lines,
     "op11_simhash": op11_simhash,
+    "op12_periodic": op12_periodic,
 }
