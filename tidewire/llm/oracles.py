@@ -1,7 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express.
 
-Packing, the two tokenizer queries and weighted MinHash have none; tests hold them against
-brute force.
+Packing, the two tokenizer queries, weighted MinHash, SimHash and periodic runs have none;
+tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -75,6 +75,22 @@ LINES = f"""WITH {DOCS}, l AS (SELECT doc_id, lines, list_transform(lines, lambd
  kept AS (SELECT l.doc_id, len(lines)::bigint AS n_lines, len(coalesce(spots, []))::bigint AS n_removed, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(spots, []), i)), lambda i: lines[i]), chr(10)) AS rest FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id)
  SELECT doc_id, n_lines, n_removed, sha256(rest) AS text_sha256 FROM kept"""
 
+# CRC-32 by its table of 256 entries; words one change apart have an equal variant without one character.
+SPELLING = rf"""WITH RECURSIVE {DOCS}, crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+ runs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM docs),
+ each AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs WHERE length(r) >= 6 GROUP BY ALL),
+ hashed AS (SELECT w, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM (SELECT w, n, hex(encode(concat(doc_id, ':', w))) AS x FROM each), crc),
+ words AS (SELECT word, sum(n)::bigint AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+ cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ near AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.v = b.word),
+ best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+ judged AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best ON words.word = best.word),
+ led AS (SELECT word, word AS root, 0 AS steps FROM judged UNION ALL SELECT led.word, form, steps + 1 FROM led JOIN judged ON led.root = judged.word WHERE form IS NOT NULL),
+ ends AS (SELECT word, arg_max(root, steps) AS root FROM led GROUP BY word)
+ SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN ends ON judged.word = ends.word"""
+
 ORACLES: dict[str, str] = {
     "op2_quality": _quality(),
     "op4_secrets": _secrets(),
@@ -82,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op7_exact": EXACT,
     "op9_suffix": SUFFIX,
     "op10_lines": LINES,
+    "op13_spelling": SPELLING,
 }

@@ -18,6 +18,7 @@ from tidewire.llm.periodic import periodic_runs
 from tidewire.llm.quality import quality_rules
 from tidewire.llm.secrets import secret_scan
 from tidewire.llm.simhash import simhash_classes
+from tidewire.llm.spelling import spelling_variants
 from tidewire.llm.suffix_dedup import substring_dedup
 from tidewire.llm.token_counts import section_tokens
 from tidewire.llm.warc import archive_round_trip
@@ -84,6 +85,17 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), words_of=folded).drop("collapsed")
 
 
+def misspelt(doc_id: int | None, word: str) -> str:
+    """One in 199 words of a document loses a character, by a hash of both; a null doc_id counts as no digits."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 199 else word[:at] + word[at + 1 :]
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), altered=misspelt)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -97,4 +109,5 @@ QUERIES = {
     "op10_lines": op10_lines,
     "op11_simhash": op11_simhash,
     "op12_periodic": op12_periodic,
+    "op13_spelling": op13_spelling,
 }
