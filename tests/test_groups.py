@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from tidewire.operators import clusters, relational, search
+from tidewire.operators import clusters, relational
 from tidewire.sources import connectors
 
 
@@ -54,20 +54,6 @@ def test_registered_greedy_equals_plain_python(spark, sf):
     assert len({(got[i], want[i]) for i in got}) == len(set(want.values()))
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
-def test_vectors_in_rounds(spark, most):
-    import random
-
-    r = random.Random(2)
-    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(60)]
-    v = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
-    want = {(a, b) for a, x in rows if a % 5 == 0 for b, y in rows if a != b and cos(x, y) >= 0.5}
-    got = search.vector_scores(v.filter("id % 5 = 0"), v, least=0.5, most=most).collect()
-    assert {(x["query_id"], x["id"]) for x in got} == want and len(got) == len(want)
-    assert search.vector_scores(v.filter("false"), v, k=3).collect() == []
-
-
 def test_followed_sources(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "source_id long")
     assert rows.filter(relational.card_filter("2024-01-01", sources=[1, 3])).count() == 2

@@ -1,11 +1,7 @@
-"""Ranked text search and vector search."""
+"""Ranked text search in one pass, cosines and nearest prototypes."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,57 +41,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
-#: Queries that go to the tasks at a time, with their vectors: a few MB.
-ROUND = 20_000
-
-
-def vector_scores(queries: DataFrame, vectors: DataFrame, least: float | None = None, k: int | None = None, most: int = ROUND) -> DataFrame:
-    """(query_id, id, score): cosine of every query with every vector, both (id, vector).
-
-    Queries are a stated set. They go to the tasks ``most`` at a time, and each round reads the
-    vectors straight from their scan: an Arrow batch meets the round's queries in products of
-    matrices, and only a batch's best ``k`` or scores of ``least`` and more leave it. No vector
-    is shuffled.
-    """
-    rounds = max(1, -(-queries.count() // most))
-    of_round = F.pmod(F.xxhash64("id"), F.lit(rounds))
-    found = [_against(queries.filter(of_round == r), vectors, least, k) for r in range(rounds)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
-
-
-def _against(queries: DataFrame, vectors: DataFrame, least: float | None, k: int | None) -> DataFrame:
-    asked = queries.select("id", "vector").filter("id is not null and vector is not null").toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((asked.column("id").to_numpy(), _matrix(asked.column("vector"))))
-
-    def score(batches):
-        all_ids, all_q = shared.value
-        for batch in batches:
-            ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for lo in range(0, len(all_ids) if len(ids) else 0, 1000):
-                q_ids, q = all_ids[lo : lo + 1000], all_q[lo : lo + 1000]
-                s = q @ v.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9)
-                if least is not None:
-                    i, j = np.nonzero((s >= least) & (q_ids[:, None] != ids[None, :]))
-                else:
-                    s[q_ids[:, None] == ids[None, :]] = -np.inf
-                    n = min(k, s.shape[1])
-                    order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                    i, j = np.repeat(np.arange(len(q_ids)), n), order.ravel()
-                    there = np.isfinite(s[i, j])
-                    i, j = i[there], j[there]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(s[i, j])], ["query_id", "id", "score"])
-
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").filter("id is not null and vector is not null")
-    return rows.mapInArrow(score, "query_id long, id long, score double")
-
-
 def nearest_label(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(id, label, score): the prototype (label, vector) with the highest cosine. Prototypes are one row of at most a few hundred."""
     together = prototypes.agg(F.collect_list(F.struct("label", F.col("vector").alias("p"))).alias("all"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewire.functions import labels, text, times, urls
-from tidewire.operators import clusters, facts, lexicon, scoring, search
+from tidewire.operators import clusters, facts, lexicon, scoring, search, textindex, vectors
 from tidewire.operators import relational as rel
-from tidewire.plans import CARDS, TEXTS, query
+from tidewire.plans import CARDS, ORACLES, TEXTS, query
 from tidewire.sources import markup
 from tidewire.sources.roles import cards, table, texts
+from tidewire.streaming.streams import shared_folder
 
 # Word lists of the queries, from words that are frequent in the tables' invented prose.
 TOPICS = {"east": ["the", "and", "of"], "west": ["die", "und", "der"], "south": ["la", "les", "des"]}
@@ -217,6 +220,21 @@ def txt_search_top(spark, sf):
     return search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["die", "und"], most=20)
 
 
+@query(f"""WITH {TEXTS}, w AS (SELECT id, list_filter(string_split({BODY}, ' '), lambda x: x <> '') AS ws FROM texts), lens AS (SELECT id, len(ws) AS len FROM w), stats AS (SELECT count(*) AS n, avg(len) AS mean FROM lens),
+ tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ws) AS term FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ asked AS (SELECT id AS query_id, tf.term, df FROM tf JOIN df ON tf.term = df.term WHERE id % 50 = 0 AND df >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, tf.term) <= 2),
+ hits AS (SELECT query_id, tf.id, count(*) AS held, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * len / mean))) AS score FROM asked JOIN tf ON asked.term = tf.term JOIN lens ON tf.id = lens.id, stats GROUP BY 1, 2)
+ SELECT query_id, id, round(score, 4) AS score FROM hits WHERE held = (SELECT count(*) FROM asked a WHERE a.query_id = hits.query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, id) <= 10""")
+def txt_search_index(spark, sf):
+    """Searches of an index: every 50th text asks for its two rarest words; half of the texts were added after the index had been written."""
+    docs = texts(spark, sf).select("id", F.col("body").alias("text"))
+    index = textindex.TextIndex(spark, f"{shared_folder(spark)}/words-{uuid.uuid4().hex}")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for part in (half, ~half):
+        index.append(docs.filter(part))
+    return index.search(index.rarest_terms(docs.filter("id % 50 = 0"), 2), 10)
+
+
 # ---- facts
 
 ARTICLES = "articles AS (SELECT source AS cluster_id, doc_id AS id, ((doc_id * 37) % 201 - 100)::double / 100 AS bias, text FROM documents)"
@@ -304,14 +322,31 @@ COS = "(list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(l
 @query(f"SELECT query_id, id, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, v.vec_id) AS rn FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE rn <= 10")
 def vec_cosine_topk(spark, sf):
     v = _vectors(spark, sf)
-    near = search.vector_scores(v.filter("id % 50 = 0"), v, k=10)
-    return rel.first_per(near, 10, ["query_id"], F.desc(F.round("score", 9)), F.col("id")).select("query_id", "id", F.round("score", 4).alias("score"))
+    return vectors.vector_scores(v.filter("id % 50 = 0"), v, k=10).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 @query(f"SELECT query_id, id, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE score >= 0.3")
 def vec_links(spark, sf):
     v = _vectors(spark, sf)
-    return search.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).select("query_id", "id", F.round("score", 4).alias("score"))
+    return vectors.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+@query()
+def vec_index_topk(spark, sf):
+    """The same from an index of cells, with as many probes as a sample asks for; tests measure how many of the ten it finds."""
+    v = _vectors(spark, sf)
+    index = vectors.CellIndex.build(v, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+    return index.search(v.filter("id % 50 = 0"), 10).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+@query(ORACLES["vec_cosine_topk"])
+def vec_index_exact(spark, sf):
+    """The index with all cells probed, half of its vectors appended after it was built: exact."""
+    v = _vectors(spark, sf)
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    index = vectors.CellIndex.build(v.filter(half), f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+    index.append(v.filter(~half))
+    return index.search(v.filter("id % 50 = 0"), 10, probes=len(index.centres)).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 PROTO = "protos AS (SELECT label, [" + ", ".join(f"avg(embedding[{i}]::double)" for i in range(1, 65)) + "] AS embedding FROM embeddings GROUP BY label)"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import labels, text, times, urls
-from tidewire.operators import facts, health, ingest, scoring, search
+from tidewire.operators import facts, health, ingest, scoring, search, vectors
 from tidewire.operators import relational as rel
-from tidewire.plans import ATTEMPTS, CARDS, LOCATIONS, TEXTS, query
-from tidewire.plans.content import ARTICLES, COS, FACTS, FAMILIES, REJECT_SQL, SENTENCES, _articles, bm25_sql
+from tidewire.plans import ATTEMPTS, CARDS, LOCATIONS, ORACLES, TEXTS, query
+from tidewire.plans.content import ARTICLES, COS, FACTS, FAMILIES, REJECT_SQL, SENTENCES, _articles, bm25_sql, txt_search_index, vec_index_exact
 from tidewire.plans.logs import ISLANDS, RUN_SQL
 from tidewire.sources import markup
 from tidewire.sources.roles import attempts, cards, locations, table, texts
@@ -216,10 +216,17 @@ def txt_hybrid(spark, sf):
     """Keyword results and vector matches side by side, each with its own score; they are not fused."""
     words = search.bm25(texts(spark, sf).select("id", F.col("body").alias("text")), ["the", "with"]).select("id", F.lit("words").alias("kind"), "score")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).groupBy("id").agg(F.round(F.max("score"), 4).alias("score")).select("id", F.lit("vector").alias("kind"), "score")
+    near = vectors.vector_scores(v.filter("id % 50 = 0"), v, least=0.3).groupBy("id").agg(F.round(F.max("score"), 4).alias("score")).select("id", F.lit("vector").alias("kind"), "score")
     return words.unionByName(near)
 
 
+@query(f"SELECT query_id, id, 'words' AS kind, score FROM ({ORACLES['txt_search_index']}) UNION ALL SELECT query_id, id, 'vector', score FROM ({ORACLES['vec_cosine_topk']})")
+def txt_hybrid_index(spark, sf):
+    """The same for a table of queries, both kinds from their index."""
+    kind = lambda df, name: df.select("query_id", "id", F.lit(name).alias("kind"), "score")
+    return kind(txt_search_index(spark, sf), "words").unionByName(kind(vec_index_exact(spark, sf), "vector"))
+
+
 @query("SELECT cluster_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'disputed') AS disputed, max(frequency) AS most FROM (SELECT *, CASE WHEN frequency >= 3 THEN 'verified' ELSE 'disputed' END AS status FROM facts) GROUP BY 1", ARTICLES, SENTENCES, FACTS)
 def facts_synthesis(spark, sf):
     """What the synthesis of each cluster would rest on: all its sentences, not only those that are shown."""

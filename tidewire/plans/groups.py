@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import labels, text
-from tidewire.operators import clusters, facts, health, ingest, search
+from tidewire.operators import clusters, facts, health, ingest, vectors
 from tidewire.operators import relational as rel
 from tidewire.plans import ATTEMPTS, CARDS, TEXTS, query
 from tidewire.plans.content import ARTICLES, COS, FACTS, SENTENCES, SIG_WORDS, TITLE, _articles, _vectors
@@ -42,13 +42,25 @@ def clu_given_ids(spark, sf):
     return clusters.written_back(c, clusters.by_signature(c.join(asked, "id", "left_semi")), again=True).select("id", "cluster_id")
 
 
-@query(f"SELECT vec_id AS id, coalesce(leader, vec_id) AS leader FROM embeddings LEFT JOIN (SELECT id, arg_max(leader, (score, -leader)) AS leader FROM (SELECT v.vec_id AS id, q.vec_id AS leader, round({COS}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE score >= 0.85 GROUP BY id) ON vec_id = id")
+def leaders_sql(least: float) -> str:
+    """Goes through the vectors one by one; a vector with a leader among its earlier neighbours belongs to the first."""
+    return f"""WITH RECURSIVE near AS (SELECT v.vec_id AS id, list(q.vec_id ORDER BY q.vec_id) AS earlier FROM embeddings q JOIN embeddings v ON q.vec_id < v.vec_id WHERE {COS} >= {least}::double GROUP BY 1),
+ rows AS (SELECT vec_id AS id, coalesce(earlier, []) AS earlier, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings LEFT JOIN near ON vec_id = id),
+ steps AS (SELECT 0::bigint AS i, []::bigint[] AS leaders UNION ALL SELECT rows.i, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, id) END FROM steps JOIN rows ON rows.i = steps.i + 1),
+ done AS (SELECT arg_max(leaders, i) AS leaders FROM steps)
+ SELECT id, coalesce(list_filter(earlier, lambda x: list_contains(leaders, x))[1], id) AS leader FROM rows, done"""
+
+
+@query(leaders_sql(0.85))
 def vec_leaders(spark, sf):
-    """Each vector with the nearest leader at a cosine of 0.85 or more, or as a leader itself; the first leaders are a stated set."""
-    v = _vectors(spark, sf)
-    near = search.vector_scores(v.filter("id % 50 = 0"), v, least=0.8499999).withColumn("score", F.round("score", 6)).filter("score >= 0.85")
-    best = near.groupBy("id").agg(F.max_by("query_id", F.struct("score", -F.col("query_id"))).alias("best"))
-    return v.join(best, "id", "left").select("id", F.coalesce("best", "id").alias("leader"))
+    """Each vector with the first leader at a cosine of 0.85 or more, or as a leader itself."""
+    return vectors.leaders(_vectors(spark, sf), 0.85)
+
+
+@query(leaders_sql(0.3))
+def vec_wide_leaders(spark, sf):
+    """The same at 0.3, where groups are large; rounds go on until a hundred vectors are left."""
+    return vectors.leaders(_vectors(spark, sf), 0.3, few=100)
 
 
 WHOLE_SETS = "sets AS (SELECT min(doc_id) AS set_id, ws AS words FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 3))) AS ws FROM documents WHERE text IS NOT NULL) WHERE len(ws) > 0 GROUP BY ws)"
