@@ -12,7 +12,7 @@ from tidewire.plans import ATTEMPTS, TEXTS, query
 from tidewire.plans.content import SIG_WORDS, TITLE
 from tidewire.plans.logs import ISLANDS, RUN_SQL
 from tidewire.sources.roles import table, texts
-from tidewire.streaming import streams
+from tidewire.streaming import state, streams
 
 
 def _run(spark) -> str:
@@ -56,20 +56,19 @@ def stream_upkeep(spark, sf):
     """The periodic job as a batch of a stream: when events have come, recent cards are clustered and old ones go."""
     run, as_of = _run(spark), "2024-01-31 00:00:00"
     created = F.expr("timestamp_ntz'2024-01-01'") + F.make_dt_interval(F.col("id") % 30)
-    texts(spark, sf).select("id", "title", created.alias("created_at"), F.lit(None).cast("string").alias("cluster_id")).write.parquet(f"{run}/cards/0")
-    versions = [f"{run}/cards/0"]
+    cards = texts(spark, sf).select("id", "title", created.alias("created_at"), F.lit(None).cast("string").alias("cluster_id"))
+    # The cards as they are when the stream begins: the version before its first batch.
+    cards.write.parquet(f"{run}/cards/-1")
 
-    def tidy(batch, number: int) -> None:
+    def tidy(old, batch):
         if batch.isEmpty():
-            return
-        old = spark.read.parquet(versions[-1])
+            return old
         found = clusters.by_signature(clusters.unclustered(old, as_of, hours=240))
-        path = f"{run}/cards/{number + 1}"
-        ingest.retained(clusters.written_back(old, found), "created_at", as_of, 21).write.mode("overwrite").parquet(path)
-        versions.append(path)
+        return ingest.retained(clusters.written_back(old, found), "created_at", as_of, 21)
 
-    streams.run_through(streams.event_stream(spark, sf), "append", f"{run}/state", tidy)
-    return spark.read.parquet(versions[-1]).select("id", "cluster_id")
+    streams.run_through(streams.event_stream(spark, sf), "append", f"{run}/state", streams.versioned(spark, f"{run}/cards", cards.schema, tidy))
+    last = streams.versions(spark, f"{run}/cards")[-1]
+    return spark.read.parquet(f"{run}/cards/{last}").select("id", "cluster_id")
 
 
 @query("SELECT hours, event_type, count(*) AS n FROM (SELECT *, unnest([1, 24, 168, 720]) AS hours FROM events) WHERE ts >= TIMESTAMP '2024-01-31' - to_hours(hours) GROUP BY 1, 2")
@@ -89,3 +88,46 @@ def ing_raw_rows(spark, sf):
     rows.filter(early).write.mode("append").parquet(f"{run}/raw")
     rows.filter(~early).write.mode("append").parquet(f"{run}/raw")
     return spark.read.parquet(f"{run}/raw").groupBy("url").agg(F.min("event_id").alias("event_id"))
+
+
+LAST = "wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS w FROM events)"
+
+
+@query("SELECT s AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, unnest(range(date_trunc('hour', ts) - INTERVAL 5 HOUR, date_trunc('hour', ts) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS s FROM events), wm WHERE s + INTERVAL 6 HOUR <= w GROUP BY 1, 2", LAST)
+def stream_sliding(spark, sf):
+    """Windows of six hours, one each hour, as the watermark closes them; those still open at the end do not come out."""
+    out = streams.drained(streams.sliding(streams.event_stream(spark, sf), "6 hours", "1 hour"), "append", streams.shared_folder(spark))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT user_id, min(ts) AS session_start, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
+ (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events)), wm GROUP BY user_id, session, w HAVING max(ts) + INTERVAL 4 HOUR <= w""", LAST)
+def stream_sessions(spark, sf):
+    """Sessions of users, ended by four hours without an event."""
+    out = streams.drained(streams.sessions(streams.event_stream(spark, sf), "4 hours"), "append", streams.shared_folder(spark))
+    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n", F.round("total", 2).alias("total"))
+
+
+# The machine goes through each key's attempts in order; an open breaker whose time is up by the next attempt, or by the end, is half open first.
+@query("""SELECT source_key, unnest(names) AS state, unnest(times) AS at FROM (SELECT source_key, CASE WHEN d.state = 'open' AND d.last + INTERVAL 6 HOUR <= w THEN list_append(d.names, 'half_open') ELSE d.names END AS names, CASE WHEN d.state = 'open' AND d.last + INTERVAL 6 HOUR <= w THEN list_append(d.times, d.last + INTERVAL 6 HOUR) ELSE d.times END AS times FROM
+ (SELECT source_key, list_reduce([{'ok': true, 'ts': TIMESTAMP '2000-01-01', 'failures': 0, 'state': 'closed', 'last': TIMESTAMP '2000-01-01', 'names': []::varchar[], 'times': []::timestamp[]}] || list({'ok': success = 1, 'ts': ts, 'failures': 0, 'state': 'closed', 'last': ts, 'names': []::varchar[], 'times': []::timestamp[]} ORDER BY ts, event_id), lambda a, e:
+  {'ok': e.ok, 'ts': e.ts, 'failures': CASE WHEN e.ok THEN 0 WHEN a.state = 'open' AND e.ts - a.last >= INTERVAL 6 HOUR THEN 1 ELSE a.failures + 1 END,
+  'state': CASE WHEN e.ok THEN 'closed' WHEN a.state = 'open' THEN CASE WHEN e.ts - a.last >= INTERVAL 6 HOUR THEN 'half_open' ELSE 'open' END WHEN a.failures + 1 >= 2 THEN 'open' ELSE a.state END, 'last': CASE WHEN e.ok THEN a.last ELSE e.ts END,
+  'names': a.names || CASE WHEN a.state = 'open' AND e.ts - a.last >= INTERVAL 6 HOUR THEN ['half_open'] ELSE [] END || CASE WHEN e.ok AND a.state <> 'closed' THEN ['closed'] WHEN NOT e.ok AND a.state <> 'open' AND a.failures + 1 >= 2 THEN ['open'] ELSE [] END,
+  'times': a.times || CASE WHEN a.state = 'open' AND e.ts - a.last >= INTERVAL 6 HOUR THEN [a.last + INTERVAL 6 HOUR] ELSE [] END || CASE WHEN (e.ok AND a.state <> 'closed') OR (NOT e.ok AND a.state <> 'open' AND a.failures + 1 >= 2) THEN [e.ts] ELSE [] END}) AS d FROM attempts, wm WHERE ts <= w GROUP BY source_key), wm)""", ATTEMPTS, LAST)
+def stream_breaker_log(spark, sf):
+    """Every change of every breaker, open from two failures in a row, half open six hours later by a timer."""
+    log = streams.event_stream(spark, sf).select(F.col("user_id").alias("source_key"), "event_id", F.when((F.col("event_type") == "error") | (F.col("event_id") % 5 == 0), 0).otherwise(1).alias("success"), "ts")
+    with state.state_store(spark):
+        return streams.drained(state.breaker_log(log, 2, 21_600, "10 minutes"), "append", streams.shared_folder(spark))
+
+
+@query("SELECT user_id AS source_key, event_id, ts AS at FROM events")
+def stream_new_rows(spark, sf):
+    """Rows newer than their source's mark, and none the second time the stream looks."""
+    rows = streams.event_stream(spark, sf).select(F.col("user_id").alias("source_key"), "event_id", "ts")
+    name = uuid.uuid4().hex
+    with state.state_store(spark):
+        for _ in range(2):
+            out = streams.drained(state.new_rows(rows), "append", streams.shared_folder(spark), name)
+    return out

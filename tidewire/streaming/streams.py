@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Step = Callable[[DataFrame, int], None]
 
@@ -43,6 +44,16 @@ def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sliding(events: DataFrame, size: str, slide: str, late: str = "10 minutes") -> DataFrame:
+    """Events per type and sliding window. In append mode a window comes out once the watermark has passed its end; later rows of it are dropped and its state goes."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Events per user and session: a session ends when nothing has come for ``gap``. Emitted and dropped as in sliding()."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 def first_seen(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
     """The first event of each key: without expiry, or while its watermark has not passed."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
@@ -68,25 +79,34 @@ def appended(path: str) -> Step:
     return write
 
 
-def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Runs a stream over all input that is there and returns what it wrote; no rows if there was no input.
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the tables below ``path`` (named by number, or batch=number) that were written to their end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().rpartition("=")[2]) for f in found)
 
-    ``folder`` is shared by driver and executors: it holds the stream's checkpoint and, per
-    batch, its output, so a batch that is run again replaces itself. In complete mode each
-    batch is the whole result, and the last one is returned.
-    """
-    spark, run = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
-    batches: list[int] = []
 
-    def write(batch: DataFrame, number: int) -> None:
-        appended(f"{run}/out")(batch, number)
-        batches.append(number)
+def drop_version(spark: SparkSession, path: str, number: int) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drained(stream: DataFrame, mode: str, folder: str, name: str | None = None) -> DataFrame:
+    """Runs a stream over all input that is there and returns what it has written so far; no rows if there was no input.
 
-    run_through(stream, mode, f"{run}/state", write)
-    if not batches:
+    ``folder`` is shared by driver and executors: it holds the stream's checkpoint and, per
+    batch, its output, so a batch that is run again replaces itself. A stream with a ``name``
+    goes on where the last run with it ended; without one it is a run of its own. In complete
+    mode each batch is the whole result, and the last one is returned.
+    """
+    spark, run = stream.sparkSession, f"{folder}/stream-{name or uuid.uuid4().hex}"
+    run_through(stream, mode, f"{run}/state", appended(f"{run}/out"))
+    done = versions(spark, f"{run}/out")
+    if not done:
         return spark.createDataFrame([], stream.schema)
-    path = f"{run}/out/batch={max(batches)}" if mode == "complete" else f"{run}/out"
-    return spark.read.schema(stream.schema).parquet(path)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{run}/out/batch={done[-1]}")
+    return spark.read.schema(stream.schema).parquet(*[f"{run}/out/batch={n}" for n in done])
 
 
 #: A breaker's state per key: events seen, failures since the last success, and the time of the last event.
@@ -121,20 +141,32 @@ def breaker_state(failures: Column, last_at: Column, now: Column, opens_at: int,
     return F.when(failures < opens_at, "closed").when(waited >= timeout_s, "half_open").otherwise("open")
 
 
-def breakers(attempts: DataFrame, folder: str, keep: int | None = None) -> DataFrame:
+def versioned(spark: SparkSession, path: str, schema: str | StructType, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Step:
+    """A step that keeps a table as versions numbered by batch: ``change`` (the version before, the batch) is the next one.
+
+    A batch that is run again starts from the same version as the first time. The version
+    before stays, for those who read it; older ones are deleted.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = [n for n in versions(spark, path) if n < number]
+        old = spark.read.schema(schema).parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], schema)
+        change(old, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        for n in done[:-1]:
+            drop_version(spark, path, n)
+
+    return write
+
+
+def breakers(attempts: DataFrame, folder: str, keep: int | None = None, name: str | None = None) -> DataFrame:
     """(source_key, seen, failures, last_at) after all batches of a stream of attempts (source_key, event_id, success, ts).
 
     Batches are taken in the order in which the stream gives them, attempts within one in order
     of time. Each batch is aggregated and merged into the state, a small row per key, which is
-    written anew under the batch's number.
+    written anew under the batch's number. A stream with a ``name`` goes on where the last run
+    with it ended. For state that changes by key and wakes by timer see breaker_log.
     """
-    spark, run = attempts.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
-    done: list[int] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(BREAKER).parquet(f"{run}/{done[-1]}") if done else spark.createDataFrame([], BREAKER)
-        merged_breakers(old, breaker_changes(batch), keep).write.mode("overwrite").parquet(f"{run}/{number}")
-        done.append(number)
-
-    run_through(attempts, "append", f"{run}/state", merge)
-    return spark.read.schema(BREAKER).parquet(f"{run}/{done[-1]}") if done else spark.createDataFrame([], BREAKER)
+    spark, run = attempts.sparkSession, f"{folder}/stream-{name or uuid.uuid4().hex}"
+    run_through(attempts, "append", f"{run}/state", versioned(spark, f"{run}/versions", BREAKER, lambda old, batch: merged_breakers(old, breaker_changes(batch), keep)))
+    done = versions(spark, f"{run}/versions")
+    return spark.read.schema(BREAKER).parquet(f"{run}/versions/{done[-1]}") if done else spark.createDataFrame([], BREAKER)
