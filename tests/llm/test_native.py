@@ -7,10 +7,11 @@ from collections import Counter
 
 import pytest
 from edge import documents, odd_texts, prose
+from pyspark.sql import functions as F
 
 from tidewire.llm.exact_dedup import exact_dedup
 from tidewire.llm.line_dedup import drop_repeated_lines, line_dedup, line_hashes, repeated_runs
-from tidewire.llm.quality import SLACK, filter_quality, quality_rules
+from tidewire.llm.quality import MEASURES, filter_quality, judged, measure, quality_rules, sketches, thresholds
 from tidewire.llm.secrets import KEY_BLOCK, RULES, Rule, needed_trigrams, redact, secret_scan, trigram_query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,7 +42,7 @@ def test_quality_fences_follow_the_source(spark):
 
 
 def test_every_measure_can_reject(spark):
-    clean = [(i, "\n".join(prose(100 * i + k, 12) for k in range(10))) for i in range(60)]
+    clean = [(i, "\n".join(prose(100 * i + k, 12) for k in range(10))) for i in range(400)]
     again = prose(7000, 24)
     odd = {
         "symbol_rate": prose(7001, 90) + " # $" * 6,
@@ -57,6 +58,29 @@ def test_every_measure_can_reject(spark):
         assert not r["base_failed"] and not r["kept"] and r[m] > max(got[j][m] for j, _ in clean), m
 
 
+def test_fences_come_from_the_sketches(spark, sf):
+    """Sources have fences of their own for all four measures, and other verdicts than one set of fences for all."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    measured = measure(docs).cache()
+    fences = thresholds(sketches(measured), least=5)
+    rows = fences.collect()
+    for m in MEASURES:
+        assert len({round(r["fence"][m]["high"], 6) for r in rows}) > len(rows) / 4, m
+    everywhere = thresholds(sketches(measured.withColumns({"lang": F.lit(""), "source": F.lit("")}))).select("fence")
+    own = judged(measured, fences).filter("kept").count()
+    alike = judged(measured, fences.drop("fence").crossJoin(everywhere)).filter("kept").count()
+    both = judged(measured, fences).filter("kept").select("doc_id").intersect(judged(measured, fences.drop("fence").crossJoin(everywhere)).filter("kept").select("doc_id")).count()
+    assert 0 < both < max(own, alike) and own > 0.7 * docs.count()
+
+
+def test_short_texts_are_judged_by_the_usual_size(spark):
+    """Three symbols are too many for no text, however short, where texts have a hundred words."""
+    clean = [(i, prose(i, 100)) for i in range(60)]
+    short = [(100, prose(200, 25) + " # $ %"), (101, prose(201, 25) + "\n" + prose(201, 25)[:20] + "\nyes\nyes"), (102, prose(202, 25) + " # $ % &&")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(documents(spark, clean + short)).collect()}
+    assert got[100] and got[101] and not got[102] and all(got[i] for i, _ in clean)
+
+
 def test_quality_filter_takes_any_columns(spark):
     docs = documents(spark, odd_texts()).selectExpr("*", "1 AS bad_id", "2 AS bad_hash", "3 AS id", "4 AS text_hash", "5 AS base_failed")
     assert filter_quality(docs).columns == docs.columns
@@ -75,7 +99,7 @@ def test_filter_keeps_columns_and_agrees(spark):
     out = filter_quality(docs)
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.collect()) == kept
-    assert set(SLACK) <= set(quality_rules(docs).columns)
+    assert set(MEASURES) <= set(quality_rules(docs).columns)
 
 
 def spans(text):

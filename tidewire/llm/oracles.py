@@ -6,7 +6,7 @@ tests hold them against brute force.
 
 from __future__ import annotations
 
-from tidewire.llm.quality import HANDFUL, SLACK, TWO_SIDED
+from tidewire.llm.quality import MEASURES, SIZES, TWO_SIDED
 from tidewire.llm.secrets import BASE, RULES
 
 DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)"
@@ -15,12 +15,16 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def _quality(least: int = 30, reach: float = 3.0) -> str:
-    measures = list(SLACK)
-    level = lambda name, keys: f"{name} AS (SELECT {', '.join([*keys, 'count(*) AS n'] + [f'quantile_disc({m}, {q}) AS {m}_{i}' for m in measures for i, q in ((1, 0.25), (3, 0.75))])} FROM measured WHERE NOT base_failed" + (f" GROUP BY {', '.join(keys)}" if keys else "") + ")"
-    pick = lambda m, i: f"CASE WHEN s.n >= {least} THEN s.{m}_{i} WHEN l.n >= {least} THEN l.{m}_{i} ELSE a.{m}_{i} END"
-    span = lambda m: f"greatest((({pick(m, 3)}) - ({pick(m, 1)})) * {reach}::double, {SLACK[m]}::double)"
-    many = lambda m: f" AND m.{HANDFUL[m][0]} > {HANDFUL[m][1]}" if m in HANDFUL else ""
-    odd = " OR ".join([f"(m.{m} > ({pick(m, 3)}) + {span(m)}{many(m)})" for m in measures] + [f"m.{m} < ({pick(m, 1)}) - {span(m)}" for m in TWO_SIDED])
+    quantiles = [f"quantile_disc({m}, {x}) AS {m}_{i}" for m, of in MEASURES.items() for i, x in (("low", round(1 - of.sound, 4)), ("mid", 0.5), ("high", of.sound))] + [f"quantile_disc({c}, 0.5) AS {c}_mid" for c in SIZES]
+    level = lambda name, keys: f"{name} AS (SELECT {', '.join([*keys, 'count(*) AS n', *quantiles])} FROM measured WHERE NOT base_failed" + (f" GROUP BY {', '.join(keys)}" if keys else "") + ")"
+    pick = lambda c: f"(CASE WHEN s.n >= {least} THEN s.{c} WHEN l.n >= {least} THEN l.{c} ELSE a.{c} END)::double"
+    odd = []
+    for m, of in MEASURES.items():
+        value = f"m.{of.count}::double / greatest(m.{of.size}::double, {pick(of.size + '_mid')})" if of.count else f"m.{m}"
+        by_chance = f" + {of.cases}::double / {pick(of.size + '_mid')}" if of.count else ""
+        odd.append(f"{value} > {pick(m + '_high')} + {reach}::double * ({pick(m + '_high')} - {pick(m + '_mid')}){by_chance}")
+        if m in TWO_SIDED:
+            odd.append(f"{value} < {pick(m + '_low')} - {reach}::double * ({pick(m + '_mid')} - {pick(m + '_low')})")
     return rf"""WITH {DOCS}, w AS (SELECT *, regexp_extract_all(t, '{WORD}+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM docs),
  grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, words[i:i+7] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8))),
  reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM grams WHERE c > 1) GROUP BY doc_id),
@@ -29,7 +33,7 @@ def _quality(least: int = 30, reach: float = 3.0) -> str:
  measured AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols::double / nullif(n_words, 0), 0) AS symbol_rate, coalesce(word_chars::double / nullif(n_words, 0), 0) AS word_length,
   coalesce(n_dup_lines::double / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words::double / nullif(n_words, 0), 0) AS repeat_share FROM counted),
  {level('by_source', ['lang', 'source'])}, {level('by_lang', ['lang'])}, {level('overall', [])}
- SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({odd}, false) AS kept, {', '.join('m.' + m for m in measures)}
+ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({' OR '.join(odd)}, false) AS kept, {', '.join('m.' + m for m in MEASURES)}
  FROM measured m LEFT JOIN by_source s ON m.lang = s.lang AND m.source = s.source LEFT JOIN by_lang l ON m.lang = l.lang CROSS JOIN overall a"""
 
 

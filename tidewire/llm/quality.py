@@ -1,14 +1,19 @@
 """Quality rules with thresholds learned from quantile sketches.
 
-Each document is measured with column functions alone. Per language and source a
-mergeable KLL sketch summarises each measure; fences drawn from its quartiles replace
-fixed cutoffs. What a fence rejects must also be more than a handful of cases, as one line
-said twice is a large share of a short text. Sketches are built per salt first, so a source with a third of all rows is
-summarised by many tasks, and merged again upwards for languages and for the whole corpus.
+Each document is measured with column functions alone. Per language and source a mergeable
+KLL sketch summarises each measure and the sizes of texts; fences drawn from them replace
+fixed cutoffs. A fence stands ``reach`` times the spread of a group's sound part beyond it,
+from its median to the quantile up to which documents are taken as sound, and as many cases
+further as one text of the group's median size may show by chance. A text shorter than that
+is judged as if it were as long. Sketches are built per salt first, so a source with a third
+of all rows is summarised by many tasks, and merged again upwards for languages and for the
+whole corpus.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +21,29 @@ from tidewire.llm.common import SPACE_CHARS, SPACE_CLASS, cut, join_small, let
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Measure -> the least distance from the quartile at which a fence may stand.
-SLACK = {"symbol_rate": 0.02, "word_length": 1.0, "dup_line_share": 0.1, "repeat_share": 0.1}
-#: Measure -> the count behind it, and how many cases are no evidence whatever their share.
-HANDFUL = {"symbol_rate": ("n_symbols", 3), "dup_line_share": ("n_dup_lines", 2), "repeat_share": ("n_repeat_words", 5 * WINDOW)}
+
+
+class Measure(NamedTuple):
+    """``count`` per ``size``, or a mean of its own if there is none."""
+
+    #: The quantile up to which a group's documents are taken as sound. Symbols come in a part of the texts of
+    #: every scraped source, repetition in the last hundredth of sound ones too.
+    sound: float
+    count: str | None = None
+    size: str | None = None
+    #: Cases that a sound text may show by chance.
+    cases: int = 0
+
+
+MEASURES = {
+    "symbol_rate": Measure(0.75, "n_symbols", "n_words", 3),
+    "word_length": Measure(0.9),
+    "dup_line_share": Measure(0.99, "n_dup_lines", "n_lines", 1),
+    "repeat_share": Measure(0.99, "n_repeat_words", "n_words", 3 * WINDOW),
+}
 #: Measures of which too small a value is as odd as too large a one.
 TWO_SIDED = ("word_length",)
+SIZES = ("n_words", "n_lines")
 
 
 def words_of(text: Column) -> Column:
@@ -91,33 +113,35 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def sketches(measured: DataFrame, k: int = 800, salts: int = 64) -> DataFrame:
-    """One KLL sketch per language, source and measure over the documents that pass the base rules."""
+    """One KLL sketch per language, source and measure or size over the documents that pass the base rules."""
     salted = measured.filter(~F.col("base_failed")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)))
-    part = salted.groupBy("lang", "source", "salt").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in SLACK])
+    part = salted.groupBy("lang", "source", "salt").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(k)).alias(m) for m in (*MEASURES, *SIZES)])
     return merge_sketches(part, "lang", "source")
 
 
 def merge_sketches(part: DataFrame, *keys: str) -> DataFrame:
-    return part.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in SLACK])
+    return part.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in (*MEASURES, *SIZES)])
 
 
 def thresholds(sketched: DataFrame, least: int = 30, reach: float = 3.0) -> DataFrame:
-    """Fences per language and source: a quartile and ``reach`` interquartile ranges, or the slack if that is more.
+    """Fences (low, high, and the median size that short texts are judged by) per language, source and measure.
 
     Sources with fewer than ``least`` passing documents take their language's sketch, and
     languages with fewer take that of the corpus.
     """
 
     def fences(frame: DataFrame, tag: str, *keys: str) -> DataFrame:
-        def of(m: str) -> Column:
+        def of(name: str, m: Measure) -> Column:
+            typical = F.kll_sketch_get_quantile_double(m.size, F.lit(0.5)) if m.size else F.lit(None).cast("double")
+
             def fence(q: Column) -> Column:
-                span = F.greatest((q[1] - q[0]) * reach, F.lit(SLACK[m]))
-                low = q[0] - span if m in TWO_SIDED else F.lit(None).cast("double")
-                return F.struct(low.alias("low"), (q[1] + span).alias("high"))
+                low = q[1] - reach * (q[0] - q[1]) if name in TWO_SIDED else F.lit(None).cast("double")
+                by_chance = m.cases / typical if m.size else F.lit(0.0)
+                return F.struct(low.alias("low"), (q[2] + reach * (q[2] - q[0]) + by_chance).alias("high"), typical.alias("typical"))
 
-            return let(F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75))), fence).alias(m)
+            return let(F.kll_sketch_get_quantile_double(name, F.array(F.lit(0.5), F.lit(1 - m.sound), F.lit(m.sound))), fence).alias(name)
 
-        return frame.select(*keys, F.struct(F.col("n"), *[of(m) for m in SLACK]).alias(tag))
+        return frame.select(*keys, F.struct(F.col("n"), *[of(name, m) for name, m in MEASURES.items()]).alias(tag))
 
     by_lang = merge_sketches(sketched, "lang")
     overall = fences(merge_sketches(by_lang.withColumn("everything", F.lit(1)), "everything"), "of_all", "everything").drop("everything")
@@ -129,14 +153,12 @@ def thresholds(sketched: DataFrame, least: int = 30, reach: float = 3.0) -> Data
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """``measured`` with its fences and the column kept. Sources are few: their table is broadcast if it proves small."""
     odd = F.lit(False)
-    for m in SLACK:
-        over = F.col(m) > F.col("fence")[m]["high"]
-        if m in HANDFUL:
-            count, most = HANDFUL[m]
-            over = over & (F.col(count) > most)
-        odd = odd | over
-        if m in TWO_SIDED:
-            odd = odd | (F.col(m) < F.col("fence")[m]["low"])
+    for name, m in MEASURES.items():
+        fence = F.col("fence")[name]
+        value = F.col(m.count) / F.greatest(F.col(m.size), fence["typical"]) if m.count else F.col(name)
+        odd = odd | (value > fence["high"])
+        if name in TWO_SIDED:
+            odd = odd | (value < fence["low"])
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
     return join_small(measured, fences, ["lang", "source"], "left").withColumn("kept", kept)
 
@@ -150,12 +172,12 @@ def quality_rules(docs: DataFrame, k: int = 800, least: int = 30, reach: float =
     empty table gives no rows. Other columns are ignored.
 
     ``k`` is the sketches' size (at most k rows: exact), ``least`` the rows a group needs for
-    fences of its own, ``reach`` the interquartile ranges to a fence.
+    fences of its own, ``reach`` the spreads to a fence.
     """
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     measured = cut(measure(docs))
     fences = cut(thresholds(sketches(measured, k), least, reach))
-    return judged(measured, fences).select(*base, *SLACK)
+    return judged(measured, fences).select(*base, *MEASURES)
 
 
 def filter_quality(docs: DataFrame, k: int = 800, least: int = 30, reach: float = 3.0) -> DataFrame:
