@@ -191,9 +191,10 @@ def test_private_keys_go_whole(spark):
         (6, f"before\n{head}\n{fields}{body}\nafter it"),
         (7, f"before {head} after it"),
         (8, f"{head}\n{body}\n{foot}\n{head}\n{body}\n{foot}"),
+        (9, f"before\n{head}\n" + "\n".join(lines[i % 25] for i in range(20_000)) + "\nafter it"),
     ]
     out = {r["doc_id"]: r["text"] for r in redact(documents(spark, texts)).collect()}
-    assert {i: t.split() for i, t in out.items()} == {i: ["before", "[private_key]", "after", "it"] for i in range(1, 8)} | {8: ["[private_key]"] * 2}
+    assert {i: t.split() for i, t in out.items()} == {i: ["before", "[private_key]", "after", "it"] for i in (1, 2, 3, 4, 5, 6, 7, 9)} | {8: ["[private_key]"] * 2}
     got = sorted(tuple(r)[1:] for r in secret_scan(documents(spark, texts)).collect())
     assert got == sorted(spans(t[1]) for t in texts)
     assert trigram_query(KEY_BLOCK) == trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----")

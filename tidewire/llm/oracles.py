@@ -40,7 +40,7 @@ def _quality(least: int = 30, reach: float = 3.0) -> str:
 def _secrets() -> str:
     parts = []
     for rank, r in enumerate(RULES):
-        p = r.pattern.replace("'", "''")
+        p = r.pattern.replace(")*+", ")*").replace("'", "''")  # nothing behind a possessive group here needs what it has taken
         parts.append(f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, gaps, judged, {r.least} AS least FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', {r.group}) AS judged FROM docs WHERE regexp_matches(t, '{p}'))""")
     size = lambda c, to: f"coalesce(list_sum(list_transform({c}[1:{to}], lambda x: length(x))), 0)::bigint"
     spans = f"spans AS (SELECT doc_id, rank, kind, {size('gaps', 'i')} + {size('m', 'i - 1')} AS b, {size('gaps', 'i')} + {size('m', 'i')} AS e FROM ({' UNION ALL '.join(parts)}) WHERE length(judged[i]) >= least)"

@@ -39,11 +39,11 @@ _BASE64 = "A-Za-z0-9+/="
 _RUN = f"[{_BASE64}]" * 16 + f"[{_BASE64}]*"
 _FIELDS = r"(?:[\x20\t\r\n\\]+[A-Za-z0-9-]+:\x20[^\x20\t\r\n\\]+){0,8}"
 #: A private key from its header to its END line; without one, to the end of the base64 runs of 16 characters or more
-#: behind the header (a padded run may be shorter). Runs are counted, as Java recurses for each of them.
+#: behind the header (a padded run may be shorter). The runs are possessive: Java would recurse for each of them otherwise.
 KEY_BLOCK = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
     rf"(?:{_FIELDS}[{_BASE64}{_GAP}]*-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|{_FIELDS}[{_GAP}]*{_RUN}(?:[{_GAP}]+{_RUN}){{0,400}}(?:[{_GAP}]+[A-Za-z0-9+/]+=+)?)?"
+    rf"|{_FIELDS}[{_GAP}]*{_RUN}(?:[{_GAP}]+{_RUN})*+(?:[{_GAP}]+[A-Za-z0-9+/]+=+)?)?"
 )
 
 #: Base rules in the order in which spans that start together are listed, and those that this library adds.
