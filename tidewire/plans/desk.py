@@ -27,8 +27,12 @@ def ing_publish(spark, sf):
 @query("SELECT left(md5(concat('master-', cluster_id)), 16) AS id, cluster_id, count(*) AS sources_count, round(min(bias_signed), 4) AS bias_min, round(max(bias_signed), 4) AS bias_max, floor(sum(round(bias_signed * 100)::bigint)::double / count(*))::bigint AS bias_percent FROM cards WHERE cluster_id IS NOT NULL GROUP BY cluster_id", CARDS)
 def ing_masters(spark, sf):
     """Master rows of clusters under deterministic ids, so that a second run replaces the first."""
+    return masters(cards(spark, sf))
+
+
+def masters(rows):
     b = F.col("bias_signed")
-    per = cards(spark, sf).filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("sources_count"), F.round(F.min(b), 4).alias("bias_min"), F.round(F.max(b), 4).alias("bias_max"), F.floor(F.sum(F.round(b * 100).cast("bigint")) / F.count("*")).cast("bigint").alias("bias_percent"))
+    per = rows.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("sources_count"), F.round(F.min(b), 4).alias("bias_min"), F.round(F.max(b), 4).alias("bias_max"), F.floor(F.sum(F.round(b * 100).cast("bigint")) / F.count("*")).cast("bigint").alias("bias_percent"))
     return per.withColumn("id", text.short_id(F.concat(F.lit("master-"), F.col("cluster_id")), 16))
 
 

@@ -6,15 +6,18 @@ back; the SQL starts from the columns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewire.functions import text, urls
 from tidewire.operators import facts, ingest, lexicon, scoring
 from tidewire.operators import relational as rel
-from tidewire.plans import TEXTS, query
+from tidewire.plans import ORACLES, TEXTS, query
 from tidewire.plans.content import ENT, FAMILIES, HOST, NAMES, PRO, REGISTRY, REJECT_SQL, RIGHT, LEFT, _phrase_hits, _sql_list
-from tidewire.sources import connectors, markup
+from tidewire.sources import bodies, connectors, markup
 from tidewire.sources.roles import table, texts
+from tidewire.streaming.streams import drained, shared_folder
 
 RAW_TITLE = "trim(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1))"
 TITLE_OF = ENT.format(RAW_TITLE)
@@ -44,6 +47,33 @@ def feed_rss_items(spark, sf):
     return rows.withColumns({"position": F.col("position").cast("bigint"), "published_at": F.col("published_at").cast("timestamp_ntz")})
 
 
+def _left_by_fetcher(spark, sf) -> str:
+    """The RSS bodies as a folder of files, as a fetcher leaves them."""
+    folder = f"{shared_folder(spark)}/bodies-{uuid.uuid4().hex}"
+    feeds = _rss(spark, sf)
+    feeds.select(F.col("feed_id").alias("id"), F.lit("http://fetched/").alias("url"), F.lit("rss").alias("kind"), "body").write.json(folder)
+    bodies.register(spark)
+    return folder
+
+
+def _parsed(rows):
+    found = markup.rss_items(rows.filter("kind = 'rss'").select(F.col("id").alias("feed_id"), "body"))
+    return found.withColumns({"position": F.col("position").cast("bigint"), "published_at": F.col("published_at").cast("timestamp_ntz")})
+
+
+@query(ORACLES["feed_rss_items"])
+def src_bodies(spark, sf):
+    """The same from files of bodies, read as a data source."""
+    return _parsed(spark.read.format("bodies").load(_left_by_fetcher(spark, sf)))
+
+
+@query(ORACLES["feed_rss_items"])
+def stream_bodies(spark, sf):
+    """The same as a stream of the folder's files."""
+    rows = spark.readStream.format("bodies").load(_left_by_fetcher(spark, sf))
+    return drained(_parsed(rows), "append", shared_folder(spark))
+
+
 @query(f"SELECT url, published_at FROM (SELECT url, came AS published_at, min(came) OVER (PARTITION BY domain) AS first_at, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM (SELECT *, {CAME} AS came, {DOMAIN_OF} AS domain FROM pages WHERE {RAW_TITLE} <> '')) WHERE rn = 1 AND published_at > first_at - INTERVAL 1 HOUR AND published_at <> first_at")
 def feed_rss_delta(spark, sf):
     """Items above their domain's mark less an hour, each URL once, without the item that set the mark."""

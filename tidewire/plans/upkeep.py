@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import clusters, ingest
 from tidewire.operators import relational as rel
-from tidewire.plans import ATTEMPTS, TEXTS, query
+from tidewire.operators.tables import KeyedTable
+from tidewire.plans import ATTEMPTS, ORACLES, TEXTS, query
 from tidewire.plans.content import SIG_WORDS, TITLE
+from tidewire.plans.desk import masters
 from tidewire.plans.logs import ISLANDS, RUN_SQL
-from tidewire.sources.roles import table, texts
+from tidewire.sources.roles import cards, table, texts
 from tidewire.streaming import state, streams
 
 
@@ -131,3 +133,52 @@ def stream_new_rows(spark, sf):
         for _ in range(2):
             out = streams.drained(state.new_rows(rows), "append", streams.shared_folder(spark), name)
     return out
+
+
+# ---- tables by key
+
+
+def _keyed(rows, key: str) -> KeyedTable:
+    return KeyedTable(rows.sparkSession, f"{_run(rows.sparkSession)}/table", rows.schema, key, buckets=32)
+
+
+@query(ORACLES["ing_keep_latest"])
+def ing_bucket_latest(spark, sf):
+    """Three loads of events into a table by user; each writes the folders of its users only."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    kept = _keyed(e, "user_id")
+    day = lambda d: F.expr(f"timestamp_ntz'2024-01-{d}'")
+    for part in (F.col("ts") < day("15"), (F.col("ts") >= day("15")) & (F.col("ts") < day("29")), F.col("ts") >= day("29")):
+        kept.keep_latest(e.filter(part), F.col("ts"), F.col("event_id"))
+    return kept.read()
+
+
+@query(ORACLES["ing_masters"])
+def ing_bucket_masters(spark, sf):
+    """Masters of the clusters of a first load; those that later cards come to are made anew and replace theirs."""
+    c = cards(spark, sf)
+    early = F.col("created_at") < F.lit("1995-01-01").cast("timestamp_ntz")
+    first = masters(c.filter(early))
+    kept = _keyed(first, "cluster_id")
+    kept.upsert(first)
+    kept.upsert(masters(c.join(c.filter(~early).select("cluster_id").distinct(), "cluster_id", "left_semi")))
+    return kept.read()
+
+
+@query("SELECT vec_id, CASE WHEN label >= 3 THEN label + 100 ELSE label END AS label, len(embedding)::bigint AS size FROM embeddings")
+def ing_bucket_vectors(spark, sf):
+    """Vectors with their labels, upserted where they come again."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    kept = _keyed(v, "vec_id")
+    kept.insert_absent(v.filter("label < 5"), F.col("label"))
+    kept.upsert(v.filter("label >= 3").withColumn("label", (F.col("label") + 100).cast("int")))
+    return kept.read().select("vec_id", "label", F.size("embedding").cast("bigint").alias("size"))
+
+
+@query(ORACLES["ing_keep_latest"])
+def stream_bucket_latest(spark, sf):
+    """The latest event of each user as a stream's sink: a batch that is run again is merged once."""
+    e = streams.event_stream(spark, sf).select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    kept = KeyedTable(spark, f"{(run := _run(spark))}/table", e.schema, "user_id", buckets=32)
+    streams.run_through(e, "append", f"{run}/state", lambda batch, number: kept.keep_latest(batch, F.col("ts"), F.col("event_id"), token=str(number)))
+    return kept.read()
