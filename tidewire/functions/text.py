@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Accented Latin letters and their plain forms.
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñç"
@@ -52,15 +55,24 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def clean_html(html: Column) -> Column:
-    """Plain text of a snippet: no tags, no references, nothing from "The post" on, single spaces."""
-    text = unescape(strip_tags(html))
+# Names of networks whose links follow a text, and what ends or interrupts it.
+SOCIAL_NAMES = ("Facebook", "Twitter", "Instagram", "LinkedIn", "YouTube", "TikTok")
+READ_MORE = ("Leer más",)
+
+
+def clean_html(html: Column, social: tuple[str, ...] = SOCIAL_NAMES, read_more: tuple[str, ...] = READ_MORE) -> Column:
+    """Plain text of a snippet: no tags, no references, no links to ``social`` networks, empty brackets or ``read_more`` phrases, nothing from "The post" on, single spaces."""
+    either = lambda names: "|".join(re.escape(n) for n in names)
+    text = F.regexp_replace(html, rf"(?i)\[(?:{either(social)})[^\]]*\]\([^)]*\)", "") if social else html
+    text = unescape(strip_tags(F.replace(text, F.lit("[]"), F.lit(""))))
     text = F.regexp_replace(text, r"(?s)The post.*", "")
+    if read_more:
+        text = F.regexp_replace(text, rf"(?iu)\s*(?:{either(read_more)})\s*", "")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def excerpt(text: Column, target: int = 280, slack: int = 20, least: int = 100) -> Column:
-    """Whole sentences up to about ``target`` characters, ... behind them if something is left out."""
+def excerpt(text: Column, target: int = 280, slack: int = 20, least: int = 100, dotted_from: int = 50) -> Column:
+    """Whole sentences up to about ``target`` characters, ... behind more than ``dotted_from`` if something is left out."""
     found = F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]+"), F.lit(0))
     sentences = F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
@@ -70,7 +82,7 @@ def excerpt(text: Column, target: int = 280, slack: int = 20, least: int = 100)
         return F.struct(F.when(full, acc["out"]).otherwise(grown).alias("out"), full.alias("full"))
 
     begin = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
-    dotted = F.aggregate(sentences, begin, take, lambda acc: F.when((F.length(acc["out"]) < F.length(text)) & (F.length(acc["out"]) > 50), F.concat(acc["out"], F.lit("..."))).otherwise(acc["out"]))
+    dotted = F.aggregate(sentences, begin, take, lambda acc: F.when((F.length(acc["out"]) < F.length(text)) & (F.length(acc["out"]) > dotted_from), F.concat(acc["out"], F.lit("..."))).otherwise(acc["out"]))
     return F.when(dotted == "", text).otherwise(dotted)
 
 
@@ -142,3 +154,15 @@ def percent(part: Column, whole: Column) -> Column:
 def csv_count(listed: Column) -> Column:
     """Entries of a comma-separated list that are not blank."""
     return F.size(F.filter(F.split(F.coalesce(listed, F.lit("")), ",", -1), lambda s: F.trim(s) != ""))
+
+
+@F.pandas_udf(StringType())
+def to_ascii(texts: pd.Series) -> pd.Series:
+    """Letters without their marks (canonical decomposition); what is then not ASCII is dropped. Each different value of a batch is decomposed once."""
+    values = {t: unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode() for t in texts.dropna().unique()}
+    return texts.map(values)
+
+
+def same_letters(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for case and marks, by collation: in the JVM, for any script."""
+    return F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")

@@ -19,6 +19,35 @@ def domain(url: Column) -> Column:
     return F.when(host(url) == "", url).otherwise(F.regexp_replace(host(url), r"^www\.", ""))
 
 
+def root(url: Column) -> Column:
+    """Scheme and host."""
+    return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """A reference as it is meant on the page ``base``: full, by host, by path, by directory, by query or by fragment; dots in the path are followed."""
+    href = F.trim(href)
+    begins = lambda c: F.startswith(href, F.lit(c))
+    bare = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.when(F.rlike(bare, F.lit("://[^/]+/")), F.regexp_replace(bare, "[^/]*$", "")).otherwise(F.concat(bare, F.lit("/")))
+    joined = (
+        F.when(F.rlike(href, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), href)
+        .when(begins("//"), F.concat(F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:", 0), href))
+        .when(begins("/"), F.concat(root(base), href))
+        .when(begins("?"), F.concat(bare, href))
+        .when(begins("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .otherwise(F.concat(folder, href))
+    )
+    path = F.regexp_extract(joined, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    steps = F.split(F.substring(path, 2, 1_000_000), "/", -1)
+    none = F.array().cast("array<string>")
+    # A dot at the end leaves a folder, whose name ends with a stroke.
+    ended = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    kept = F.aggregate(ended, none, lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    plain = F.concat(root(joined), F.lit("/"), F.array_join(kept, "/"), F.regexp_extract(joined, "[?#].*$", 0))
+    return F.when(F.rlike(path, F.lit(r"/\.\.?(/|$)")), plain).otherwise(joined)
+
+
 def is_web(url: Column) -> Column:
     return F.coalesce(F.rlike(F.lower(url), F.lit("^https?://.")), F.lit(False))
 

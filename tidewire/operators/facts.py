@@ -33,14 +33,33 @@ def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
     return ranked.filter(F.col("rank") <= most)
 
 
-#: What is looked for in sentences, and how many of each are kept.
-ENTITIES = {
-    "date": (r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2} de [a-z]+ de [0-9]{4}", 10),
-    "money": (r"\$ ?[0-9][0-9.,]*(?: (?:mil|millones|billones))?", 10),
-    "number": (r"[0-9]+(?:[.,][0-9]+)*", 10),
-    "name": (r"[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?: [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,3}", 15),
-    "place": (r"(?:in|en|of|de) [A-ZÁÉÍÓÚÑ][a-záéíóúñ]+", 15),
-}
+# Units of money that may stand behind an amount.
+MONEY_UNITS = ("millones", "mil", "billones", "M", "K")
+#: Capital letters and small ones that names are written with.
+CAPITAL, SMALL = "[A-ZÁÉÍÓÚÑ]", "[a-záéíóúñ]"
+
+
+def entity_kinds(units: tuple[str, ...] = MONEY_UNITS, of: str = "de", before_places: tuple[str, ...] = ("in", "en", "of", "de")) -> dict[str, tuple[str, int]]:
+    """What is looked for in sentences, and how many of each kind are kept.
+
+    Letters of dates and units may be capital or small; of units the longest counts, as a
+    whole word. A date is of numbers or has the month as a word between two ``of``. A number is
+    grouped by threes or plain. A place is a name behind one of the words ``before_places``,
+    as a capital alone also begins every sentence; a name has two to four words.
+    """
+    unit = "|".join(sorted(units, key=lambda u: (-len(u), u)))
+    name = f"{CAPITAL}{SMALL}+"
+    return {
+        "date": (rf"(?i)\b(?:[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}|[0-9]{{1,2}}\s+{of}\s+[a-záéíóúñ]+\s+{of}\s+[0-9]{{4}})\b", 10),
+        "money": (rf"(?i)\$\s*[0-9][0-9.,]*(?:\s*(?:{unit})\b)?", 10),
+        "percent": (r"\b[0-9]+[%％]", 10),
+        "number": (r"\b(?:[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)\b", 10),
+        "name": (rf"\b{name}(?:\s+{name}){{1,3}}", 15),
+        "place": (rf"\b(?:{'|'.join(before_places)}) {name}", 15),
+    }
+
+
+ENTITIES = entity_kinds()
 
 
 def entities_by_kind(text: Column, kinds: dict[str, tuple[str, int]] | None = None) -> dict[str, Column]:
@@ -75,11 +94,12 @@ def calm_title(title: Column, least: int = 5, default: str = "Synthesis") -> Col
     return F.when(F.length(bare) < least, F.lit(default)).otherwise(bare)
 
 
-def fallback(articles: DataFrame, found: DataFrame, edge: float = 0.2, most: int = 5) -> DataFrame:
-    """Per cluster a base article and a summary from its verified facts, of articles (cluster_id, id, bias).
+def fallback(articles: DataFrame, found: DataFrame, edge: float = 0.2, most: int = 5, spare: int = 3) -> DataFrame:
+    """Per cluster a base article and a summary from its verified facts, of articles (cluster_id, id, bias, summary).
 
     The base is the first article with low bias in order of bias, else the middle one; only
-    clusters without a neutral article are put in order for that.
+    clusters without a neutral article are put in order for that. Where no fact is verified
+    the summary is made of those of the first ``spare`` neutral articles, else it is the base's.
     """
     neutral = F.when(F.abs("bias") < edge, F.struct("bias", "id"))
     per = articles.groupBy("cluster_id").agg(F.min(neutral)["id"].alias("neutral_id"), F.count("*").alias("n"))
@@ -87,8 +107,13 @@ def fallback(articles: DataFrame, found: DataFrame, edge: float = 0.2, most: int
     placed = lone.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("bias", "id")))
     middle = placed.filter(F.col("place") == F.floor(F.col("n") / 2) + 1).select("cluster_id", F.col("id").alias("middle_id"))
     text = found.filter((F.col("rank") <= most) & (F.col("status") == "verified")).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]), ". ").alias("summary"))
-    joined = per.join(middle, "cluster_id", "left").join(text, "cluster_id", "left")
-    return joined.select("cluster_id", F.coalesce("neutral_id", "middle_id").alias("base_id"), "n", F.left(F.coalesce("summary", F.lit("")), F.lit(1000)).alias("summary"))
+    joined = per.join(middle, "cluster_id", "left").join(text, "cluster_id", "left").withColumn("base_id", F.coalesce("neutral_id", "middle_id"))
+    told = articles.select("cluster_id", F.col("id").alias("base_id"), "bias", F.coalesce("summary", F.lit("")).alias("told"))
+    calm = told.filter(F.abs("bias") < edge).withColumn("n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("bias", "base_id"))).filter((F.col("n") <= spare) & (F.col("told") != ""))
+    spared = calm.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "told"))), lambda x: x["told"]), " | ").alias("spared"))
+    filled = joined.join(spared, "cluster_id", "left").join(told.drop("bias"), ["cluster_id", "base_id"], "left")
+    summary = F.trim(F.regexp_replace(F.coalesce(F.nullif(F.col("summary"), F.lit("")), "spared", "told", F.lit("")), "<[^>]+>", ""))
+    return filled.select("cluster_id", "base_id", F.col("n"), F.left(summary, F.lit(1000)).alias("summary"))
 
 
 def batch(sizes: DataFrame, counted_facts: DataFrame, mastered: DataFrame, limit: int = 100) -> DataFrame:

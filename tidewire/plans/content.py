@@ -271,12 +271,20 @@ def facts_perspectives(spark, sf):
     return facts.perspectives(_articles(spark, sf))
 
 
-@query("""SELECT a.cluster_id, coalesce(neutral_id, middle_id) AS base_id, n, left(coalesce(summary, ''), 1000) AS summary FROM
- (SELECT cluster_id, arg_min(id, (bias, id)) FILTER (abs(bias) < 0.2) AS neutral_id, count(*) AS n, list(id ORDER BY bias, id)[count(*) // 2 + 1] AS middle_id FROM articles GROUP BY 1) a LEFT JOIN
- (SELECT cluster_id, string_agg(sentence, '. ' ORDER BY rank) AS summary FROM facts WHERE rank <= 5 AND frequency >= 3 GROUP BY 1) f ON a.cluster_id = f.cluster_id""", ARTICLES, SENTENCES, FACTS)
+#: A cluster of its own for every document shows what is told where no fact is verified.
+ALONE = "SELECT cluster_id, id, bias, left(text, 280) AS summary FROM articles WHERE text IS NOT NULL UNION ALL SELECT concat(cluster_id, '-', lang, '-', (id % 7)::varchar), id, bias, left(articles.text, 280) FROM articles JOIN documents ON doc_id = id WHERE articles.text IS NOT NULL"
+
+
+@query(f"""WITH told AS ({ALONE}), calm AS (SELECT cluster_id, string_agg(summary, ' | ' ORDER BY bias, id) AS spared FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY bias, id) AS rn FROM told WHERE abs(bias) < 0.2) WHERE rn <= 3 AND summary <> '' GROUP BY 1),
+ per AS (SELECT cluster_id, arg_min(id, (bias, id)) FILTER (abs(bias) < 0.2) AS neutral_id, count(*) AS n, list(id ORDER BY bias, id)[count(*) // 2 + 1] AS middle_id FROM told GROUP BY 1), f AS (SELECT cluster_id, string_agg(sentence, '. ' ORDER BY rank) AS summary FROM facts WHERE rank <= 5 AND frequency >= 3 GROUP BY 1)
+ SELECT per.cluster_id, coalesce(neutral_id, middle_id) AS base_id, n, left(trim(regexp_replace(coalesce(f.summary, spared, told.summary, ''), '<[^>]+>', '', 'g')), 1000) AS summary FROM per LEFT JOIN f ON per.cluster_id = f.cluster_id LEFT JOIN calm ON per.cluster_id = calm.cluster_id LEFT JOIN told ON per.cluster_id = told.cluster_id AND coalesce(neutral_id, middle_id) = told.id""", ARTICLES, SENTENCES, FACTS)
 def facts_fallback(spark, sf):
-    a = _articles(spark, sf)
-    return facts.fallback(a, facts.facts(facts.sentence_rows(a)))
+    """Clusters by source, whose facts are known, and smaller ones by source, language and number, of which none is."""
+    a = _articles(spark, sf).filter("text is not null")
+    told = a.withColumn("summary", F.left("text", F.lit(280)))
+    small = told.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    small = small.withColumn("cluster_id", F.concat_ws("-", "cluster_id", "lang", (F.col("id") % 7).cast("string"))).select(told.columns)
+    return facts.fallback(told.unionByName(small), facts.facts(facts.sentence_rows(_articles(spark, sf))))
 
 
 # ---- clusters and vectors

@@ -172,14 +172,23 @@ def src_candidate_choice(spark, sf):
 
 # ---- functions and texts
 
-CLEAN = "regexp_replace(html, '<[^>]*>', '', 'g')"
+#: Pages with what a snippet may carry: a link to a network, empty brackets, a phrase that asks to read on.
+SNIPPET = "concat('[Facebook page](http://f/x) [] ', html, ' Leer más')"
+CLEAN = f"regexp_replace(replace(regexp_replace({SNIPPET}, '(?i)\\[(Facebook|Twitter|Instagram|LinkedIn|YouTube|TikTok)[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[]', ''), '<[^>]*>', '', 'g')"
 for _entity, _plain in text.ENTITIES:
     CLEAN = f"replace({CLEAN}, '{_entity}', '" + _plain.replace("'", "''") + "')"
 
 
-@query(f"SELECT page_id, trim(regexp_replace(regexp_replace({CLEAN}, '(?s)The post.*', ''), '\\s+', ' ', 'g')) AS plain FROM pages")
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({CLEAN}, '(?s)The post.*', ''), '(?i)\\s*Leer más\\s*', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM pages")
 def fn_clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.clean_html(F.col("html")).alias("plain"))
+    told = F.concat(F.lit("[Facebook page](http://f/x) [] "), F.col("html"), F.lit(" Leer más"))
+    return table(spark, sf, "pages").select("page_id", text.clean_html(told).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents")
+def fn_to_ascii(spark, sf):
+    """Whole texts without marks and without what is then not ASCII."""
+    return table(spark, sf, "documents").select("doc_id", text.to_ascii("text").alias("plain"))
 
 
 @query("SELECT id, created_at::date AS day, created_at - INTERVAL 1 HOUR AS overlap_from FROM cards", CARDS)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidewire.functions.labels import bias_label
 from tidewire.functions.text import capitalise, fold, percent, slug
 from tidewire.functions.urls import domain
+from tidewire.operators import places
 from tidewire.operators import relational as rel
-from tidewire.plans import CARDS, LOCATIONS, TEXTS, query
+from tidewire.plans import CARDS, LOCATIONS, ORACLES, TEXTS, query
 from tidewire.sources.roles import ORDERS_AS_OF, cards, locations, table, texts, with_places
 
 LABEL_SQL = "CASE WHEN bias_signed IS NULL THEN 'no data' WHEN bias_signed > 0.5 THEN 'strong official' WHEN bias_signed > 0.1 THEN 'mild official' WHEN bias_signed >= -0.1 THEN 'neutral' WHEN bias_signed >= -0.5 THEN 'mild opposition' ELSE 'strong opposition' END"
@@ -161,6 +162,34 @@ def rel_nearest(spark, sf):
     return rel.nearest(points, places).select("s_suppkey", "place_id")
 
 
+@query(ORACLES["rel_nearest"])
+def rel_nearest_grid(spark, sf):
+    """The same by a grid that widens around each point."""
+    at = lambda k, a, m: (F.col(k) * a % m - m // 2).cast("double")
+    there = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), at("n_nationkey", 37, 180).alias("lat"), at("n_nationkey", 91, 360).alias("lng"))
+    points = table(spark, sf, "supplier").select("s_suppkey", at("s_suppkey", 17, 180).alias("lat"), at("s_suppkey", 53, 360).alias("lng"))
+    return places.nearest_by_grid(points, there, "s_suppkey", 16.0)
+
+
+@query("""SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS place_id FROM (SELECT c_custkey, s_suppkey, pow((s_suppkey*37 % 180 - 90) - (c_custkey*17 % 180 - 90), 2) + pow((s_suppkey*91 % 360 - 180) - (c_custkey*53 % 360 - 180), 2) AS d FROM customer, supplier) GROUP BY 1""")
+def rel_nearest_supplier(spark, sf):
+    """Each customer's nearest supplier: neither table is small."""
+    at = lambda k, a, m: (F.col(k) * a % m - m // 2).cast("double")
+    there = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), at("s_suppkey", 37, 180).alias("lat"), at("s_suppkey", 91, 360).alias("lng"))
+    points = table(spark, sf, "customer").select("c_custkey", at("c_custkey", 17, 180).alias("lat"), at("c_custkey", 53, 360).alias("lng"))
+    return places.nearest_by_grid(points, there, "c_custkey", 8.0)
+
+
+@query("""WITH RECURSIVE units AS (SELECT concat('r', r_regionkey) AS id, r_name AS name, NULL AS parent_id FROM region UNION ALL SELECT concat('n', n_nationkey), n_name, concat('r', n_regionkey) FROM nation UNION ALL SELECT concat('c', c_custkey), c_name, concat('n', c_nationkey) FROM customer UNION ALL SELECT concat('o', o_orderkey), o_orderstatus, concat('c', o_custkey) FROM orders),
+ down AS (SELECT id, parent_id, id AS root_id, 0 AS depth, name AS path FROM units WHERE parent_id IS NULL UNION ALL SELECT u.id, u.parent_id, root_id, depth + 1, concat(path, ' > ', name) FROM units u JOIN down ON u.parent_id = down.id) SELECT id, parent_id, root_id, depth, path FROM down""")
+def rel_tree(spark, sf):
+    """Orders below customers below nations below regions, as one tree."""
+    level = lambda t, k, name, up: table(spark, sf, t).select(F.concat(F.lit(k[0]), F.col(k[1])).alias("id"), F.col(name).alias("name"), (F.concat(F.lit(up[0]), F.col(up[1])) if up else F.lit(None).cast("string")).alias("parent_id"))
+    rows = level("region", ("r", "r_regionkey"), "r_name", None).union(level("nation", ("n", "n_nationkey"), "n_name", ("r", "n_regionkey")))
+    rows = rows.union(level("customer", ("c", "c_custkey"), "c_name", ("n", "c_nationkey"))).union(level("orders", ("o", "o_orderkey"), "o_orderstatus", ("c", "o_custkey")))
+    return places.tree_paths(rows).filter("status = 'ok'").select("id", "parent_id", "root_id", "depth", "path")
+
+
 @query("SELECT a.id, a.name, a.type, a.parent_id, b.name AS parent_name, concat_ws(' > ', b.name, a.name) AS path FROM locations a LEFT JOIN locations b ON a.parent_id = b.id", LOCATIONS)
 def rel_hierarchy(spark, sf):
     return rel.known_names(locations(spark, sf))

@@ -133,14 +133,69 @@ ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 USUAL = "[" + ", ".join(f"concat({ROOT}, '{p}')" for p in markup.FEED_PATHS) + "]"
 
 
-@query(f"SELECT page_id, unnest(f) AS feed_url, (generate_subscripts(f, 1) - 1)::bigint AS position FROM (SELECT page_id, CASE {KIND} WHEN 'a' THEN [concat({ROOT}, '/all.xml'), 'https://feeds.example/x'] WHEN 'b' THEN [concat({ROOT}, '/news/rss')] ELSE {USUAL} END AS f FROM pages)")
-def html_feeds(spark, sf):
-    """Pages over https name two feeds, those of .org hosts one; the others are tried at the usual places."""
-    two = '<link rel="alternate" type="application/rss+xml" href="/all.xml"><link type="text/xml" href="https://feeds.example/x"><link type="application/xml" href="/all.xml">'
-    one = '<link type="application/atom+xml" title="x" href="news/rss">'
+FOLDER = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
+FEEDS = f"feeds AS (SELECT page_id, unnest(f) AS feed_url, unnest(t) AS feed_type, (generate_subscripts(f, 1) - 1)::bigint AS position FROM (SELECT page_id, CASE {KIND} WHEN 'a' THEN [concat({ROOT}, '/all.xml?a=1&b=2'), 'https://feeds.example/x', concat({FOLDER}, 'more.xml')] WHEN 'b' THEN [concat({FOLDER}, 'news/rss'), concat(regexp_extract(url, '^[a-z]+:'), '//cdn.example/f.xml')] ELSE {USUAL} END AS f, CASE {KIND} WHEN 'a' THEN ['rss', 'rss', 'rss'] WHEN 'b' THEN ['atom', 'rss'] ELSE [NULL, NULL, NULL, NULL, NULL, NULL]::varchar[] END AS t FROM pages))"
+
+
+def _feeds(spark, sf):
+    two = '<link rel="alternate" type="application/rss+xml" href="/all.xml?a=1&amp;b=2"><link href="https://feeds.example/x" type="text/xml"><link type="application/xml" href="/all.xml?a=1&b=2"><link type="application/xml" href="./sub/../more.xml">'
+    one = '<link type="application/atom+xml" title="x" href="news/rss"><link type="text/xml" href="//cdn.example/f.xml">'
     named = F.when(F.startswith("url", F.lit("https:")), two).when(F.contains("url", F.lit(".org")), one).otherwise('<link rel="icon" type="image/png" href="/i.png">')
     rows = markup.discovered_feeds(table(spark, sf, "pages").withColumn("html", F.concat(named, "html")))
-    return rows.select("page_id", "feed_url", F.col("position").cast("bigint").alias("position"))
+    return rows.withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("SELECT page_id, feed_url, feed_type, position FROM feeds", FEEDS)
+def html_feeds(spark, sf):
+    """Pages over https name three feeds, those of .org hosts two; the others are tried at the usual places."""
+    return _feeds(spark, sf)
+
+
+REPLY = "CASE WHEN left(md5(feed_url), 1) < '6' THEN 0 WHEN left(md5(feed_url), 1) < '8' THEN 1 ELSE 2 END"
+
+
+@query(f"SELECT page_id, feed_url, position, k::bigint AS item, concat('Item ', k::varchar, ' of ', feed_url) AS title, concat(feed_url, '?i=', k::varchar, '&x=1') AS url FROM (SELECT *, unnest(range(3)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS rn FROM feeds WHERE {REPLY} = 2) WHERE rn = 1)", FEEDS)
+def src_first_parse(spark, sf):
+    """From a page's candidates to the items of the first that is a feed with items. What each address replies goes by a hash of it: a page, a feed without items, a feed."""
+    feeds = _feeds(spark, sf)
+    first = F.left(F.md5(F.col("feed_url").cast("binary")), F.lit(1))
+    link = markup.xml_escaped(F.concat("feed_url", F.lit("?i=%d&x=1")))
+    item = lambda k: F.format_string("<item><title>Item %d of %s</title><link>%s</link></item>", F.lit(k), markup.xml_escaped(F.col("feed_url")), F.replace(link, F.lit("%d"), F.lit(str(k))))
+    body = F.when(first < "6", "<html>not found</html>").when(first < "8", "<rss><channel></channel></rss>").otherwise(F.concat(F.lit("<rss>"), *[item(k) for k in range(3)], F.lit("</rss>")))
+    fetched = feeds.select("feed_url").distinct().select("feed_url", body.alias("body"), F.lit("text/html").alias("content_type"))
+    found = connectors.first_parsed(feeds, fetched)
+    return found.select("page_id", "feed_url", "position", F.col("item").cast("bigint").alias("item"), "title", "url")
+
+
+# Titles begin anew with each item; a body holds all pages of a host, longest first by number.
+@query(f"""SELECT host, (rn - 1)::bigint AS position, title, url, length(summary)::bigint AS n_summary FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rn FROM (SELECT page_id, {HOST} AS host, {TITLE_OF} AS title, concat(url, CASE WHEN contains(url, '#') THEN '' ELSE '?a=1&b=2' END) AS url, left(repeat(concat({TITLE_OF}, ' tells; '), 40), 500) AS summary FROM pages WHERE {RAW_TITLE} <> '')) WHERE rn <= 20""")
+def feed_rss_many(spark, sf):
+    """Feeds of all pages of a host: the first twenty items in the feed's order, summaries cut to 500 characters, links with references."""
+    p = _pages(spark, sf).filter("raw_title != ''").withColumn("url", F.concat("url", F.when(F.contains("url", F.lit("#")), "").otherwise("?a=1&b=2")))
+    summary = F.repeat(F.concat("raw_title", F.lit(" tells; ")), F.lit(40))
+    item = F.format_string("<item><title>%s</title><link>%s</link><description>%s</description></item>", F.col("raw_title"), markup.xml_escaped(F.col("url")), summary)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("page_id")).alias("n"), item.alias("item"))))
+    bodies_ = p.groupBy(urls.host(F.col("url")).alias("feed_id")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(listed, lambda x: x["item"]), "\n"), F.lit("</rss>")).alias("body"))
+    return markup.rss_items(bodies_).select(F.col("feed_id").alias("host"), F.col("position").cast("bigint").alias("position"), "title", "url", F.length("summary").cast("bigint").alias("n_summary"))
+
+
+@query(r"""SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(lower(url), '/feed|/rss|\.xml|feedburner') OR contains(html, 'type="application/rss+xml"') OR contains(html, 'type="application/atom+xml"') THEN 'rss' END, CASE WHEN contains(html, 'wp-json') OR contains(html, 'WordPress') THEN 'wordpress' END, 'sitemap', CASE WHEN NOT regexp_matches(lower(url), '/feed|/rss|\.xml|/tag/|/category/') THEN 'article' END, 'reader') AS tried FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat(url, '/feed/x') WHEN page_id % 5 = 1 THEN concat(url, '/tag/x') ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN concat(html, '<link href="/wp-json/">') ELSE html END AS html FROM pages)""")
+def src_capable(spark, sf):
+    """The connectors that may be tried for a page, by its address and what it holds; some pages are given marks of both."""
+    p = table(spark, sf, "pages")
+    url = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/feed/x"))).when(F.col("page_id") % 5 == 1, F.concat("url", F.lit("/tag/x"))).otherwise(F.col("url"))
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<link href="/wp-json/">'))).otherwise(F.col("html"))
+    return p.select("page_id", F.array_join(connectors.capable(url, html), ",").alias("tried"))
+
+
+PART = "trim(regexp_replace(" + ENT.format("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+PARTS = [PART.replace("{tag}", t) for t in ("article", "main", "body")]
+
+
+@query("SELECT page_id, coalesce(" + ", ".join(f"CASE WHEN length({p}) > 200 THEN {p} END" for p in PARTS) + ", " + ", ".join(f"nullif({p}, '')" for p in PARTS) + ", '') AS text FROM pages")
+def html_best_text(spark, sf):
+    """The text of a rendered page: of article, main and body the first with more than 200 characters, else the first with any."""
+    return table(spark, sf, "pages").select("page_id", F.coalesce(markup.rendered_text(F.col("html")), F.lit("")).alias("text"))
 
 
 SELECTORS = {"containers": ["<article[^>]*>", "<div[^>]*class=\"[^\"]*(?:article|post|card)[^\"]*\"[^>]*>", "<div[^>]*class=\"[^\"]*ad[^\"]*\"[^>]*>"], "titles": ["<h[12][^>]*>", "<a[^>]*href=[^>]*>"], "dates": ["<time[^>]*>", "<meta[^>]*>"]}
@@ -335,13 +390,18 @@ def txt_fusion_evidence(spark, sf):
 
 
 def _kind_sql(pattern: str, most: int) -> str:
-    return f"array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(text, '{pattern}'))), 1, {most}), ';')"
+    found = f"regexp_extract_all(text, '{pattern}')"
+    if pattern.startswith(rf"\b{facts.CAPITAL}"):
+        # RE2 sees no word begin at a letter with a mark: capitals that begin a word are marked first.
+        name = f"~{facts.CAPITAL}{facts.SMALL}+"
+        found = f"list_transform(regexp_extract_all(regexp_replace(replace(text, '~', ' '), '(^|[^A-Za-z0-9_\\x{{00C0}}-\\x{{00FF}}])({facts.CAPITAL})', '\\1~\\2', 'g'), '{name}(?:\\s+{name}){{1,3}}'), lambda x: replace(x, '~', ''))"
+    return f"array_to_string(list_slice(list_sort(list_distinct({found})), 1, {most}), ';')"
 
 
-@query(f"SELECT doc_id, {', '.join(f'{_kind_sql(*v)} AS {k}s' for k, v in facts.ENTITIES.items())} FROM (SELECT doc_id, concat(text, ' On 3/4/2021, $ 12.500 mil in Paris.') AS text FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, {', '.join(f'{_kind_sql(*v)} AS {k}s' for k, v in facts.ENTITIES.items())} FROM (SELECT doc_id, concat(text, ' On 3/4/2021, $ 12.500 MILLONES or $5 mil in Paris, 7% of 12.345,6 on 4 de Mayo de 2020.') AS text FROM documents WHERE text IS NOT NULL)")
 def facts_entity_kinds(spark, sf):
-    """Dates, sums of money, numbers, names and places; each text is given one of the first two, which the tables lack."""
-    told = F.concat("text", F.lit(" On 3/4/2021, $ 12.500 mil in Paris."))
+    """Dates, sums of money, percentages, numbers, names and places; each text is given some of the first, which the tables lack."""
+    told = F.concat("text", F.lit(" On 3/4/2021, $ 12.500 MILLONES or $5 mil in Paris, 7% of 12.345,6 on 4 de Mayo de 2020."))
     found = facts.entities_by_kind(told)
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", *[F.array_join(c, ";").alias(f"{k}s") for k, c in found.items()])
 

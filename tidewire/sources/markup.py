@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions import urls
 from tidewire.functions.text import strip_tags, unescape
 from tidewire.functions.times import parse_date
 from tidewire.functions.urls import slug_title
@@ -19,6 +20,13 @@ def unwrapped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
 
 
+def link_text(markup: Column, tag: str) -> Column:
+    """The link that stands in the first element of that name: references are resolved, but not in a CDATA section."""
+    raw = F.regexp_extract(markup, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1)
+    marked = F.rlike(raw, F.lit(r"(?s)^\s*<!\[CDATA\["))
+    return F.nullif(F.trim(F.when(marked, unwrapped(raw)).otherwise(unescape(raw))), F.lit(""))
+
+
 def attribute(markup: Column, tag: str, name: str, where: str = "") -> Column:
     """An attribute of the first element ``tag`` that has it (and matches ``where``), null without one."""
     return F.nullif(F.regexp_extract(markup, f"(?is)<{tag}(?=[^>]*{where})[^>]*\\s{name}=[\"']([^\"']*)[\"']", 1), F.lit(""))
@@ -44,6 +52,16 @@ def best_text(candidates: list[Column], enough: int = 200) -> Column:
     return F.coalesce(*[F.when(F.length(c) > enough, c) for c in candidates], *candidates)
 
 
+#: Elements that hold a page's own text, best first.
+CONTAINERS = ("article", "main", "body")
+
+
+def rendered_text(html: Column, containers: tuple[str, ...] = CONTAINERS, enough: int = 200) -> Column:
+    """The visible text of the first container with more than ``enough`` characters, else of the first with any, else null."""
+    inside = lambda tag: F.nullif(page_text(F.regexp_extract(html, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1)), F.lit(""))
+    return best_text([inside(tag) for tag in containers], enough)
+
+
 def article(pages: DataFrame, least: int = 50, most: int = 3000) -> DataFrame:
     """(page_id, title, text, n_chars) of pages with a title and ``least`` characters of text."""
     parsed = pages.select("page_id", page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("whole"))
@@ -72,13 +90,15 @@ FEED_TYPES = r"(?:application/(?:rss\+|atom\+)?xml|text/xml)"
 
 
 def discovered_feeds(pages: DataFrame) -> DataFrame:
-    """(page_id, position, feed_url) from alternate links of pages (page_id, url, html), resolved; the usual places where there are none."""
-    tag = F.regexp_extract_all("html", F.lit(f"(?i)<link[^>]*type=[\"']{FEED_TYPES}[\"'][^>]*>"), F.lit(0))
-    hrefs = F.filter(F.transform(tag, lambda t: F.regexp_extract(t, "(?i)href=[\"']([^\"']+)[\"']", 1)), lambda h: h != "")
-    root = F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)
-    resolved = F.array_distinct(F.transform(hrefs, lambda h: F.when(F.rlike(h, F.lit("^[a-z]+://")), h).when(F.startswith(h, F.lit("/")), F.concat(root, h)).otherwise(F.concat(root, F.lit("/"), h))))
-    usual = F.transform(F.array(*map(F.lit, FEED_PATHS)), lambda p: F.concat(root, p))
-    return pages.select("page_id", F.posexplode(F.when(F.size(resolved) > 0, resolved).otherwise(usual)).alias("position", "feed_url"))
+    """(page_id, position, feed_url, feed_type) from the feed links of pages (page_id, url, html), resolved against the page; the usual places, of no known type, where there are none."""
+    tags = F.regexp_extract_all("html", F.lit(f"(?i)<link[^>]*type=[\"']{FEED_TYPES}[\"'][^>]*>"), F.lit(0))
+    parts = F.transform(tags, lambda t: F.struct(unescape(F.regexp_extract(t, "(?i)href=[\"']([^\"']+)[\"']", 1)).alias("href"), F.when(F.rlike(t, F.lit("(?i)type=[\"']application/atom")), "atom").otherwise("rss").alias("feed_type")))
+    named = F.filter(parts, lambda p: F.trim(p["href"]) != "")
+    found = F.transform(named, lambda p: F.struct(urls.resolved(p["href"], F.col("url")).alias("feed_url"), p["feed_type"].alias("feed_type")))
+    # Of links to one place the first counts.
+    first = F.filter(found, lambda p, i: F.array_position(F.transform(found, lambda q: q["feed_url"]), p["feed_url"]) == i + 1)
+    usual = F.transform(F.array(*map(F.lit, FEED_PATHS)), lambda p: F.struct(F.concat(urls.root(F.col("url")), p).alias("feed_url"), F.lit(None).cast("string").alias("feed_type")))
+    return pages.select("page_id", F.posexplode(F.when(F.size(first) > 0, first).otherwise(usual)).alias("position", "x")).select("page_id", "position", "x.*")
 
 
 def selectors(html: Column, patterns: list[str], most: int = 5, longest: int = 100) -> Column:
@@ -111,14 +131,15 @@ def rss_items(feeds: DataFrame, most: int = 20) -> DataFrame:
     x = F.col("block")
     image = media_url(x)
     summary = F.left(F.trim(strip_tags(unescape(F.coalesce(first_tag(x, "description"), first_tag(x, "content:encoded"), F.lit(""))))), F.lit(500))
-    rows = _item_rows(feeds, "item", most).select("feed_id", "position", unescape(first_tag(x, "title")).alias("title"), F.coalesce(first_tag(x, "link"), first_tag(x, "guid")).alias("url"), summary.alias("summary"), image.alias("image_url"), parse_date(first_tag(x, "pubDate")).alias("published_at"))
+    rows = _item_rows(feeds, "item", most).select("feed_id", "position", unescape(first_tag(x, "title")).alias("title"), F.coalesce(link_text(x, "link"), link_text(x, "guid")).alias("url"), summary.alias("summary"), image.alias("image_url"), parse_date(first_tag(x, "pubDate")).alias("published_at"))
     return rows.filter("title is not null and url is not null")
 
 
 def atom_items(feeds: DataFrame, most: int = 20) -> DataFrame:
-    """Entries of Atom bodies, like rss_items."""
+    """Entries of Atom bodies, like rss_items. The link is the alternate one, else one without a rel, else the first."""
     x = F.col("block")
-    rows = _item_rows(feeds, "entry", most).select("feed_id", "position", unescape(first_tag(x, "title")).alias("title"), attribute(x, "link", "href").alias("url"), F.left(F.trim(strip_tags(unescape(F.coalesce(first_tag(x, "summary"), first_tag(x, "content"), F.lit(""))))), F.lit(500)).alias("summary"), F.lit(None).cast("string").alias("image_url"), parse_date(F.coalesce(first_tag(x, "published"), first_tag(x, "updated"))).alias("published_at"))
+    url = unescape(F.coalesce(attribute(x, "link", "href", "\\srel=[\"']alternate[\"']"), F.nullif(F.regexp_extract(x, "(?is)<link(?![^>]*\\srel=)[^>]*\\shref=[\"']([^\"']*)[\"']", 1), F.lit("")), attribute(x, "link", "href")))
+    rows = _item_rows(feeds, "entry", most).select("feed_id", "position", unescape(first_tag(x, "title")).alias("title"), url.alias("url"), F.left(F.trim(strip_tags(unescape(F.coalesce(first_tag(x, "summary"), first_tag(x, "content"), F.lit(""))))), F.lit(500)).alias("summary"), F.lit(None).cast("string").alias("image_url"), parse_date(F.coalesce(first_tag(x, "published"), first_tag(x, "updated"))).alias("published_at"))
     return rows.filter("title is not null and url is not null")
 
 
