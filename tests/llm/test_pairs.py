@@ -33,14 +33,12 @@ def near_texts(n=40):
     return out
 
 
-def classes(texts, least=0.8, rare=0.001):
+def classes(texts, least=0.8):
     docs = [(t[0], (t[1] or "").split()) for t in texts]
     weigh = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
     sets = [weigh(w) for _, w in docs]
     n, df = len(docs), Counter(x for s in sets for x in s)
-    floor = max(rare * n, minhash.LEAST_COMMON)
-    top = math.log1p(n / floor)
-    idf = {x: math.log1p(n / c) / top if c > floor else 1.0 for x, c in df.items()}
+    idf = {x: math.log1p(n / c) / math.log1p(n / minhash.LEAST_COMMON) for x, c in df.items()}
     total = [sum(k * idf[x] for x, k in s.items()) for s in sets]
     root = list(range(n))
 

@@ -14,6 +14,7 @@ number the corpus's words, and 20 more, so that one in a million shares its name
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Iterator
 
@@ -104,6 +105,16 @@ def parts(batches, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
+    """The rows of a batch one by one, as each may have megabytes; memory that is free afterwards goes back to the system."""
+    taken = [batch.column(batch.schema.get_field_index(c)) for c in names]
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in taken]
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """Whole numbers with their first bytes together, then their second ones, and so on, compressed."""
     planes = np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T)
@@ -168,7 +179,7 @@ def document_frequencies(packed: DataFrame, ranges: int, shift: int) -> DataFram
 
     def send(batches):
         for b in batches:
-            for part, *body in zip(*(b.column(c).to_pylist() for c in ("part", "sizes", "known", "codes")), strict=True):
+            for part, *body in rows_of(b, "part", "sizes", "known", "codes"):
                 found, rank, _, _ = counted(*shingles(*unpacked(*body), shift))
                 n = np.bincount(rank, minlength=len(found)).astype("<u4")
                 at = [0, *np.searchsorted(found, edges).tolist(), len(found)]
@@ -263,7 +274,7 @@ def signatures(packed: DataFrame, frequencies: DataFrame, firsts: DataFrame, n_d
 
     def run(batches):
         for b in batches:
-            for docs, pieces, places, *body in zip(*(b.column(c).to_pylist() for c in ("rows", "found", "places", "sizes", "known", "codes")), strict=True):
+            for docs, pieces, places, *body in rows_of(b, "rows", "found", "places", "sizes", "known", "codes"):
                 w, offsets = unpacked(*body)
                 found, rank, doc, times = counted(*shingles(w, offsets, shift))
                 known = np.concatenate([restored(p["counts"], "<u4") for p in pieces]) if pieces else np.empty(0, "<u4")
