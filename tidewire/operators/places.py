@@ -52,27 +52,51 @@ def nearest_by_grid(points: DataFrame, places: DataFrame, key: str, cell: float
         size *= 2
 
 
+def _climbed(rows: DataFrame, rounds: int, carried: bool) -> DataFrame:
+    """(id, name, parent_id, up, top, steps, lost, way): how far each row got in doubling rounds; ``up`` is null at a root.
+
+    ``lost`` rows came to an id that is not there. ``way`` has the names from the row up, if they
+    are to be ``carried``.
+    """
+    way = F.array("name") if carried else F.array().cast("array<string>")
+    state = written(rows.select("id", "name", "parent_id", F.col("parent_id").alias("up"), F.col("id").alias("top"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("lost"), way.alias("way")))
+    goes = F.col("up").isNotNull() & ~F.col("lost")
+    for _ in range(rounds):
+        if state.filter(goes).isEmpty():
+            break
+        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("top").alias("next_top"), F.col("steps").alias("more"), F.col("lost").alias("lost_there"), F.col("way").alias("way_on"), F.lit(True).alias("there"))
+        lost = F.col("lost") | (goes & (F.col("there").isNull() | F.coalesce("lost_there", F.lit(False))))
+        on = goes & ~lost
+        # The step to the row above is one of its own.
+        state = written(
+            state.join(ahead, "up", "left").select(
+                "id",
+                "name",
+                "parent_id",
+                F.when(on, F.col("next")).otherwise(F.when(~goes, F.col("up"))).alias("up"),
+                F.when(on, F.col("next_top")).otherwise(F.col("top")).alias("top"),
+                F.when(on, F.col("steps") + F.lit(1) + F.col("more")).otherwise(F.col("steps")).alias("steps"),
+                lost.alias("lost"),
+                F.when(on, F.concat("way", "way_on")).otherwise(F.col("way")).alias("way"),
+            )
+        )
+    return state
+
+
 def tree_paths(rows: DataFrame, by: str = " > ") -> DataFrame:
     """(id, name, parent_id, root_id, depth, path, status) of rows (id, name, parent_id) of a tree of any depth.
 
     A row without a parent is a root of depth 0. status is ok, orphan where the way up ends at
     an id that is not there, or cycle where it does not end; the latter two have no root, depth
-    and path. Each round doubles the steps that a row has taken, so that there are as many as
-    the binary digits of the depth; when there are more than those of the number of rows, what
-    still goes up goes round.
+    and path. Each round doubles the steps that a row has taken, so there are as many rounds as
+    the depth has binary digits; what still goes up after as many as the number of rows has
+    goes round. Names are carried by the rows that are known to end only. ids are unique.
     """
-    node = F.struct(F.col("id"), F.col("name"))
-    state = written(rows.select("id", "name", "parent_id", F.col("parent_id").alias("up"), F.array(node).alias("way"), F.lit(False).alias("lost")))
-    limit = max(state.count(), 1).bit_length() + 1
-    for _ in range(limit):
-        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("way").alias("more"), F.col("lost").alias("lost_there"), F.lit(True).alias("there"))
-        joined = state.join(ahead, "up", "left")
-        goes = F.col("up").isNotNull() & ~F.col("lost")
-        lost = F.col("lost") | (goes & (F.col("there").isNull() | F.coalesce("lost_there", F.lit(False))))
-        state = written(joined.select("id", "name", "parent_id", F.when(goes & ~lost, F.col("next")).otherwise(F.when(F.col("lost"), F.col("up"))).alias("up"), F.when(goes & ~lost, F.concat("way", "more")).otherwise(F.col("way")).alias("way"), lost.alias("lost")))
-        if state.filter("up is not null and not lost").isEmpty():
-            break
+    climbed = _climbed(rows, rows.count().bit_length() + 1, False)
     status = F.when(F.col("lost"), "orphan").when(F.col("up").isNotNull(), "cycle").otherwise("ok")
-    whole = status == "ok"
-    path = F.array_join(F.reverse(F.transform("way", lambda x: x["name"])), by)
-    return state.select("id", "name", "parent_id", F.when(whole, F.element_at("way", -1)["id"]).alias("root_id"), F.when(whole, F.size("way") - 1).alias("depth"), F.when(whole, path).alias("path"), status.alias("status"))
+    judged = written(climbed.select("id", "name", "parent_id", F.col("top").alias("root_id"), F.col("steps").alias("depth"), status.alias("status")))
+    ok = judged.filter("status = 'ok'")
+    deepest = ok.agg(F.max("depth")).first()[0] or 0
+    named = _climbed(ok.select("id", "name", "parent_id"), deepest.bit_length() + 1, True).select("id", F.array_join(F.reverse("way"), by).alias("path"))
+    whole = F.col("status") == "ok"
+    return judged.join(named, "id", "left").select("id", "name", "parent_id", F.when(whole, F.col("root_id")).alias("root_id"), F.when(whole, F.col("depth").cast("int")).alias("depth"), "path", "status")

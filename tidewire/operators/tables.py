@@ -60,13 +60,13 @@ class KeyedTable:
     def change(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], token: str = "") -> int:
         """Replaces the rows of the batch's folders by merge(old rows, batch); returns the change's number.
 
-        A batch with a ``token`` that an earlier change had is not merged again, so a stream may
-        give the numbers of its batches. Two writers that start from the same change collide:
+        A batch with a ``token`` that one of the last ten changes had is not merged again, so a
+        stream may give the numbers of its batches. Two writers that start from the same change collide:
         the later one fails and leaves nothing that is read.
         """
         done = self.numbers()
         number = done[-1] + 1 if done else 0
-        if token and any(self.spark.read.parquet(f"{self.path}/manifests/{n}").filter(F.col("token") == token).count() for n in done):
+        if token and done and not self.spark.read.parquet(*[f"{self.path}/manifests/{n}" for n in done[-10:]]).filter(F.col("token") == token).isEmpty():
             return done[-1]
         touched = [r[0] for r in batch.select(self.bucket()).distinct().collect()]  # at most ``buckets`` rows
         before = self.manifest()

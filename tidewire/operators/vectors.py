@@ -215,8 +215,7 @@ def leaders(vectors: DataFrame, least: float = 0.85, cells: int | None = None, f
     """
     if least <= 0:
         raise ValueError("least must be positive")
-    copies = written(usable(vectors).groupBy("vector").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids")).select("vector", F.col("first").alias("id"), "ids"))
-    distinct = copies.select("id", "vector")
+    distinct = written(usable(vectors).groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector"))
     centres, _ = fitted(distinct, cells or min(MOST_CELLS, max(1, round(distinct.count() ** 0.5))))
     placed = written(in_cells(distinct, centres))
     width = np.full(len(centres), -1.0)
@@ -242,8 +241,10 @@ def leaders(vectors: DataFrame, least: float = 0.85, cells: int | None = None, f
     leading = written(last if leading is None else leading.select("cell", "id", "vector", "angle").union(last))
     of = earlier(placed, leading).select(F.col("query_id").alias("own"), F.col("id").alias("leader"))
     leads = leading.select("id", F.lit(True).alias("leads"))
-    labelled = copies.select("id", "ids").join(of, F.col("id") == F.col("own"), "left").join(leads, "id", "left")
-    return labelled.select(F.explode("ids").alias("own"), F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader")).select(F.col("own").alias("id"), "leader")
+    labelled = written(distinct.join(of, F.col("id") == F.col("own"), "left").join(leads, "id", "left").select("id", "vector", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader")))
+    # A vector that many rows repeat is one row here; its copies are dealt out by the join as they come.
+    copies = usable(vectors).join(labelled.withColumnRenamed("id", "first"), "vector").filter("id != first").select("id", "leader")
+    return labelled.select("id", "leader").unionByName(copies)
 
 
 def _greedy(least: float):

@@ -299,6 +299,15 @@ def clu_signature(spark, sf):
     return clusters.by_signature(texts(spark, sf).select("id", "title"))
 
 
+WHOLE_SIGNATURE = SIG_WORDS.format(NORM.format("coalesce(text, '')"))
+
+
+@query(f"SELECT id, left(md5(signature), 12) AS cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY signature) AS n FROM (SELECT doc_id AS id, array_to_string(list_sort(list_slice(list_sort(list_transform(list_distinct({WHOLE_SIGNATURE}), lambda w: (-length(w), w))), 1, 6).list_transform(lambda x: x[2])), '|') AS signature FROM documents)) WHERE n >= 2 AND signature <> ''")
+def clu_text_signature(spark, sf):
+    """Documents whose whole texts have the same longest words."""
+    return clusters.by_signature(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("title")))
+
+
 def _titles(spark, sf):
     return texts(spark, sf).select("id", "title")
 

@@ -314,8 +314,7 @@ def fn_media_chain(spark, sf):
     """The picture of an item by the chain of places, and the videos of its text."""
     u = lambda end: F.concat(F.col("url"), F.lit(end))
     block = F.when(F.startswith("url", F.lit("https:")), F.format_string('<enclosure url="%s" type="image/png"/><media:content url="%s"/>', u("/e.png"), u("/m.jpg"))).when(F.contains("url", F.lit(".org")), F.format_string('<enclosure url="%s" type="audio/mp3"/><enclosure url="%s" type="image/png"/>', u("/a.mp3"), u("/e.png"))).otherwise(F.format_string('<description>&lt;img src="%s"&gt; <video src="%s"></video></description>', u("/i.gif"), u("/v.mp4")))
-    videos = F.regexp_extract_all(block, F.lit("(?i)<video[^>]*src=[\"']([^\"']+)[\"']"), F.lit(1))
-    return table(spark, sf, "pages").select("page_id", markup.media_url(block).alias("image"), F.array_join(videos, ",").alias("videos"))
+    return table(spark, sf, "pages").select("page_id", markup.media_url(block).alias("image"), F.array_join(markup.videos(block), ",").alias("videos"))
 
 
 @query("SELECT conv_id, count(*) FILTER (trim(x) <> '') AS n FROM (SELECT conv_id, unnest(string_split(concat_ws(',', role, ' ', '', turn::varchar), ',')) AS x FROM conversations) GROUP BY 1")

@@ -167,6 +167,11 @@ def media_url(block: Column) -> Column:
     return F.coalesce(attribute(block, "media:content", "url"), attribute(block, "media:thumbnail", "url"), attribute(block, "enclosure", "url", "type=[\"']image"), attribute(block, "enclosure", "url"), attribute(unescape(block), "img", "src"))
 
 
+def videos(block: Column) -> Column:
+    """Sources of the video elements of a feed item's text, in order."""
+    return F.regexp_extract_all(block, F.lit("(?i)<video[^>]*src=[\"']([^\"']+)[\"']"), F.lit(1))
+
+
 def reader_reply(replies: DataFrame) -> DataFrame:
     """(id, url, title, summary, text) of a reader service's JSON replies (id, url, body); those without content go."""
     data = F.from_json("body", "struct<data:struct<title:string,content:string>>")["data"]
