@@ -2,8 +2,9 @@
 
 Every input partition is a run of digests. A round merges the runs whose numbers agree
 but for their lowest bits, so ``fan_in`` runs meet at a time (a binomial tree with
-log2(fan_in) levels a round), and each merge keeps one verified candidate per digest. A
-digest that fills a third of the input arrives at each round as one row per run.
+log2(fan_in) levels a round), and each merge keeps one verified candidate per digest. What a
+round leaves is written as sorted runs, so a lost executor costs no earlier round. A digest
+that fills a third of the input arrives at each round as one row per run.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import SPACE_CHARS, cut, join_small, text_or_empty
+from tidewire.llm.common import SPACE_CHARS, cut, join_small, release, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -33,8 +34,9 @@ def digest_runs(docs: DataFrame) -> DataFrame:
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    """One row per run and digest: the smallest candidate and the number of rows behind it."""
-    return runs.groupBy("run", "digest", "proof").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    """One row per run and digest, in their order: the smallest candidate and the number of rows behind it."""
+    merged = runs.groupBy("run", "digest", "proof").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    return cut(merged.sortWithinPartitions("run", "digest", "proof"))
 
 
 def tree_merge(runs: DataFrame, fan_in: int = 8) -> DataFrame:
@@ -48,7 +50,8 @@ def tree_merge(runs: DataFrame, fan_in: int = 8) -> DataFrame:
     last = runs.agg(F.max("run")).first()[0] or 0
     while last:
         last >>= bits
-        merged = _merge(merged.withColumn("run", F.shiftright("run", bits)))
+        before, merged = merged, _merge(merged.withColumn("run", F.shiftright("run", bits)))
+        release(before)
     return merged.drop("run")
 
 
