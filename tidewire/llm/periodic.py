@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewire.llm.chunks import column, small_batches
 from tidewire.llm.common import text_or_empty
