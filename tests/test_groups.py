@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
