@@ -6,11 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def rounded(part: Column, whole: Column, digits: int) -> Column:
+    """The quotient of two whole numbers, neither negative, rounded half up; the rounding is done on whole numbers, so no order of addition can change it."""
+    long = lambda c: c.cast("decimal(38,0)")
+    n = F.call_function("div", long(part) * (2 * 10**digits) + long(whole), long(whole) * 2)
+    return n.cast("double") / 10**digits
+
+
 def method_scores(attempts: DataFrame, *keys: str, slowest_ms: float = 60_000.0) -> DataFrame:
-    """Attempts, success rate, mean duration and score (0.6 of success, 0.4 of speed) per method within ``keys``."""
-    speed = F.greatest(F.lit(0.0), 1 - F.avg("duration_ms") / slowest_ms)
-    rate = F.sum("success").cast("double") / F.count("*")
-    return attempts.groupBy(*keys, "method").agg(F.count("*").alias("n"), F.round(rate, 4).alias("success_rate"), F.round(F.avg("duration_ms"), 2).alias("mean_ms"), F.round(0.6 * rate + 0.4 * speed, 3).alias("score"))
+    """Attempts, success rate, mean duration and score (0.6 of success, 0.4 of speed) per method within ``keys``.
+
+    Durations count in whole microseconds; attempts without one have no share in the mean and in speed.
+    """
+    slowest, long = round(slowest_ms * 1000), lambda c: c.cast("decimal(38,0)")
+    micros = F.round(F.col("duration_ms") * 1000).cast("bigint")
+    summed = attempts.groupBy(*keys, "method").agg(F.count("*").alias("n"), F.sum("success").cast("bigint").alias("good"), F.count(micros).alias("timed"), F.coalesce(F.sum(micros), F.lit(0)).alias("micros"))
+    n, good, timed, spent = (long(F.col(c)) for c in ("n", "good", "timed", "micros"))
+    # 0.6 * good / n + 0.4 * (1 - spent / (timed * slowest)), both over one denominator.
+    limit = timed * long(F.lit(slowest))
+    both = F.when(F.col("timed") > 0, rounded(good * limit * 6 + n * F.greatest(limit - spent, long(F.lit(0))) * 4, n * limit * 10, 3)).otherwise(rounded(good * 6, n * 10, 3))
+    return summed.select(*keys, "method", "n", rounded(good, n, 4).alias("success_rate"), F.when(F.col("timed") > 0, rounded(spent, timed * 1000, 2)).alias("mean_ms"), both.alias("score"))
 
 
 def best_methods(scores: DataFrame, *keys: str) -> DataFrame:

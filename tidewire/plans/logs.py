@@ -45,7 +45,9 @@ def win_first_per_group(spark, sf):
     return rel.first_per(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), 3, ["source"], F.desc("n_chars"), F.col("doc_id")).select("doc_id", "source")
 
 
-SCORE_SQL = "count(*) AS n, round(sum(success)::double / count(*), 4) AS success_rate, round(avg(duration_ms), 2) AS mean_ms, round(0.6::double * (sum(success)::double / count(*)) + 0.4::double * greatest(0, 1 - avg(duration_ms) / 60000), 3) AS score"
+# Durations are summed in whole microseconds and quotients are rounded half up as whole numbers, so that no order of addition moves a score over a rounding boundary.
+MICROS_SQL = "sum(round(duration_ms * 1000)::bigint)"
+SCORE_SQL = f"count(*) AS n, ((20000 * sum(success) + count(*)) // (2 * count(*)))::double / 10000 AS success_rate, ((200 * {MICROS_SQL} + 1000 * count(*)) // (2000 * count(*)))::double / 100 AS mean_ms, ((2000 * (6 * sum(success) * 60000000 + 4 * greatest(0, 60000000 * count(*) - {MICROS_SQL})) + 600000000 * count(*)) // (1200000000 * count(*)))::double / 1000 AS score"
 
 
 @query(f"SELECT source_key, method, {SCORE_SQL} FROM attempts GROUP BY 1, 2", ATTEMPTS)
