@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tidewire.operators import health
+from tidewire.operators import health, relational
 
 
 @pytest.mark.parametrize(("micros", "score"), [((225_000,), 0.999), ((100_000, 200_000, 375_000), 0.999), ((225_001,), 0.998), ((90_000_000,), 0.6)])
@@ -17,3 +17,10 @@ def test_scores_on_a_boundary(spark, micros, score):
 def test_scores_without_durations(spark):
     rows = spark.createDataFrame([("m", 1, None), ("m", 0, None), ("n", 1, 30_000.0), ("n", 0, None)], "method string, success int, duration_ms double")
     assert {r["method"]: (r["score"], r["mean_ms"]) for r in health.method_scores(rows).collect()} == {"m": (0.3, None), "n": (0.5, 30_000.0)}
+
+
+@pytest.mark.parametrize("order", [[0.0, 0.6, 0.7, 0.7], [0.7, 0.0, 0.7, 0.6], [0.1, 0.5, 0.7, 0.7], [0.3, 0.4, 0.6, 0.7]])
+def test_mean_reliability_on_a_boundary(spark, order):
+    rows = [(1, None, r) for r in order] + [(2, None, r) for r in (0.6, 0.7, 0.8)] + [(3, 0.1, 0.9), (3, -0.40005, 0.9)]
+    got = {r["id"]: r["bias"] for r in relational.fallback_bias(spark.createDataFrame(rows, "id long, bias double, reliability double").coalesce(1), "id").collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: -0.15}

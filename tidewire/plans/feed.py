@@ -331,7 +331,8 @@ def rel_value_frequency(spark, sf):
     return rel.top(rel.counts_by(cards(spark, sf), "bias_signed"), 10, F.desc("n"), F.col("bias_signed"))
 
 
-@query("SELECT l_orderkey AS id, round(coalesce(avg(bias), CASE WHEN avg(reliability) > 0.7 THEN 0.15 WHEN avg(reliability) < 0.5 THEN -0.15 END, 0.0), 4)::double AS bias FROM (SELECT l_orderkey, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 21 - 10)::double / 10 END AS bias, (s_suppkey % 10)::double / 10 AS reliability FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY 1")
+# Both columns are whole tenths, added as such: a mean of exactly 0.5 or 0.7 is on neither side.
+@query("SELECT l_orderkey AS id, CASE WHEN count(bias) > 0 THEN sign(sum(bias)) * ((abs(sum(bias)) * 2000 + count(bias)) // (2 * count(bias)))::double / 10000 + 0.0::double WHEN sum(reliability) > 7 * count(*) THEN 0.15 WHEN sum(reliability) < 5 * count(*) THEN -0.15 ELSE 0 END::double AS bias FROM (SELECT l_orderkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 21 - 10 END AS bias, s_suppkey % 10 AS reliability FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY 1")
 def rel_source_bias(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, (F.col("s_suppkey") % 21 - 10).cast("double") / 10).alias("bias"), ((F.col("s_suppkey") % 10).cast("double") / 10).alias("reliability"))
     return rel.fallback_bias(table(spark, sf, "lineitem").join(s, "l_suppkey").withColumnRenamed("l_orderkey", "id"), "id")
