@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from crossengine import compare
 
 from tidewire.operators import health, relational
+from tidewire.plans import ORACLES, QUERIES, items  # noqa: F401  it registers its queries
 
 
 @pytest.mark.parametrize(("micros", "score"), [((225_000,), 0.999), ((100_000, 200_000, 375_000), 0.999), ((225_001,), 0.998), ((90_000_000,), 0.6)])
@@ -24,3 +26,19 @@ def test_mean_reliability_on_a_boundary(spark, order):
     rows = [(1, None, r) for r in order] + [(2, None, r) for r in (0.6, 0.7, 0.8)] + [(3, 0.1, 0.9), (3, -0.40005, 0.9)]
     got = {r["id"]: r["bias"] for r in relational.fallback_bias(spark.createDataFrame(rows, "id long, bias double, reliability double").coalesce(1), "id").collect()}
     assert got == {1: 0.0, 2: 0.0, 3: -0.15}
+
+
+def both(spark, folder, name, table, rows, schema):
+    """What differs between a query and its SQL over a table of these rows."""
+    import duckdb
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    return compare(QUERIES[name](spark, f"file://{folder}"), con, ORACLES[name])
+
+
+def test_feeds_with_odd_titles(spark, tmp_path):
+    titles = ["Etre", "A", "A &lt;b&gt;bold&lt;/b&gt; end", "&nbsp;Foo", "a < b > c", "<![CDATA[Hi there]]>", "<![CDATA[]]>", "&nbsp;", "&lt;p&gt;", "A longer title than those"]
+    rows = [(i, f"http://odd{i % 3}.example.net/a/{i}", f"<html><title>{t}</title><body>x</body></html>") for i, t in enumerate(titles)]
+    assert both(spark, tmp_path, "feed_rss_many", "pages", rows, "page_id long, url string, html string") is None

@@ -167,10 +167,14 @@ def src_first_parse(spark, sf):
     return found.select("page_id", "feed_url", "position", F.col("item").cast("bigint").alias("item"), "title", "url")
 
 
+#: A title as a feed tells it: without a CDATA section around it.
+FEED_TITLE = ENT.format(f"trim(regexp_replace({RAW_TITLE}, '(?s)^\\s*<!\\[CDATA\\[(.*?)\\]\\]>\\s*$', '\\1'))")
+
+
 # Titles begin anew with each item; a body holds all pages of a host, longest first by number.
-@query(f"""SELECT host, (rn - 1)::bigint AS position, title, url, length(summary)::bigint AS n_summary FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rn FROM (SELECT page_id, {HOST} AS host, {TITLE_OF} AS title, concat(url, CASE WHEN contains(url, '#') THEN '' ELSE '?a=1&b=2' END) AS url, left(repeat(concat({TITLE_OF}, ' tells; '), 40), 500) AS summary FROM pages WHERE {RAW_TITLE} <> '')) WHERE rn <= 20""")
+@query(f"""SELECT host, (rn - 1)::bigint AS position, title, url, length(summary)::bigint AS n_summary FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rn FROM (SELECT page_id, {HOST} AS host, {FEED_TITLE} AS title, concat(url, CASE WHEN contains(url, '#') THEN '' ELSE '?a=1&b=2' END) AS url, left(trim(regexp_replace(repeat(concat({TITLE_OF}, ' tells; '), 40), '<[^>]*>', '', 'g')), 500) AS summary FROM pages WHERE {RAW_TITLE} <> '')) WHERE rn <= 20 AND title <> ''""")
 def feed_rss_many(spark, sf):
-    """Feeds of all pages of a host: the first twenty items in the feed's order, summaries cut to 500 characters, links with references."""
+    """Feeds of all pages of a host: the first twenty items in the feed's order, summaries without tags and outer blanks, cut to 500 characters, links with references."""
     p = _pages(spark, sf).filter("raw_title != ''").withColumn("url", F.concat("url", F.when(F.contains("url", F.lit("#")), "").otherwise("?a=1&b=2")))
     summary = F.repeat(F.concat("raw_title", F.lit(" tells; ")), F.lit(40))
     item = F.format_string("<item><title>%s</title><link>%s</link><description>%s</description></item>", F.col("raw_title"), markup.xml_escaped(F.col("url")), summary)
