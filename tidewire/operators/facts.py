@@ -37,6 +37,8 @@ def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
 MONEY_UNITS = ("millones", "mil", "billones", "M", "K")
 #: Capital letters and small ones that names are written with.
 CAPITAL, SMALL = "[A-ZÁÉÍÓÚÑ]", "[a-záéíóúñ]"
+#: Where a word begins and ends, letters of any alphabet being parts of words; what \b means differs between versions of Java.
+BEGINS, ENDS = r"(?<![\p{L}\p{M}\p{Nd}_])", r"(?![\p{L}\p{M}\p{Nd}_])"
 
 
 def entity_kinds(units: tuple[str, ...] = MONEY_UNITS, of: str = "de", before_places: tuple[str, ...] = ("in", "en", "of", "de")) -> dict[str, tuple[str, int]]:
@@ -50,12 +52,12 @@ def entity_kinds(units: tuple[str, ...] = MONEY_UNITS, of: str = "de", before_pl
     unit = "|".join(sorted(units, key=lambda u: (-len(u), u)))
     name = f"{CAPITAL}{SMALL}+"
     return {
-        "date": (rf"(?i)\b(?:[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}|[0-9]{{1,2}}\s+{of}\s+[a-záéíóúñ]+\s+{of}\s+[0-9]{{4}})\b", 10),
-        "money": (rf"(?i)\$\s*[0-9][0-9.,]*(?:\s*(?:{unit})\b)?", 10),
-        "percent": (r"\b[0-9]+[%％]", 10),
-        "number": (r"\b(?:[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)\b", 10),
-        "name": (rf"\b{name}(?:\s+{name}){{1,3}}", 15),
-        "place": (rf"\b(?:{'|'.join(before_places)}) {name}", 15),
+        "date": (rf"(?iu){BEGINS}(?:[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}|[0-9]{{1,2}}\s+{of}\s+[a-záéíóúñ]+\s+{of}\s+[0-9]{{4}}){ENDS}", 10),
+        "money": (rf"(?iu)\$\s*[0-9][0-9.,]*(?:\s*(?:{unit}){ENDS})?", 10),
+        "percent": (rf"{BEGINS}[0-9]+[%％]", 10),
+        "number": (rf"{BEGINS}(?:[0-9]{{1,3}}(?:[.,][0-9]{{3}})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?){ENDS}", 10),
+        "name": (rf"{BEGINS}{name}(?:\s+{name}){{1,3}}", 15),
+        "place": (rf"{BEGINS}(?:{'|'.join(before_places)}) {name}", 15),
     }
 
 

@@ -392,16 +392,27 @@ def txt_fusion_evidence(spark, sf):
     return parts.select("id", F.array_join("framing.right", "|").alias("right_hits"), F.array_join("framing.left", "|").alias("left_hits"), F.array_join(names, "|").alias("entities"), sure.alias("confidence"))
 
 
-def _kind_sql(pattern: str, most: int) -> str:
-    found = f"regexp_extract_all(text, '{pattern}')"
-    if pattern.startswith(rf"\b{facts.CAPITAL}"):
-        # RE2 sees no word begin at a letter with a mark: capitals that begin a word are marked first.
-        name = f"~{facts.CAPITAL}{facts.SMALL}+"
-        found = f"list_transform(regexp_extract_all(regexp_replace(replace(text, '~', ' '), '(^|[^A-Za-z0-9_\\x{{00C0}}-\\x{{00FF}}])({facts.CAPITAL})', '\\1~\\2', 'g'), '{name}(?:\\s+{name}){{1,3}}'), lambda x: replace(x, '~', ''))"
-    return f"array_to_string(list_slice(list_sort(list_distinct({found})), 1, {most}), ';')"
-
-
-@query(f"SELECT doc_id, {', '.join(f'{_kind_sql(*v)} AS {k}s' for k, v in facts.ENTITIES.items())} FROM (SELECT doc_id, concat(text, ' On 3/4/2021, $ 12.500 MILLONES or $5 mil in Paris, 7% of 12.345,6 on 4 de Mayo de 2020.') AS text FROM documents WHERE text IS NOT NULL)")
+def _kind_sql(kind: str, pattern: str, most: int) -> str:
+    """What the patterns of facts find, in RE2, whose \\b knows ASCII only and which can't look behind.
+
+    Words of letters of any alphabet are told by marks put in the text: a ~ where a name or a
+    place begins, else a _ between a letter or digit of ASCII and one that is not.
+    """
+    word, other = r"\pL\pM\p{Nd}", "(" + "|".join(rf"[^\x00-\x7F\P{{{c}}}]" for c in ("L", "M", "Nd")) + ")"
+    bare = pattern.replace(facts.BEGINS, "").replace("(?iu)", "").replace(r"\s", r"[\s\x0B]")
+    if kind in ("name", "place"):
+        first = facts.CAPITAL if kind == "name" else bare[: bare.index(" ") + 1] + facts.CAPITAL
+        text = f"regexp_replace(replace(text, '~', '|'), '(^|[^{word}_])({first})', '\\1~\\2', 'g')"
+        found = bare.replace(facts.CAPITAL, f"~{facts.CAPITAL}") if kind == "name" else f"~{bare}"
+        return f"array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all({text}, '{found}'), lambda x: replace(x, '~', '')))), 1, {most}), ';')"
+    # Months have letters with marks themselves.
+    plain = "([0-9_])" if kind == "date" else "([A-Za-z0-9_])"
+    text = f"regexp_replace(regexp_replace(text, '{plain}{other}', '\\1_\\2', 'g'), '{other}{plain}', '\\1_\\2', 'g')"
+    found = ("(?i)" if "(?iu)" in pattern else "") + ("\\b" if facts.BEGINS in pattern else "") + bare.replace(facts.ENDS, "\\b")
+    return f"array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all({text}, '{found}'))), 1, {most}), ';')"
+
+
+@query(f"SELECT doc_id, {', '.join(f'{_kind_sql(k, *v)} AS {k}s' for k, v in facts.ENTITIES.items())} FROM (SELECT doc_id, concat(text, ' On 3/4/2021, $ 12.500 MILLONES or $5 mil in Paris, 7% of 12.345,6 on 4 de Mayo de 2020.') AS text FROM documents WHERE text IS NOT NULL)")
 def facts_entity_kinds(spark, sf):
     """Dates, sums of money, percentages, numbers, names and places; each text is given some of the first, which the tables lack."""
     told = F.concat("text", F.lit(" On 3/4/2021, $ 12.500 MILLONES or $5 mil in Paris, 7% of 12.345,6 on 4 de Mayo de 2020."))
