@@ -56,3 +56,15 @@ def test_words_of_any_alphabet(spark, tmp_path):
     got = [{k: r[k] for k in kinds if r[k]} for r in spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id").select(*[c.alias(k) for k, c in kinds.items()]).collect()]
     assert got[0] == {"place": ["en Keit"]} and got[1] == {"place": ["in Rom"]} and got[2] == {"number": ["7"], "percent": ["7%"]}
     assert got[3]["money"] == ["$5", "$6 MIL"] and got[4]["date"] == ["4 DE MIÉRCOLES DE 2020"] and "place" not in got[7]
+
+
+def test_crowded_spots_do_not_meet_in_pairs(spark):
+    """Three thousand points and as many places at three spots; before, the join alone made three million rows."""
+    from tidewire.operators import places
+
+    at = lambda i: (float(i % 3 * 40 - 40), float(i % 3 * 10))
+    rows = lambda s: [(i, *at(i + s)) for i in range(3000)]
+    points, held = spark.createDataFrame(rows(0), "k long, lat double, lng double"), spark.createDataFrame(rows(1), "id long, lat double, lng double")
+    found = places.nearest_by_grid(points, held, "k", 8.0)
+    assert {(r["k"], r["place_id"]) for r in found.collect()} == {(i, (i + 2) % 3) for i in range(3000)}
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()

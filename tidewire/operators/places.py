@@ -15,40 +15,41 @@ def nearest_by_grid(points: DataFrame, places: DataFrame, key: str, cell: float
     point is done when the nearest of them is no further than the edge of those nine, beyond
     which nothing nearer can be. The others go on with cells of twice the size, until nine
     cells hold every place; so a point far from all places takes a few rounds more, and
-    nothing is broadcast. Degrees are plane: the date line is an edge, and a place across it
+    nothing is broadcast. What is at one and the same spot is one point, and one place by its
+    smallest id, so crowded spots do not meet in pairs; and the first cells are no larger than
+    a few spots each take up on average. Degrees are plane: the date line is an edge, and a place across it
     is 360 degrees away. Points or places with nulls are left out; without places no point has
     a row.
     """
-    known = written(places.select(F.col("id").alias("place_id"), F.col("lat").cast("double").alias("p_lat"), F.col("lng").cast("double").alias("p_lng")).filter("place_id is not null and p_lat is not null and p_lng is not null"))
-    left = points.select(key, F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).filter(f"{key} is not null and lat is not null and lng is not null")
+    known = written(places.select(F.col("id").alias("place_id"), F.col("lat").cast("double").alias("p_lat"), F.col("lng").cast("double").alias("p_lng")).filter("place_id is not null and p_lat is not null and p_lng is not null").groupBy("p_lat", "p_lng").agg(F.min("place_id").alias("place_id")))
+    asking = points.select(key, F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).filter(f"{key} is not null and lat is not null and lng is not null")
     bounds = [F.max(F.greatest(F.abs("p_lat"), F.abs("p_lng"))).alias("far")]
     far = known.agg(*bounds).first()["far"]
     if far is None:
-        return left.select(key, F.lit(None).cast(dict(known.dtypes)["place_id"]).alias("place_id")).filter("false")
-    far = max(far, left.agg(F.max(F.greatest(F.abs("lat"), F.abs("lng")))).first()[0] or 0.0)
-    left, done = written(left), None
+        return asking.select(key, F.lit(None).cast(dict(known.dtypes)["place_id"]).alias("place_id")).filter("false")
+    far = max(far, asking.agg(F.max(F.greatest(F.abs("lat"), F.abs("lng")))).first()[0] or 0.0)
+    left, done = written(asking.select("lat", "lng").distinct()), None
 
     def square(c: Column) -> Column:
         return F.floor(c / size).cast("bigint")
 
-    size = cell
+    size = min(cell, max(far, cell) * 4 / known.count() ** 0.5)
     while True:
         every = size > far  # all there is lies in the four cells around zero, and each point sees those
         around = lambda c: F.explode(F.sequence(square(F.col(c)) - 1, square(F.col(c)) + 1))
         asked = left.select("*", around("lat").alias("row")).select("*", around("lng").alias("column"))
         held = known.select("*", square(F.col("p_lat")).alias("row"), square(F.col("p_lng")).alias("column"))
         d = F.pow(F.col("p_lat") - F.col("lat"), 2) + F.pow(F.col("p_lng") - F.col("lng"), 2)
-        best = asked.join(held, ["row", "column"]).groupBy(key, "lat", "lng").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("best"))
+        best = asked.join(held, ["row", "column"]).groupBy("lat", "lng").agg(F.min(F.struct(d.alias("d"), "place_id")).alias("best"))
         edge = lambda c: F.least(F.col(c) - (square(F.col(c)) - 1) * size, (square(F.col(c)) + 2) * size - F.col(c))
         # At the edge itself another place may be as near, with a smaller id.
         sure = F.lit(True) if every else F.col("best.d") < F.pow(F.least(edge("lat"), edge("lng")), 2)
-        found = written(best.filter(sure).select(key, F.col("best.place_id").alias("place_id")))
+        found = written(best.filter(sure).select("lat", "lng", F.col("best.place_id").alias("place_id")))
         done = found if done is None else done.unionByName(found)
-        if every:
-            return done
-        left = written(left.join(found.select(key), key, "left_anti"))
-        if left.isEmpty():
-            return done
+        if not every:
+            left = written(left.join(found.select("lat", "lng"), ["lat", "lng"], "left_anti"))
+        if every or left.isEmpty():
+            return asking.distinct().join(done, ["lat", "lng"]).select(key, "place_id")
         size *= 2
 
 
