@@ -68,3 +68,13 @@ def test_crowded_spots_do_not_meet_in_pairs(spark):
     found = places.nearest_by_grid(points, held, "k", 8.0)
     assert {(r["k"], r["place_id"]) for r in found.collect()} == {(i, (i + 2) % 3) for i in range(3000)}
     assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_excerpt_before_a_long_end(spark):
+    """What no sign ends is passed over once; before, it was searched from each of its characters."""
+    from tidewire.functions import text
+
+    told = ["One is here. Two is there, too, and longer than fifty letters in all! " + "x" * 400_000, "no sign " * 3, "Short. tail", "...", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i long, t string")
+    got = [r[0] for r in rows.orderBy("i").select(text.excerpt(F.col("t"))).collect()]
+    assert got == ["One is here. Two is there, too, and longer than fifty letters in all!...", "no sign no sign no sign", "Short.", "...", ""]

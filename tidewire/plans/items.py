@@ -289,7 +289,7 @@ def src_cascade(spark, sf):
  (SELECT id, body, unnest(generate_series(1, len(s))) AS i, trim(unnest(s)) AS part, length(unnest(s)) AS raw FROM (SELECT id, body, CASE WHEN len(f) > 0 THEN f ELSE [body] END AS s FROM (SELECT id, body, regexp_extract_all(body, '[^.!?]*[.!?]+') AS f FROM (SELECT id, replace(body, chr(10), ' ') AS body FROM texts WHERE body <> '')))))) GROUP BY id)""", TEXTS)
 def fn_excerpt(spark, sf):
     """Whole sentences of each text up to about 280 characters."""
-    t = texts(spark, sf).filter("body <> ''").select("id", F.replace("body", F.lit("\n"), F.lit(" ")).alias("body"))
+    t = table(spark, sf, "documents").filter("text <> ''").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("body"))
     return t.select("id", text.excerpt(F.col("body")).alias("excerpt"))
 
 
