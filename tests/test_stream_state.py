@@ -183,3 +183,72 @@ def test_sessions_end_by_silence(spark, tmp_path):
     write(spark, tmp_path, [(1, 0, 1, "a"), (2, 20, 1, "a"), (3, 60, 1, "a"), (4, 10, 2, "a"), (5, 300, 3, "a")])
     out = streams.drained(streams.sessions(events(spark, tmp_path), "30 minutes"), "append", streams.shared_folder(spark))
     assert sorted((r["user_id"], int((r["w"]["start"] - BEGAN).total_seconds() // 60), r["n"]) for r in out.collect()) == [(1, 0, 2), (1, 60, 1), (2, 10, 1)]
+
+
+class Kept:
+    """A state of one key that counts how often it is used."""
+
+    used = 0
+
+    def __init__(self):
+        self.values = []
+
+    def exists(self):
+        Kept.used += 1
+        return bool(self.values)
+
+    def get(self):
+        Kept.used += 1
+        return self.values if isinstance(self.values, tuple) else iter(self.values) if self.values else None
+
+    def update(self, value):
+        Kept.used += 1
+        self.values = value
+
+    put = update
+
+    def appendValue(self, value):  # noqa: N802
+        Kept.used += 1
+        self.values = [*self.values, value]
+
+    def clear(self):
+        Kept.used += 1
+        self.values = []
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, *a):  # noqa: N802
+        return Kept()
+
+    getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_the_state_of_a_breaker_is_used_a_few_times_a_batch():
+    breaker, second = state.Breaker(2, 10_000_000, 1_000_000_000), 1_000_000
+    breaker.init(handle := Handle())
+    # 100 seconds with ten attempts each, of which those of second 40 fail; one has no number and is the last of its time.
+    rows = [{"at": s * second, "event_id": n if n else None, "ok": s != 40 and (s, n) != (70, 0)} for s in range(1, 101) for n in range(10)]
+    Kept.used = 0
+    assert list(breaker.handleInputRows((7,), iter(rows), Now(0))) == [] and handle.timers == {1000}
+    first = list(breaker.handleExpiredTimer((7,), Now(60_000), Now(1000)))
+    then = list(breaker.handleInputRows((7,), iter([]), Now(200_000)))
+    assert Kept.used < 15
+    assert [(r["state"], r["at"]) for r in first] == [("open", datetime(1970, 1, 1, 0, 0, 40)), ("closed", datetime(1970, 1, 1, 0, 0, 41))]
+    assert then == [] and not breaker.waiting.values
