@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from tidewire.operators import clusters, relational
+from tidewire.operators import clusters, facts, relational
 from tidewire.sources import connectors
 
 
@@ -98,3 +98,14 @@ def test_a_signature_is_made_once_of_each_title(spark):
     found = clusters.by_signature(rows.select("id", noted.asNondeterministic()("title").alias("title"))).collect()
     assert times.value == 6
     assert sorted(r["id"] for r in found) == [1, 2] and len({r["cluster_id"] for r in found}) == 1
+
+
+def test_the_key_of_a_sentence_is_made_once(spark):
+    articles = spark.createDataFrame([("b", 2, 0.5, "Storms over  Lisbon! Calm seas\tbehind... short. ¿¿¿¿¿¿ ¿¿¿¿¿¿?"), ("b", 1, 0.1, "x. STORMS, over Lisbon"), ("a", 3, 0.0, "storms over lisbon"), ("a", 4, 0.0, None)], "cluster_id string, id long, bias double, text string")
+    found = facts.facts(facts.sentence_rows(articles))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert sorted(tuple(r) for r in found.select("cluster_id", "rank", "key", "frequency", "sentence", "bias_avg").collect()) == [
+        ("a", 1, "storms over lisbon", 1, "storms over lisbon", 0.0),
+        ("b", 1, "storms over lisbon", 2, "STORMS, over Lisbon", 0.3),
+        ("b", 2, "calm seas behind", 1, "Calm seas behind", 0.5),
+    ]

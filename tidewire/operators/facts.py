@@ -11,20 +11,24 @@ from tidewire.functions.text import sentence_key, sentences
 
 def sentence_rows(articles: DataFrame) -> DataFrame:
     """(cluster_id, id, bias, position, sentence, key) of articles with cluster_id, id, bias, text."""
-    rows = articles.select("cluster_id", "id", "bias", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))
-    return rows.withColumn("key", sentence_key(F.col("sentence"))).filter("key != ''")
+    # Keys are made before sentences are rows: a filter on a column that is made of another would make it twice.
+    keyed = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), sentence_key(s).alias("key")))
+    rows = articles.select("cluster_id", "id", "bias", F.posexplode(keyed).alias("position", "found"))
+    return rows.select("cluster_id", "id", "bias", "position", "found.sentence", "found.key").filter("key != ''")
 
 
 def counted(rows: DataFrame, verified_at: int = 3) -> DataFrame:
     """Every sentence of each cluster: how many articles' sentences share the key, with what bias."""
-    grouped = rows.groupBy("cluster_id", "key").agg(
+    # The key comes first, as rows are sorted by it: its first letters tell rows apart, those of a cluster do not.
+    grouped = rows.groupBy("key", "cluster_id").agg(
         F.count("*").alias("frequency"),
         F.min_by("sentence", F.struct("id", "position")).alias("sentence"),
         F.round(F.min("bias"), 4).alias("bias_min"),
         F.round(F.max("bias"), 4).alias("bias_max"),
         F.round(F.avg("bias"), 4).alias("bias_avg"),
     )
-    return grouped.withColumn("status", F.when(F.col("frequency") >= verified_at, "verified").otherwise("disputed"))
+    status = F.when(F.col("frequency") >= verified_at, "verified").otherwise("disputed").alias("status")
+    return grouped.select("cluster_id", "key", "frequency", "sentence", "bias_min", "bias_max", "bias_avg", status)
 
 
 def facts(rows: DataFrame, verified_at: int = 3, most: int = 20) -> DataFrame:
