@@ -94,6 +94,17 @@ def test_links_connect_what_all_pairs_do(spark, crowd):
     assert [find(i) for i in range(len(numbers))] == linked(numbers)
 
 
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_no_index_is_broadcast(spark, tmp_path, crowd):
+    """A file of 2,000 fingerprints is small, its 66,000 variants of each side are not for Spark to size."""
+    x, folder = random.Random(1), f"file://{tmp_path}/nodes"
+    numbers = [(x.getrandbits(64) - 2**63 if i % 10 else i << 32,) for i in range(2000)]
+    spark.createDataFrame(numbers, "fp long").write.parquet(folder)
+    plan = close_links(spark.read.parquet(folder), crowd)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
 def test_nothing(spark):
     assert simhash_classes(documents(spark, [(1, "x")]).filter("false")).collect() == []
 

@@ -89,14 +89,15 @@ def close_links(nodes: DataFrame, crowd: int) -> DataFrame:
     apart = None
     if not crowded.isEmpty():
         everything = zeros.union(ones)
-        gathered = cut(join_small(everything, crowded, "key", "left_semi", row_bytes=16).select("fp").distinct())
+        gathered = cut(join_small(everything, crowded, "key", "left_semi", row_bytes=64).select("fp").distinct())
         around = gathered.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p)))")).alias("middle"))
         least = around.groupBy("middle").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("middle", "a")
-        apart = around.join(least, "middle").filter("a < fp").select("a", F.col("fp").alias("b"))
-        zeros, ones = (join_small(x, crowded, "key", "left_anti", row_bytes=16) for x in (zeros, ones))
+        apart = around.join(least.hint("merge"), "middle").filter("a < fp").select("a", F.col("fp").alias("b"))
+        zeros, ones = (join_small(x, crowded, "key", "left_anti", row_bytes=64) for x in (zeros, ones))
     a, b = zeros.select("key", F.col("fp").alias("a")), ones.select("key", F.col("fp").alias("b"))
     # Equal halves have both sides under one key; halves that differ at the open position are on one side each.
-    links = a.join(b, "key").filter(f"((shiftright(key, {HALF}) & 63L) != {NO_WILDCARD} OR a < b) AND bit_count(a ^ b) <= 2").select("a", "b")
+    # Spark takes exploded rows for as large as the file they come from and would broadcast 33 times that.
+    links = a.join(b.hint("merge"), "key").filter(f"((shiftright(key, {HALF}) & 63L) != {NO_WILDCARD} OR a < b) AND bit_count(a ^ b) <= 2").select("a", "b")
     return links if apart is None else links.union(apart)
 
 
