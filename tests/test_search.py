@@ -90,6 +90,36 @@ def test_leaders_equal_the_sequential_rule(spark, least, few, groups):
     assert got == one_by_one(rows, least)
 
 
+def shuffled(spark):
+    """Rows that stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize(("least", "few"), [(0.85, 50), (0.3, 10)])
+def test_leaders_send_no_copies_of_vectors(spark, monkeypatch, least, few):
+    """Random vectors lie within reach of all cells; each of them is shuffled a few times, not once per cell."""
+    rows = points(1500, seed=8)
+    before = shuffled(spark)
+    got = {r["id"]: r["leader"] for r in vectors.leaders(table(spark, rows), least, few=few).collect()}
+    assert got == one_by_one(rows, least)
+    assert shuffled(spark) - before < 20 * len(rows)
+    monkeypatch.setattr(vectors, "BAND", 200)
+    monkeypatch.setattr(vectors, "BLOCK", (90, 110))
+    monkeypatch.setattr(vectors, "SCORES", 1000)
+    assert {r["id"]: r["leader"] for r in vectors.leaders(table(spark, rows), least, few=few).collect()} == got
+
+
+def test_blocks_of_clusters_are_passed_over():
+    ids = np.arange(6)
+    near, far = np.array([[1.0, 0.01 * i] for i in range(6)]), np.array([[0.01 * i, 1.0] for i in range(6)])
+    assert [x.tolist() for x in vectors._first_near(ids + 6, far, ids, near, 0.85)] == [[], []]
+    assert [x.tolist() for x in vectors._first_near(ids + 3, near, ids, near, 0.85)] == [[0, 1, 2, 3, 4, 5], [0] * 6]
+    assert [x.tolist() for x in vectors._first_near(ids, near, ids, near, 0.85)] == [[1, 2, 3, 4, 5], [0] * 5]
+
+
 @pytest.mark.parametrize("few", [8, 100])
 def test_a_chain_of_neighbours(spark, few):
     """Each vector is near the one before and the one behind only: every second one leads."""
